@@ -175,32 +175,33 @@ def repeated_passages(docs: DataFrame, window: int = 35, k: int = 8, id_col: str
     one class that is parsed once: all its windows repeat, so all its words go. Repeated rows count
     as copies. Blocks are compared by two 64-bit hashes, as are windows (with their seed's).
 
-    Counts are sums before the shuffle; hot seeds and blocks meet their verdicts in joins that AQE
-    can split. Texts are shuffled once, one for each class.
+    Counts are sums before the shuffle; hot seeds, blocks and classes meet their verdicts in joins
+    of written tables, which AQE can split. Texts are shuffled once, one for each class.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("text"))
     scanned = written(scan(rows, window, k), "seeds")
     classes = scanned.groupBy("x1", "x2").agg(F.count("*").alias("copies"), F.first("seeds").alias("seeds"), F.first("twice").alias("twice"))
     seeds = classes.select("x1", "x2", F.inline(F.arrays_zip("seeds", "twice"))).toDF("x1", "x2", "seed", "twice")
-    again = seeds.groupBy("seed").agg(F.count("*").alias("texts"), F.max("twice").alias("twice")).where("texts > 1 OR twice").select("seed")
+    again = written(seeds.groupBy("seed").agg(F.count("*").alias("texts"), F.max("twice").alias("twice")).where("texts > 1 OR twice").select("seed"), "again")
     known = seeds.select("x1", "x2", "seed").join(again, "seed").groupBy("x1", "x2").agg(F.collect_list("seed").alias("known"))
     texts = rows.select(*text_class(), "text").groupBy("x1", "x2").agg(F.first("text").alias("text"))
     parsed = written(texts.join(known, ["x1", "x2"]), "parsed")
     index = written(blocks(parsed, window, k), "blocks")
-    distinct = index.groupBy("seed", "block").agg(F.count("*").alias("times"), F.first("windows").alias("windows"))
+    distinct = written(index.groupBy("seed", "block").agg(F.count("*").alias("times"), F.first("windows").alias("windows")), "distinct")
     factors = distinct.where("times > 1").select("seed", "block", F.lit(None).cast("array<int>").alias("at"))
-    unsure = distinct.groupBy("seed").agg(F.min("times").alias("least")).where("least = 1").select("seed")
+    unsure = written(distinct.groupBy("seed").agg(F.min("times").alias("least")).where("least = 1").select("seed"), "unsure")
     single = distinct.join(unsure, "seed").select("seed", "block", "times", F.posexplode("windows").alias("at", "w"))
-    repeated = single.groupBy("seed", "w").agg(F.sum("times").alias("times")).where("times > 1").select("seed", "w")
+    repeated = written(single.groupBy("seed", "w").agg(F.sum("times").alias("times")).where("times > 1").select("seed", "w"), "repeated")
     checked = single.where("times = 1").join(repeated, ["seed", "w"]).groupBy("seed", "block").agg(F.collect_list("at").alias("at"))
-    verdicts = factors.unionByName(checked)
+    verdicts = written(factors.unionByName(checked), "verdicts")
     hits = index.select("seed", "block", "x1", "x2", "begin", "n").join(verdicts, ["seed", "block"])
     hits = hits.groupBy("x1", "x2").agg(F.collect_list(F.struct("begin", "n", "at")).alias("hits"))
     done = cut(parsed.select("x1", "x2", "text").join(hits, ["x1", "x2"]), window)
     several = classes.where("copies > 1").select("x1", "x2", F.lit(True).alias("copied"))
+    fate = written(done.join(several, ["x1", "x2"], "full"), "fate")
     gone = F.col("copied").isNotNull() & (F.col("n_words") >= window)
     return (
-        scanned.select("doc_id", "x1", "x2", "n_words", "digest").join(several, ["x1", "x2"], "left").join(done, ["x1", "x2"], "left")
+        scanned.select("doc_id", "x1", "x2", "n_words", "digest").join(fate, ["x1", "x2"], "left")
         .select(
             "doc_id", "n_words",
             F.when(gone, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
