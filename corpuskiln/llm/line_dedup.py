@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANKS, ascii_lower, without
+from .common import BLANKS, ascii_lower, without, written
 
 
 def line_key(line: Column) -> Column:
@@ -33,11 +33,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         .where(F.char_length("key") >= min_chars)
         .select("id", "version", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"))
     )
-    shared = (
+    counted = (
         lines.groupBy("h", "g", "id").agg(F.count("*").alias("n"))
         .groupBy("h", "g").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
         .where(F.col("n") >= min_docs).drop("n")
     )
+    shared = written(counted, "shared-lines")  # AQE splits skewed joins of exchanges only, not of aggregates
     lost = (
         lines.join(shared, ["h", "g"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
