@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fold, table
+from .decontaminate import contamination
 from .language_id import identify, learn
 from .line_dedup import dedup_lines
 from .substring_dedup import repeated_passages
@@ -69,3 +70,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 5) == 0
     model = learn(docs.where(~held_out).select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
