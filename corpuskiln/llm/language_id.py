@@ -158,7 +158,7 @@ def calibrate(model: KneserNey, texts: list[str], langs: list[str]) -> KneserNey
     use = n > 0
     entropy, n, right = entropy[use], n[use], right[use]
     model.usual = np.full(len(model.langs), np.log(4096.0))
-    model.spread = np.ones(len(model.langs))
+    model.spread = np.ones(len(model.langs))  # nats; wide enough for texts of two languages
     if not len(n):
         return model
     evidence = -entropy * np.sqrt(n)[:, None]
@@ -172,9 +172,8 @@ def calibrate(model: KneserNey, texts: list[str], langs: list[str]) -> KneserNey
     for column in range(len(model.langs)):
         own = entropy[right == column, column]
         if len(own):
-            # A few standard deviations above: short texts spread more, and count as usual too.
-            model.spread[column] = max(own.std(), 0.05)
-            model.usual[column] = max(own.mean() + 6 * model.spread[column], own.max())
+            model.spread[column] = max(1.0, 10 * own.std())
+            model.usual[column] = max(own.mean() + 6 * own.std(), own.max())
     return model
 
 
