@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import toxicity
 from .common import fold, table
 from .decontaminate import contamination
 from .language_id import identify, learn
 from .line_dedup import dedup_lines
 from .substring_dedup import repeated_passages
+from .mixing import mix
 from .simhash import fingerprints, near_duplicates
 
 QUERIES: dict = {}
@@ -75,3 +77,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op3_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    sample = toxicity.sample_labelled(docs, labels.where(~held_out), most=20_000)
+    index = toxicity.learn(docs.select("text"), sample)
+    return toxicity.assess(docs.select("doc_id", held_out.alias("held_out"), "text"), index).select("doc_id", "held_out", "score", "predicted")
