@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from . import toxicity
 from .common import fold, table
 from .decontaminate import contamination
@@ -92,3 +94,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = toxicity.sample_labelled(docs, labels.where(~held_out), most=20_000)
     index = toxicity.learn(docs.select("text"), sample)
     return toxicity.assess(docs.select("doc_id", held_out.alias("held_out"), "text"), index).select("doc_id", "held_out", "score", "predicted")
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir).drop("text")
