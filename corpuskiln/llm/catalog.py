@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from . import toxicity
+from .ann import nearest
 from .common import fold, table
 from .decontaminate import contamination
 from .language_id import identify, learn
@@ -99,3 +100,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir).drop("text")
+
+
+@query()
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
