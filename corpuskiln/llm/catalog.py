@@ -10,6 +10,7 @@ from . import toxicity
 from .ann import nearest
 from .common import fold, table
 from .decontaminate import contamination
+from .html_extract import extract
 from .language_id import identify, learn
 from .line_dedup import dedup_lines
 from .substring_dedup import repeated_passages
@@ -105,3 +106,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
