@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +167,8 @@ class Labeller:
         return float(loss), grad
 
 
-def fit(pages: int = 1500, epochs: int = 6, batch: int = 24, rate: float = 0.01, seed: int = 0) -> Labeller:
+@lru_cache(maxsize=2)  # it depends on its arguments only
+def fit(pages: int = 900, epochs: int = 6, batch: int = 24, rate: float = 0.01, seed: int = 0) -> Labeller:
     """A labeller trained (Adam) on `pages` generated layouts whose blocks are known; no table is read."""
     rng, model, encoder = np.random.default_rng(seed), Labeller(seed=seed), Encoder()
     data = [p for p in marked_pages(pages, seed) if p]
