@@ -14,6 +14,7 @@ from .html_extract import extract
 from .language_id import identify, learn
 from .line_dedup import dedup_lines
 from .substring_dedup import repeated_passages
+from .maxent_lm import score_texts
 from .mixing import mix
 from .simhash import fingerprints, near_duplicates
 
@@ -111,3 +112,9 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query()
+def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 5) == 1
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out")))
