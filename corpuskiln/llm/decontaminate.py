@@ -18,104 +18,126 @@ UNITS = frozenset(
     b"dollar dollars euro euros cent cents usd eur percent % degree degrees mph kmh km/h hz khz mhz ghz kb mb gb tb w kw kwh v volt volts".split()
 )
 NUMBER = re.compile(rb"[#$+\-]?\d[\d.,:/]*%?")
+DIGIT = re.compile(rb"\d")
 MEASURE = re.compile(rb"[$+\-]?\d[\d.,]*[A-Za-z%/]+")
 STRIP = b".,;:!?\"'()[]{}<>*_|`~"
 WORD, NUM, QTY, UNIT, NAME = range(5)
 KINDS = np.array(["WORD", "NUM", "QTY", "UNIT", "NAME"])
 
 
+class Ids(dict):
+    """token -> number, in order of first sight; new tokens also wait in `fresh`."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, token: bytes) -> int:
+        self.fresh.append(token)
+        value = self[token] = len(self)
+        return value
+
+
 class Canon:
     """Texts -> codes of canonical tokens. Numbers, measures and units are typed placeholders, and so
-    are capitalised words inside a sentence; other tokens are lower-cased and stripped of punctuation."""
+    are capitalised words inside a sentence; other tokens are lower-cased and stripped of punctuation.
+    Each distinct token is looked at once, until there are over `most`."""
 
-    def __init__(self, most: int = 150_000):
-        self.most = most
+    def __init__(self, wanted: set[int] | None = None, most: int = 300_000):
+        self.wanted, self.most = wanted, most
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.rows: list[tuple] = []
-        self.table = None
+        self.ids = Ids()
+        self.table = [np.zeros(1024, t) for t in (np.uint64, np.int8, np.bool_, np.bool_, np.bool_, np.bool_)]
 
     def _row(self, token: bytes) -> tuple:
-        core = token.strip(STRIP)
+        core = token if token.isalpha() else token.strip(STRIP)
         low = core.lower()
-        kind = NUM if NUMBER.fullmatch(core) else UNIT if low in UNITS else QTY if MEASURE.fullmatch(core) else WORD
+        kind = WORD
+        if low in UNITS:
+            kind = UNIT
+        elif not core.isalpha() and DIGIT.search(core):
+            kind = NUM if NUMBER.fullmatch(core) else QTY if MEASURE.fullmatch(core) else WORD
         capital = kind == WORD and len(core) > 1 and core[:1].isupper() and core[1:].islower()
-        return xxhash.xxh64_intdigest(low), kind, capital, token[-1:] in b".!?:", not core
+        code = xxhash.xxh64_intdigest(low)
+        possible = kind != WORD or capital or not core or self.wanted is None or code in self.wanted
+        return code, kind, capital, token[-1:] in b".!?:", not core, possible
 
-    def __call__(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The tokens with a core, their codes, and their kinds."""
+    def __call__(self, text: bytes, width: int = 0) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray] | None:
+        """The tokens with a core, their codes, their kinds, and whether a wanted window can hold them.
+        With a width: None if no `width` tokens in a row can, which a look at each token alone tells."""
         if len(self.ids) > self.most:
             self.reset()
-        tokens, ids = text.split(), self.ids
-        known = len(ids)
-        got = np.fromiter((ids.setdefault(t, len(ids)) for t in tokens), np.int64, len(tokens))
-        if len(ids) > known:
-            self.rows += map(self._row, list(ids)[known:])
-            new = self.rows[known:]
-            add = [np.array([r[0] for r in new], np.uint64), *(np.array([r[k] for r in new], np.int8) for k in range(1, 5))]
-            self._append(known, add)
+        tokens = text.split()
+        known = len(self.ids)
+        got = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
+        if len(self.ids) > known:
+            rows = list(map(self._row, self.ids.fresh))
+            self.ids.fresh.clear()
+            need = known + len(rows)
+            if len(self.table[0]) < need:
+                self.table = [np.concatenate([c, np.zeros(2 * need - len(c), c.dtype)]) for c in self.table]
+            for c, values in zip(self.table, zip(*rows)):
+                c[known:need] = values
+        if width:
+            if len(got) < width:
+                return None
+            run = np.cumsum(self.table[5][got])
+            if not (run[width - 1] == width or (run[width:] - run[:-width] == width).any()):
+                return None
         if not len(got):
-            return [], np.zeros(0, np.uint64), np.zeros(0, np.int8)
-        code, kind, capital, ends, empty = (c[got] for c in self.table)
-        inside = np.concatenate([[False], ends[:-1] == 0])
-        kind = np.where((capital == 1) & inside, NAME, kind)
+            return [], np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)
+        code, kind, capital, ends, empty, possible = (c[got] for c in self.table)
+        inside = np.concatenate([[False], ~ends[:-1]])
+        kind = np.where(capital & inside, NAME, kind)
         code = np.where(kind == WORD, code, kind.astype(np.uint64) + np.uint64(1))
-        full = empty == 0
-        if not full.all():
-            tokens = [t for t, f in zip(tokens, full) if f]
-        return tokens, code[full], kind[full]
-
-    def _append(self, known: int, add: list[np.ndarray]) -> None:
-        need = known + len(add[0])
-        if self.table is None or len(self.table[0]) < need:
-            size = max(4096, 2 * need)
-            grown = [np.zeros(size, c.dtype) for c in add]
-            if self.table is not None:
-                for g, c in zip(grown, self.table):
-                    g[:known] = c[:known]
-            self.table = grown
-        for c, a in zip(self.table, add):
-            c[known:need] = a
-
-
-def window_hashes(code: np.ndarray, width: int) -> np.ndarray:
-    n = len(code) - width + 1
-    h = np.full(max(n, 0), width, np.uint64)
-    for j in range(width if n > 0 else 0):
-        h = (h ^ code[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        if empty.any():
+            tokens = [t for t, e in zip(tokens, empty) if not e]
+            code, kind, possible = code[~empty], kind[~empty], possible[~empty]
+        return tokens, code, kind, possible
+
+
+def window_hashes(code: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    h = np.full(len(at), width, np.uint64)
+    for j in range(width):
+        h = (h ^ code[at + j]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
     return h
 
 
 def windows(texts: DataFrame, id_name: str, widths: list[int], literals: float, wanted=None) -> DataFrame:
-    """(id, h, at, slots) of every template window; with wanted (a broadcast sorted array of hashes) only of those.
+    """(id, h, at, slots) of every template window; with wanted (broadcast: a sorted array of hashes, and the set of their literal tokens' codes) only of those.
 
     Equal windows with equal slots in one text are one row. Windows with too few literal tokens say little and are left out.
     """
 
     def run(batches):
-        canon = Canon()
-        keep = wanted.value if wanted is not None else None
+        keep, words = wanted.value if wanted is not None else (None, None)
+        canon = Canon(words)
         for b in batches:
             ids, hashes, ats, slot_lists = [], [], [], []
             for id_, text in zip(b.column(id_name).to_pylist(), b.column("text").to_pylist()):
-                tokens, code, kind = canon(text)
+                got = canon(text, min(widths) if keep is not None else 0)
+                if got is None:
+                    continue
+                tokens, code, kind, possible = got
                 literal = np.concatenate([[0], np.cumsum(kind == WORD)])
+                runs = np.concatenate([[0], np.cumsum(possible)])
                 seen = set()
                 for width in widths:
-                    h = window_hashes(code, width)
-                    if not len(h):
+                    if len(code) < width:
                         continue
-                    ok = literal[width:] - literal[:-width] >= literals * width
-                    if keep is not None:
-                        at = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
-                        ok &= keep[at] == h if len(keep) else False
-                    for i in np.flatnonzero(ok).tolist():
+                    places = np.flatnonzero((literal[width:] - literal[:-width] >= literals * width) & (runs[width:] - runs[:-width] == width))
+                    h = window_hashes(code, places, width)
+                    if keep is not None and len(h):
+                        near = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
+                        here = keep[near] == h if len(keep) else np.zeros(len(h), bool)
+                        places, h = places[here], h[here]
+                    for i, value in zip(places.tolist(), h.view(np.int64).tolist()):
                         spots = [j for j in range(i, i + width) if kind[j] != WORD] if literal[i + width] - literal[i] < width else []
                         slots = tuple(f"{KINDS[kind[j]]}={tokens[j].strip(STRIP).lower().decode('utf-8', 'replace')}" for j in spots)
-                        row = (int(h[i].view(np.int64)), slots)
+                        row = (value, slots)
                         if row not in seen:
                             seen.add(row)
                             ids.append(id_)
@@ -136,6 +158,16 @@ def _batch(ids, hashes, ats, slots) -> pa.RecordBatch:
     )
 
 
+def literal_codes(texts: DataFrame) -> DataFrame:
+    def run(batches):
+        canon = Canon()
+        for b in batches:
+            codes = [code[kind == WORD] for _, code, kind, _ in map(canon, b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*codes, np.zeros(0, np.uint64)]).view(np.int64))], ["code"])
+
+    return texts.mapInArrow(run, "code long")
+
+
 def item_classes(items: DataFrame, item_id: str, text_col: str) -> DataFrame:
     """One row for each distinct canonical text: the least item id, all item ids, one text, its number of tokens."""
 
@@ -144,7 +176,7 @@ def item_classes(items: DataFrame, item_id: str, text_col: str) -> DataFrame:
         for b in batches:
             keys, sizes = [], []
             for text in b.column("text").to_pylist():
-                tokens, code, kind = canon(text)
+                tokens, code, kind, _ = canon(text)
                 slots = b" ".join(t.strip(STRIP).lower() for t in tokens)
                 keys.append(xxhash.xxh3_128_hexdigest(slots + code.tobytes()))
                 sizes.append(len(code))
@@ -186,7 +218,8 @@ def contamination(
     hashes = asked.select("h").distinct()
     wanted = None
     if hashes.count() <= most_broadcast:
-        wanted = spark.sparkContext.broadcast(np.sort(hashes.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+        words = {r["code"] for r in literal_codes(classes.select("text")).distinct().collect()}  # at most `width` for each window
+        wanted = spark.sparkContext.broadcast((np.sort(hashes.toPandas()["h"].to_numpy(np.int64).view(np.uint64)), {c & (1 << 64) - 1 for c in words}))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("text")).where("id IS NOT NULL")
     found = windows(rows, "id", [width, *sorted(short)], literals, wanted).toDF("doc_id", "h", "at", "slots")
     met = written(found.join(asked, "h").select("doc_id", "item_id", "item_at", "item_slots", "slots"), "met")
