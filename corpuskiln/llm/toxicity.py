@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,73 +38,85 @@ class Terms:
 
 @dataclass
 class Index:
-    """Labelled unit vectors by term: rows and weights, cut into blocks of rows with each block's largest weight."""
+    """Labelled unit vectors, cut into blocks of rows: a block holds its terms' postings side by side, and
+    `bound` has each term's largest weight in each block."""
 
     terms: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # rows, weights; blocks, their starts, their largest weights
-    block: int
+    size: int  # rows in a block
     quiet: float  # the rate of label 1 among labelled rows without a term
     prior: float
+    bound: np.ndarray | None = None  # blocks x terms
+    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # terms, and rows x those terms
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[k] for k in t])) * self.idf[t] if len(t) else np.zeros(0)
-        size = np.sqrt((w * w).sum())
-        return (t, w / size) if size > 0 else (t[:0], w[:0])
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of the largest cosine over 0, ties to the smaller row, without row `skip`. Blocks
-        are opened by falling upper bound, until no closed block can hold a better row."""
-        n_blocks = -(-len(self.ids) // self.block)
-        bound = np.zeros(n_blocks)
-        for term_id, q in zip(t.tolist(), w.tolist()):
-            _, _, blocks, _, most = self.postings[term_id]
-            bound[blocks] += q * most
-        order = np.argsort(-bound, kind="stable")
-        rows, scores, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        at, take = 0, 1
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= worst - 1e-12:
-            opened = np.sort(order[at : at + take])
-            opened = opened[bound[opened] > 0]
-            score = np.zeros((len(opened), self.block))
-            for term_id, q in zip(t.tolist(), w.tolist()):
-                r, x, blocks, starts, _ = self.postings[term_id]
-                spot = np.searchsorted(blocks, opened)
-                for i, s in enumerate(spot.tolist()):
-                    if s < len(blocks) and blocks[s] == opened[i]:
-                        a, b = starts[s], starts[s + 1]
-                        score[i, r[a:b] - opened[i] * self.block] += q * x[a:b]
-            some = np.flatnonzero(score.ravel() > 0)
-            found = opened[some // self.block] * self.block + some % self.block
-            keep = found != skip
-            rows, scores = np.concatenate([rows, found[keep]]), np.concatenate([scores, score.ravel()[some][keep]])
-            best = np.lexsort((rows, -np.round(scores, 12)))[:k]
-            rows, scores = rows[best], scores[best]
-            worst = scores[-1] if len(scores) == k else 0.0
-            at, take = at + take, min(take * 2, 64)
-        return rows, scores
-
-    def vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
+    def vectors(self, counts: list[dict[int, int]]) -> np.ndarray:
+        """Dense unit TF-IDF rows; a row without a term is zero."""
+        x = np.zeros((len(counts), len(self.terms)))
+        for i, c in enumerate(counts):
+            t = list(c)
+            x[i, t] = (1 + np.log(list(c.values()))) * self.idf[t]
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+    def fill(self, counts: list[dict[int, int]]) -> None:
+        blocks = -(-len(counts) // self.size)
+        self.bound = np.zeros((blocks, len(self.terms)))
+        for b in range(blocks):
+            x = self.vectors(counts[b * self.size : (b + 1) * self.size])
+            terms = np.flatnonzero(x.any(axis=0))
+            self.postings.append((terms, np.ascontiguousarray(x[:, terms])))
+            self.bound[b, terms] = x[:, terms].max(axis=0)
+
+    def nearest(self, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of q the k labelled rows of the largest cosine over 0 (-1 where there are fewer), ties to
+        the smaller id, without row skip[i]. A query opens blocks by falling upper bound, until no closed block can hold a better row."""
+        n = len(q)
+        rows, best = np.full((n, k), -1), np.zeros((n, k))
+        upper = q @ self.bound.T if len(self.postings) else np.zeros((n, 0))
+        order = np.argsort(-upper, axis=1, kind="stable")
+        for turn in range(order.shape[1]):
+            block = order[:, turn]
+            open_ = upper[np.arange(n), block]
+            active = np.flatnonzero((open_ > 1e-12) & (open_ >= best[:, -1] - 1e-9))
+            if not len(active):
+                break
+            for b in np.unique(block[active]):
+                who = active[block[active] == b]
+                terms, x = self.postings[b]
+                score = np.round(q[np.ix_(who, terms)] @ x.T, 12)
+                here = np.arange(b * self.size, b * self.size + x.shape[0])
+                if skip is not None:
+                    score[here[None, :] == skip[who][:, None]] = 0
+                all_rows = np.concatenate([rows[who], np.broadcast_to(here, score.shape)], 1)
+                all_scores = np.concatenate([best[who], score], 1)
+                ids = np.where(all_rows >= 0, self.ids[all_rows], np.iinfo(np.int64).max)
+                top = np.lexsort((ids, -all_scores), axis=1)[:, :k]
+                best[who] = np.take_along_axis(all_scores, top, 1)
+                rows[who] = np.where(best[who] > 0, np.take_along_axis(all_rows, top, 1), -1)
+        return rows, best
+
+    def votes(self, rows: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Share of label 1 among neighbours, weighted by nearness and by what each row stands for."""
-        w = self.weight[rows] / (1.05 - cosine)
-        return float(((w * self.toxic[rows]).sum() + 0.5 * self.prior) / (w.sum() + 0.5))
+        w = np.where(rows >= 0, self.weight[rows] / (1.05 - cosine), 0.0)
+        return ((w * self.toxic[rows]).sum(axis=1) + 0.5 * self.prior) / (w.sum(axis=1) + 0.5)
 
-    def score(self, counts: dict[int, int], k: int) -> tuple[float, np.ndarray, np.ndarray]:
-        t, w = self.vector(counts)
-        rows, cosine = self.nearest(t, w, k) if len(t) and len(self.ids) else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(rows):
-            return self.quiet, rows, cosine
-        return self.calibrated(self.vote(rows, cosine)), rows, cosine
+    def score(self, counts: list[dict[int, int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated scores, and neighbours with their cosines."""
+        scores, rows, cosine = np.full(len(counts), self.quiet), np.full((len(counts), k), -1), np.zeros((len(counts), k))
+        some = [i for i, c in enumerate(counts) if c] if self.postings else []
+        for at in range(0, len(some), 256):
+            part = some[at : at + 256]
+            rows[part], cosine[part] = self.nearest(self.vectors([counts[i] for i in part]), k)
+            scores[part] = self.calibrated(self.votes(rows[part], cosine[part]))
+        return scores, rows, cosine
 
-    def calibrated(self, vote: float) -> float:
-        v = min(max(vote, 1e-4), 1 - 1e-4)
-        return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift))))
+    def calibrated(self, vote: np.ndarray) -> np.ndarray:
+        v = np.clip(vote, 1e-4, 1 - 1e-4)
+        return 1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift)))
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -135,7 +147,7 @@ def term_counts(texts: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, in
     return np.array([got.get(k, 0) for k in range(len(terms))], np.float64), got.get(-1, 0)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, most_terms: int = 4096, least_chi2: float = 15.0, least_docs: int = 3, block: int = 64, k: int = 15) -> Index:
+def learn(docs: DataFrame, labelled: DataFrame, most_terms: int = 1024, least_chi2: float = 30.0, least_docs: int = 4, block: int = 64, k: int = 15) -> Index:
     """An index of the labelled rows (doc_id, text, toxic, weight) over the terms that go with a label.
 
     The rows are a bounded sample, so they come to the driver as term counts; document
@@ -169,21 +181,16 @@ def learn(docs: DataFrame, labelled: DataFrame, most_terms: int = 4096, least_ch
     none = [r for r in rows if not r["terms"]]
     prior = (sum(r["weight"] * r["toxic"] for r in rows) + 0.5) / (w_all + 1)
     quiet = (sum(r["weight"] * r["toxic"] for r in none) + 0.5 * prior) / (sum(r["weight"] for r in none) + 0.5)
-    rows = [r for r in rows if r["terms"]]
-    index = Index(
-        terms, np.log((total + 1) / (df + 1)) + 1, np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.float64),
-        np.array([r["weight"] for r in rows], np.float64), [], block, quiet, prior,
-    )
-    vectors = [index.vector(dict(zip(r["terms"], r["times"]))) for r in rows]
-    flat = sorted((t, i, x) for i, (ts, xs) in enumerate(vectors) for t, x in zip(ts.tolist(), xs.tolist()))
-    by_term: list[list] = [[] for _ in terms]
-    for t, i, x in flat:
-        by_term[t].append((i, x))
-    for entries in by_term:
-        r, x = np.array([e[0] for e in entries], np.int64), np.array([e[1] for e in entries], np.float64)
-        blocks, first = np.unique(r // block, return_index=True)
-        index.postings.append((r, x, blocks, np.concatenate([first, [len(r)]]), np.maximum.reduceat(x, first) if len(r) else x))
-    votes = np.array([index.vote(*index.nearest(*v, k, skip=i)) for i, v in enumerate(vectors)])
+    # Rows that share their rarest term lie in one block, which keeps the bounds tight.
+    idf = np.log((total + 1) / (df + 1)) + 1
+    rows = sorted((r for r in rows if r["terms"]), key=lambda r: (max(r["terms"], key=lambda t: (idf[t], t)), r["doc_id"]))
+    column = lambda c, kind: np.array([r[c] for r in rows], kind)
+    index = Index(terms, idf, column("doc_id", np.int64), column("toxic", np.float64), column("weight", np.float64), block, quiet, prior)
+    bags = [dict(zip(r["terms"], r["times"])) for r in rows]
+    index.fill(bags)
+    votes = np.zeros(len(rows))
+    for at in range(0, len(rows), 256):
+        votes[at : at + 256] = index.votes(*index.nearest(index.vectors(bags[at : at + 256]), k, skip=np.arange(at, min(at + 256, len(rows)))))
     if len(rows) > 1 and 0 < index.toxic.sum() < len(rows):
         z = np.log(np.clip(votes, 1e-4, 1 - 1e-4) / (1 - np.clip(votes, 1e-4, 1 - 1e-4)))
         for _ in range(300):  # a little ridge keeps separable labels finite
@@ -211,13 +218,13 @@ def assess(docs: DataFrame, index: Index, k: int = 15, threshold: float = 0.3, i
         known = shared.value
         look = Terms(known.terms)
         for b in batches:
-            scores, evidence = [], []
-            for text in b.column(text_col).to_pylist():
-                s, rows, cosine = known.score(look(text or ""), k)
-                scores.append(s)
-                evidence.append([{"doc_id": int(known.ids[r]), "cosine": float(c), "toxic": int(known.toxic[r])} for r, c in zip(rows[:3], cosine[:3])])
+            scores, rows, cosine = known.score([look(t or "") for t in b.column(text_col).to_pylist()], k)
+            evidence = [
+                [{"doc_id": int(known.ids[r]), "cosine": float(c), "toxic": int(known.toxic[r])} for r, c in zip(rs, cs) if r >= 0]
+                for rs, cs in zip(rows[:, :3], cosine[:, :3])
+            ]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, arrow_item)],
+                [*b.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), pa.array(evidence, arrow_item)],
                 [*b.schema.names, "score", "predicted", "evidence"],
             )
 
