@@ -1 +1 @@
-
+"""Column expressions: text, chat formats, ordered classification."""

@@ -1 +1 @@
-
+"""DataFrame operators: vectors, quality gates, reference graphs, registries."""

@@ -1 +1 @@
-
+"""Tables of prompts, files and papers."""
