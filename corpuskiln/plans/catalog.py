@@ -2,5 +2,419 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import formats, text
+from ..operators import graph, quality, registry, vectors
+from ..sources import papers, store
+from ..streaming import stateful
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def talks(spark: SparkSession, folder: str) -> DataFrame:
+    """(conv_id, messages): the turns of each conversation in order, as messages."""
+    turn = F.struct("turn", "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("thinking"))
+    grouped = read(spark, folder, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"), t["thinking"].alias("thinking"))).alias("messages"))
+
+
+FIRST = """SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS s, arg_min(text, turn) FILTER (WHERE role = 'user') AS u,
+  arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id"""
+WHITE = r"'^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$'"
+
+
+@query(f"""
+SELECT conv_id, 'English' AS reasoning_language, coalesce(s, 'You are a helpful AI assistant.') AS developer, u AS "user", '' AS analysis,
+  regexp_replace(a, {WHITE}, '', 'g') AS final FROM ({FIRST}) WHERE u IS NOT NULL AND a IS NOT NULL""")
+def sft_export(spark, folder):
+    return store.sft_rows(talks(spark, folder)).drop("messages")
+
+
+@query(f"""SELECT conv_id, coalesce(u, '') AS input, coalesce(a, '') AS output FROM ({FIRST})""")
+def first_pair(spark, folder):
+    turns = talks(spark, folder).select("conv_id", formats.to_sharegpt(F.col("messages")).alias("t"))
+    return turns.select("conv_id", formats.first_value(F.col("t"), "human").alias("input"), formats.first_value(F.col("t"), "gpt", "assistant").alias("output"))
+
+
+@query("""
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos,
+  CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS "from", text AS value FROM conversations""")
+def sharegpt_turns(spark, folder):
+    turns = talks(spark, folder).select("conv_id", F.posexplode(formats.to_sharegpt(F.col("messages"))).alias("pos", "t"))
+    return turns.select("conv_id", "pos", F.col("t.from").alias("from"), F.col("t.value").alias("value"))
+
+
+@query(f"""
+SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN 'step ' || turn END AS thinking,
+  CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN regexp_replace(text, {WHITE}, '', 'g') ELSE text END AS content FROM conversations""")
+def think_roundtrip(spark, folder):
+    thinking = F.when((F.col("role") == "assistant") & (F.col("turn") % 2 == 1), F.concat(F.lit("step "), F.col("turn")))
+    one = read(spark, folder, "conversations").withColumn("m", F.array(F.struct("role", F.col("text").alias("content"), thinking.alias("thinking"))))
+    back = one.select("conv_id", "turn", F.get(formats.to_openai(formats.to_sharegpt(F.col("m"))), F.lit(0)).alias("m"))
+    return back.select("conv_id", "turn", "m.role", "m.thinking", "m.content")
+
+
+@query("""SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3""")
+def history_last_n(spark, folder):
+    return stateful.last_turns(read(spark, folder, "conversations"), "conv_id", "turn", 3)
+
+
+@query(r"""SELECT conv_id, turn, text FROM conversations WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) >= 10""")
+def short_turn_filter(spark, folder):
+    return read(spark, folder, "conversations").where(text.enough_words(F.col("text"), 10)).select("conv_id", "turn", "text")
+
+
+@query("""SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'onand') OR contains(lower(source), 'onand')""")
+def keyword_search(spark, folder):
+    return store.search(read(spark, folder, "documents"), "OnAnd", ["text", "source", "no_such_column"]).select("doc_id", "lang")
+
+
+@query("""SELECT doc_id, source, n_chars FROM documents WHERE lang = 'fr'""")
+def split_load(spark, folder):
+    return read(spark, folder, "documents").where(F.col("lang") == "fr").select("doc_id", "source", "n_chars")
+
+
+@query("""SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 42""")
+def point_get(spark, folder):
+    return read(spark, folder, "documents").where(F.col("doc_id") == 42).limit(1).select("doc_id", "lang", "source", "n_chars")
+
+
+@query("""
+SELECT count(*) AS total_rows, count(*) FILTER (WHERE text <> '') AS has_output, count(l.doc_id) AS has_embedding,
+  count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'de') AS de FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def dataset_stats(spark, folder):
+    docs = read(spark, folder, "documents").join(read(spark, folder, "labels").select("doc_id", F.lit(True).alias("has_embedding")), "doc_id", "left")
+    rows = docs.select(F.col("lang").alias("split"), "source", F.col("text").alias("output"), F.coalesce("has_embedding", F.lit(False)).alias("has_embedding"))
+    count = lambda s: F.coalesce(F.try_element_at(F.map_from_entries("splits"), F.lit(s)), F.lit(0)).cast("long").alias(s)
+    return store.stats(rows).select("total_rows", "has_output", "has_embedding", count("en"), count("de"))
+
+
+@query("""
+SELECT 'documents' AS dataset_name, lang AS split, count(*) AS n FROM documents GROUP BY lang
+UNION ALL SELECT 'conversations', role, count(*) FROM conversations GROUP BY role""")
+def dataset_catalog(spark, folder):
+    docs = read(spark, folder, "documents").select(F.lit("documents").alias("dataset_name"), F.col("lang").alias("split"))
+    turns = read(spark, folder, "conversations").select(F.lit("conversations").alias("dataset_name"), F.col("role").alias("split"))
+    return store.catalog(docs.union(turns))
+
+
+@query("""
+WITH cur AS (SELECT 'd' || doc_id AS id, source || ':' || (doc_id % 40) AS input, n_chars FROM documents),
+  new AS (SELECT 'b' || item_id AS id, CASE WHEN item_id % 5 = 0 THEN '' ELSE 'src' || (item_id % 20) || ':' || (item_id % 40) END AS input, length(text) AS n_chars FROM benchmark)
+SELECT * FROM cur WHERE input NOT IN (SELECT input FROM new WHERE input <> '') UNION ALL SELECT * FROM new""")
+def upsert_batch(spark, folder):
+    current = read(spark, folder, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat("source", F.lit(":"), F.col("doc_id") % 40).alias("input"), "n_chars")
+    key = F.when(F.col("item_id") % 5 == 0, "").otherwise(F.concat(F.lit("src"), F.col("item_id") % 20, F.lit(":"), F.col("item_id") % 40))
+    return store.upsert(current, read(spark, folder, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), key.alias("input"), F.char_length("text").cast("long").alias("n_chars")))
+
+
+@query("""SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def unindexed_rows(spark, folder):
+    return vectors.missing_from(read(spark, folder, "documents"), read(spark, folder, "labels"), "doc_id").select("doc_id", "lang")
+
+
+@query("""SELECT d.doc_id, (l.doc_id IS NOT NULL) AS has_embedding FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def flag_indexed(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", F.lit(False).alias("has_embedding"))
+    return vectors.flag_indexed(docs, read(spark, folder, "labels"), "doc_id").select("doc_id", "has_embedding")
+
+
+@query()
+def chunk_plain_rows(spark, folder):
+    chunks = text.chunk_plain(F.col("text"), 1500, 200, r"\n+")
+    return read(spark, folder, "documents").select("doc_id", F.posexplode(chunks).alias("pos", "chunk")).select("doc_id", "pos", F.char_length("chunk").alias("n"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[*#`_~\\[\\]{}|\\\\<>@]', '', 'g'), '[ \\t]+', ' ', 'g'), """ + WHITE + """, '', 'g') AS cleaned FROM documents""")
+def clean_text(spark, folder):
+    return read(spark, folder, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[*#`_~\\[\\]{}|\\\\<>@]', '', 'g'), '[ \\t]+', ' ', 'g'), """ + WHITE + """, '', 'g') AS t FROM documents),
+s AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS p FROM c)
+SELECT doc_id, count(*) AS sentences, max(length(p)) AS longest FROM s WHERE p <> '' GROUP BY doc_id""")
+def sentence_rows(spark, folder):
+    parts = read(spark, folder, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("p"))
+    return parts.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.char_length("p")).cast("long").alias("longest"))
+
+
+@query()
+def tts_chunks(spark, folder):
+    return read(spark, folder, "documents").select("doc_id", F.posexplode(text.speech_chunks(F.col("text"))).alias("pos", "chunk"))
+
+
+@query("""
+SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'),
+  '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '^ +| +$', '', 'g'), 8000) AS text FROM pages""")
+def html_text(spark, folder):
+    return read(spark, folder, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
+
+
+HREFS = "SELECT page_id, unnest(regexp_extract_all(html, '(?:src|href)=[''\"]([^''\"#?]+)[''\"]', 1)) AS ref FROM pages"
+
+
+@query(f"""SELECT page_id, ref, count(*) AS n FROM ({HREFS}) GROUP BY page_id, ref""")
+def html_refs(spark, folder):
+    refs = read(spark, folder, "pages").select("page_id", F.explode(text.references(F.col("html"), "html")).alias("ref"))
+    return refs.groupBy("page_id", "ref").agg(F.count("*").alias("n"))
+
+
+def query_vector(spark, folder) -> list[float]:
+    """The vector of the smallest id asks."""
+    return read(spark, folder, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]
+
+
+SCORED = """SELECT e.vec_id, e.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s
+  FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q"""
+
+
+@query(f"""SELECT vec_id, round(s, 4) AS score FROM ({SCORED}) ORDER BY s DESC, vec_id LIMIT 10""")
+def cosine_topk(spark, folder):
+    return vectors.top_k(read(spark, folder, "embeddings"), query_vector(spark, folder), 10, "vec_id").withColumn("score", F.round("score", 4))
+
+
+@query(f"""
+SELECT label, vec_id, score FROM (SELECT label, vec_id, round(s, 4) AS score, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS r FROM ({SCORED}))
+WHERE r <= 8 ORDER BY score DESC, label, r LIMIT 8""")
+def search_all(spark, folder):
+    return vectors.search_all(read(spark, folder, "embeddings"), query_vector(spark, folder), 8, "label", "vec_id")
+
+
+@query(f"""SELECT t.vec_id, round(t.s, 4) AS score, d.lang FROM (SELECT vec_id, s FROM ({SCORED}) ORDER BY s DESC, vec_id LIMIT 12) t JOIN documents d ON d.doc_id = t.vec_id WHERE d.lang = 'en'""")
+def topk_lookup(spark, folder):
+    rows = read(spark, folder, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"), "lang")
+    return vectors.search(read(spark, folder, "embeddings"), rows, query_vector(spark, folder), 12, "vec_id")
+
+
+@query("""
+SELECT a.vec_id AS source, b.vec_id AS target, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4 AND b.vec_id <> a.vec_id + 1""")
+def semantic_edges(spark, folder):
+    rows = read(spark, folder, "embeddings")
+    known = rows.select(F.col("vec_id").alias("target"), (F.col("vec_id") + 1).alias("source"))
+    return vectors.similarity_edges(rows, known, 0.4, "vec_id").select("source", "target", F.round("similarity", 4).alias("similarity"))
+
+
+@query("""
+SELECT vec_id, label, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(before AS DOUBLE[])), 4) AS drift
+FROM (SELECT *, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings)""")
+def vector_drift(spark, folder):
+    return vectors.drift(read(spark, folder, "embeddings"), "label", "vec_id").select("vec_id", "label", "drift")
+
+
+@query("""SELECT d.doc_id, coalesce(l.toxic = 1, true) AS flagged FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def moderation_failsafe(spark, folder):
+    reply = F.when(F.col("toxic") == 1, " Yes ").when(F.col("toxic") == 0, "no")
+    return read(spark, folder, "documents").join(read(spark, folder, "labels"), "doc_id", "left").select("doc_id", quality.flagged(reply).alias("flagged"))
+
+
+@query("""SELECT doc_id, bool_or(flagged) AS any_flagged, bool_or(flagged) FILTER (WHERE c = 'harm') AS harm, bool_or(flagged) FILTER (WHERE c = 'profanity') AS profanity
+FROM (SELECT doc_id, 'harm' AS c, toxic = 1 AS flagged FROM labels UNION ALL SELECT doc_id, 'profanity', quality = 0 FROM labels) GROUP BY doc_id""")
+def moderation_pivot(spark, folder):
+    labels = read(spark, folder, "labels")
+    both = labels.select("doc_id", F.lit("harm").alias("category"), (F.col("toxic") == 1).alias("flagged")).union(labels.select("doc_id", F.lit("profanity"), F.col("quality") == 0))
+    return quality.verdict_map(both, "doc_id").select("doc_id", "any_flagged", F.col("verdicts")["harm"].alias("harm"), F.col("verdicts")["profanity"].alias("profanity"))
+
+
+@query("""
+SELECT source, round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN quality = 1 THEN 0.5 ELSE 0 END) * 100, 6) AS score,
+  avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN quality = 1 THEN 0.5 ELSE 0 END) * 100 >= 95 AS advances FROM labels JOIN documents USING (doc_id) GROUP BY source""")
+def completion_score(spark, folder):
+    grade = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "PASS").when(F.col("quality") == 1, "PARTIAL").otherwise("FAIL")
+    graded = read(spark, folder, "labels").join(read(spark, folder, "documents").select("doc_id", "source"), "doc_id").select("source", grade.alias("grade"))
+    return quality.completion(graded, "source").withColumn("score", F.round("score", 6))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\$([^$\n]{1,150})\$', 1)) AS spans FROM documents""")
+def latex_spans(spark, folder):
+    return read(spark, folder, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\$([^$\n]{1,150})\$"), 1)).cast("long").alias("spans"))
+
+
+CLAIM_TEXTS = [
+    "2 + 2 = 4", "2 + 2 = 5", "2 + 2 = 4 and 3 * 3 = 8", "1 / 0 = 5", "2^3 = 8", "$x = 5$", "$$4 = 4$$", "no maths here", "",
+]
+
+
+@query("""
+SELECT id, found, verified, failed, skipped, score::DOUBLE AS score, status FROM (VALUES (0, 1, 1, 0, 0, 1.0, 'passed'), (1, 1, 0, 1, 0, 0.0, 'failed'), (2, 2, 1, 1, 0, 0.5, 'failed'), (3, 1, 0, 0, 1, 1.0, 'passed'), (4, 1, 0, 0, 1, 1.0, 'passed'),
+  (5, 1, 0, 0, 1, 1.0, 'passed'), (6, 1, 1, 0, 0, 1.0, 'passed'), (7, 0, 0, 0, 0, 1.0, 'no_math'), (8, 0, 0, 0, 0, 1.0, 'no_math')) t(id, found, verified, failed, skipped, score, status)""")
+def claims_validation(spark, folder):
+    rows = spark.createDataFrame(list(enumerate(CLAIM_TEXTS)), "id int, text string")
+    return quality.validate(rows, "text", "id").drop("accepted")
+
+
+@query()
+def claims_in_documents(spark, folder):
+    return quality.validation_rollup(quality.validate(read(spark, folder, "documents"), "text", "doc_id"))
+
+
+@query(f"""SELECT CAST(page_id AS VARCHAR) AS source, ref AS target FROM ({HREFS}) GROUP BY page_id, ref""")
+def page_graph_edges(spark, folder):
+    refs = read(spark, folder, "pages").select(F.col("page_id").cast("string").alias("source"), F.posexplode(text.references(F.col("html"), "html")).alias("pos", "target"))
+    first = Window.partitionBy("source", "target").orderBy("pos")
+    return refs.withColumn("n", F.row_number().over(first)).where("n = 1").select("source", "target")
+
+
+@query(f"""
+WITH e AS (SELECT 'p' || page_id AS source, ref AS target FROM ({HREFS}) GROUP BY page_id, ref),
+  n AS (SELECT 'p' || page_id AS id, split_part(split_part(url, '://', 2), '/', 1) AS g FROM pages UNION SELECT ref, 'ref' FROM ({HREFS}))
+SELECT source, target FROM e WHERE source IN (SELECT id FROM n WHERE g LIKE '%.com' OR g = 'ref') AND target IN (SELECT id FROM n WHERE g LIKE '%.com' OR g = 'ref')""")
+def group_subgraph(spark, folder):
+    pages = read(spark, folder, "pages")
+    refs = pages.select(F.concat(F.lit("p"), "page_id").alias("source"), F.explode(text.references(F.col("html"), "html")).alias("target")).distinct()
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    nodes = pages.select(F.concat(F.lit("p"), "page_id").alias("id"), F.when(host.endswith(".com"), "com").otherwise("other").alias("group")).union(refs.select("target", F.lit("ref")).distinct())
+    return graph.hide_groups(nodes, refs, ["com", "ref"])[1]
+
+
+@query(f"""SELECT DISTINCT 'p7' AS id FROM pages UNION SELECT ref FROM ({HREFS}) WHERE page_id = 7""")
+def neighborhood(spark, folder):
+    refs = read(spark, folder, "pages").select(F.concat(F.lit("p"), "page_id").alias("source"), F.explode(text.references(F.col("html"), "html")).alias("target")).distinct()
+    nodes = refs.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    return graph.neighbourhood(nodes, refs, "p7")[0].select("id")
+
+
+@query("""SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, strlen(text) AS size, 'd' || doc_id || '.txt' AS label, source AS "group" FROM documents""")
+def node_metrics(spark, folder):
+    path = F.concat("source", F.lit("\\d"), "doc_id", F.lit(".txt"))
+    return read(spark, folder, "documents").select(
+        "doc_id", text.line_count(F.col("text")).cast("long").alias("lines"), F.octet_length("text").cast("long").alias("size"), text.basename(path).alias("label"), text.top_folder(path).alias("group")
+    )
+
+
+@query("""SELECT lang, count(*) AS n FROM documents GROUP BY lang""")
+def lang_counts(spark, folder):
+    return graph.language_counts(read(spark, folder, "documents"))
+
+
+THROTTLED = """
+WITH RECURSIVE a(event_type, ts) AS (
+  SELECT event_type, min(ts) FROM events GROUP BY event_type
+  UNION ALL
+  SELECT a.event_type, (SELECT min(e.ts) FROM events e WHERE e.event_type = a.event_type AND e.ts >= a.ts + INTERVAL 600 SECOND)
+  FROM a WHERE (SELECT min(e.ts) FROM events e WHERE e.event_type = a.event_type AND e.ts >= a.ts + INTERVAL 600 SECOND) IS NOT NULL)
+SELECT event_type, count(*) AS accepted, epoch_us(max(ts)) // 1000000 AS last_s FROM a GROUP BY event_type"""
+
+
+@query(THROTTLED)
+def throttle_events(spark, folder):
+    kept = stateful.throttle(read(spark, folder, "events").select("event_id", "event_type", "ts"), "event_type", "ts", 600.0, "event_id")
+    return kept.groupBy("event_type").agg(F.count("*").alias("accepted"), F.unix_seconds(F.max(F.col("ts").cast("timestamp"))).alias("last_s"))
+
+
+@query("""SELECT user_id, arg_max(event_type, (ts, event_type)) AS changed_by, CAST(epoch_us(max(ts)) AS BIGINT) AS at_us FROM events GROUP BY user_id""")
+def latest_change(spark, folder):
+    events = read(spark, folder, "events").select(F.col("user_id").cast("string").alias("file"), F.col("event_type").alias("by"), F.col("ts").cast("timestamp").alias("ts"))
+    nodes = events.select(F.col("file").alias("id")).distinct().withColumns({"changed_by": F.lit(None).cast("string"), "change_time": F.lit(None).cast("timestamp")})
+    return graph.apply_changes(nodes, events).select(F.col("id").cast("long").alias("user_id"), "changed_by", F.unix_micros("change_time").alias("at_us"))
+
+
+@query("""SELECT user_id, CAST(epoch_us(max(ts)) AS BIGINT) AS at_us FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 10""")
+def recent_keys(spark, folder):
+    return registry.recent(read(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts").select("user_id", F.unix_micros("last").alias("at_us"))
+
+
+@query("""SELECT path, base_model, quantization, architecture, size_gb::DOUBLE AS size_gb FROM (VALUES ('/m/a-Q4_K_M.gguf', 'base-a', 'Q4_K_M', 'llama', 4.56789), ('/m/b-BF16.gguf', '', 'BF16', '', 1.235), ('/m/phi-q8_0.gguf', 'p', 'Q8_0', 'phi', 2.0)) t(path, base_model, quantization, architecture, size_gb)""")
+def registry_upsert(spark, folder):
+    first = spark.createDataFrame([("/m/a-Q4_K_M.gguf", 1.23456, "base-a", "llama"), ("/m/phi-q8_0.gguf", 2.0, "p", "")], "path string, size_gb double, base_model string, architecture string")
+    known = registry.register_gguf(registry.empty_registry(spark), first)
+    again = spark.createDataFrame([("/m/a-Q4_K_M.gguf", 4.56789, ""), ("/m/b-BF16.gguf", 1.23456, "")], "path string, size_gb double, base_model string")
+    return registry.register_gguf(known, again).select("path", "base_model", "quantization", "architecture", "size_gb")
+
+
+@query("""SELECT * FROM (VALUES ('m-Q4_K_M.gguf', 'Q4_K_M', ''), ('Llama-q8_0.gguf', 'Q8_0', 'llama'), ('m.gguf', '', ''), ('qwen-BF16.gguf', 'BF16', 'qwen')) t(filename, quant, arch)""")
+def guess_quant(spark, folder):
+    names = spark.createDataFrame([(n,) for n in ("m-Q4_K_M.gguf", "Llama-q8_0.gguf", "m.gguf", "qwen-BF16.gguf")], "filename string")
+    return names.select("filename", text.quantization(F.col("filename")).alias("quant"), text.architecture(F.col("filename")).alias("arch"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'x_2.md'), (2, 'x_10.md'), (3, 'x_33.md')) t(place, path)""")
+def numeric_order(spark, folder):
+    names = spark.createDataFrame([(n,) for n in ("x_10.md", "x_33.md", "x_2.md")], "path string")
+    n = F.regexp_extract("path", r"_(\d+)\.md\z", 1).try_cast("long")
+    return names.select(F.row_number().over(Window.orderBy(n, "path")).alias("place"), "path")
+
+
+SCRIPT = "# A\n> note\n[B-ROLL: z]\nhi **you** (0:00 – 1:30)\n---\n```\ncode\n```\nand more\n# B\n## The `Third` Part!\nlast line"
+
+
+@query("""SELECT * FROM (VALUES (1, 'A', 'a', 'hi you and more'), (1, 'The `Third` Part!', 'the_third_part', 'last line')) t(script_id, name, slug, text)""")
+def script_sections(spark, folder):
+    return registry.script_sections(spark.createDataFrame([(1, SCRIPT)], "script_id int, text string")).select("script_id", "name", "slug", "text")
+
+
+MODELFILE = 'FROM m\n# note\nPARAMETER stop a\nPARAMETER stop b\nPARAMETER temperature 0.5\nPARAMETER num_ctx 4096\nSYSTEM """x\ny"""\nMESSAGE user hello there\n'
+
+
+@query("""SELECT 'm' AS base, 'x' || chr(10) || 'y' AS system, 'a,b' AS stop, 0.5::DOUBLE AS temperature, 4096::BIGINT AS num_ctx, 'hello there' AS said""")
+def modelfile_parse(spark, folder):
+    m = spark.createDataFrame([(MODELFILE,)], "t string").select(registry.parse_modelfile(F.col("t")).alias("m")).select("m", registry.typed_parameters(F.col("m.parameters")).alias("p"))
+    value = lambda key, field: F.get(F.filter("p", lambda e: e["key"] == key), F.lit(0))[field]
+    return m.select("m.base", "m.system", F.array_join(F.col("m.parameters")["stop"], ",").alias("stop"), value("temperature", "double_value").alias("temperature"), value("num_ctx", "long_value").alias("num_ctx"), F.get("m.messages", F.lit(0))["content"].alias("said"))
+
+
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2401.00001v1</id><title>A
+ title</title><summary>Some
+text</summary><published>2024-01-02T00:00:00Z</published><author><name>Ann B</name></author><author><name>C D</name></author>
+<link href="http://arxiv.org/abs/2401.00001v1" rel="alternate"/><link title="pdf" href="http://arxiv.org/pdf/2401.00001v1"/><category term="cs.LG"/><category term="cs.CL"/></entry>
+<entry><id>x</id><title></title></entry></feed>"""
+
+
+@query("""SELECT 'A  title' AS title, 'Ann B, C D' AS authors, 'Some text' AS abstract, 'cs.LG cs.CL' AS categories, 'http://arxiv.org/abs/2401.00001v1' AS arxiv_url,
+'http://arxiv.org/pdf/2401.00001v1' AS pdf_link, '2024-01-02' AS published, '2401.00001v1' AS arxiv_id""")
+def atom_papers(spark, folder):
+    rows = papers.parse_feed(spark.createDataFrame([(ATOM,)], "xml string"))
+    return rows.select("title", F.array_join("authors", ", ").alias("authors"), "abstract", F.array_join("categories", " ").alias("categories"), "arxiv_url", "pdf_link", "published", "arxiv_id")
+
+
+TREE = [
+    ("p/m.py", "import a\nimport p\n"), ("p/__init__.py", "from .m import z\nfrom . import m\n"), ("a.py", "import a\ndef f(): pass\nclass C: pass\n"),
+    ("web/x.js", "import u from './u'\nimport r from 'react'\n"), ("web/u/index.js", ""), ("README.md", ""), ("s/n.md", "[r](../README.md) [again](../README.md) [w](http://x.y/z.md)"), ("s/t.sh", "source ./u.sh\n"),
+]
+
+
+@query("""SELECT * FROM (VALUES ('p/m.py', 'a.py', 'import'), ('p/m.py', 'p/__init__.py', 'import'), ('p/__init__.py', 'p/m.py', 'import'), ('web/x.js', 'web/u/index.js', 'import'),
+('s/n.md', 'README.md', 'link')) t(source, target, type)""")
+def tree_edges(spark, folder):
+    return graph.edges(spark.createDataFrame(TREE, "path string, text string")).select("source", "target", "type")
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS turns, CAST(sum(length(text)) AS BIGINT) AS characters FROM conversations""")
+def stream_lines_total(spark, folder):
+    """The output stream of a model, one JSON line for each turn, decoded back to its text."""
+    lines = read(spark, folder, "conversations").select(F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.col("text").alias("text")).alias("delta"))).alias("line"))
+    said = lines.select(formats.delta_text(F.col("line")).alias("said"))
+    return said.agg(F.count("*").alias("turns"), F.sum(F.char_length("said")).alias("characters"))
+
+
+@query()
+def spoken_stream(spark, folder):
+    """Every turn fed word by word through the sentence buffer."""
+    turns = read(spark, folder, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.posexplode(F.split("text", r"(?<=\s)")).alias("seq", "token"))
+    return stateful.sentence_chunks(turns.withColumn("seq", F.col("seq").cast("long")))
+
+
+@query()
+def voice_segment_frames(spark, folder):
+    """Events as frames of one stream for each type: values over their middle are speech."""
+    frames = read(spark, folder, "events").select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("frame_no"), (F.col("value") > 50).alias("is_speech"))
+    return stateful.voice_segments(frames, silence_ms=120)

@@ -22,19 +22,22 @@ def watched(changes: DataFrame, path_col: str = "file") -> DataFrame:
 
 
 def throttle(events: DataFrame, key: str, ts: str, seconds: float, tie: str) -> DataFrame:
-    """Accepted events of a finite table. An event after a pause of `seconds` is always accepted, so the stretches
-    between pauses are groups of their own; ties in time go by the tie column."""
-    order = Window.partitionBy(key).orderBy(ts, tie)
-    at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    timed = events.withColumn("_t", at).withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(order) >= seconds).cast("int"), F.lit(1)))
-    cut = timed.withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
-
-    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", tie])
-        machine = Throttle(seconds)
-        return pdf[[machine.feed(t) for t in pdf["_t"]]]
-
-    return cut.groupBy(key, "_part").applyInPandas(accept, cut.schema).drop("_t", "_part")
+    """Accepted events of a finite table, ties in time by the tie column. Each key's events are sorted in one
+    partition and streamed through a machine of one number; no group is held in memory."""
+    timed = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    ordered = timed.repartition(key).sortWithinPartitions(key, "_t", tie)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, machine = None, Throttle(seconds)
+        for pdf in parts:
+            keep = []
+            for k, t in zip(pdf[key], pdf["_t"]):
+                if machine.last is None or k != current:
+                    current, machine = k, Throttle(seconds)
+                keep.append(machine.feed(t))
+            yield pdf[keep]
+
+    return ordered.mapInPandas(run, ordered.schema).drop("_t")
 
 
 def stream_throttle(events: DataFrame, key: str, ts: str, seconds: float, tie: str) -> DataFrame:
