@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import without
 
+TIE_BITS = 20  # an index holds fewer rows than this many bits count
+LAST = (1 << TIE_BITS) - 1
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_|`~#$%&@^-+=/\\“”«»…"
 
 
@@ -50,6 +52,9 @@ class Index:
     quiet: float  # the rate of label 1 among labelled rows without a term
     prior: float
     bound: np.ndarray | None = None  # blocks x terms
+    tie: np.ndarray | None = None  # by row: falls with the id
+    row_of: np.ndarray | None = None  # rows by rising id
+    block_tie: np.ndarray | None = None  # the largest tie of each block
     postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # terms, and rows x those terms
     slope: float = 1.0
     shift: float = 0.0
@@ -65,39 +70,55 @@ class Index:
     def fill(self, counts: list[dict[int, int]]) -> None:
         blocks = -(-len(counts) // self.size)
         self.bound = np.zeros((blocks, len(self.terms)))
+        place = np.empty(len(counts), np.int64)
+        place[np.argsort(self.ids, kind="stable")] = np.arange(len(counts))
+        self.tie = LAST - place  # of equal cosines the smaller id has the larger tie
+        self.row_of = np.argsort(self.ids, kind="stable")
         for b in range(blocks):
-            x = self.vectors(counts[b * self.size : (b + 1) * self.size])
+            rows = slice(b * self.size, (b + 1) * self.size)
+            x = self.vectors(counts[rows])
             terms = np.flatnonzero(x.any(axis=0))
             self.postings.append((terms, np.ascontiguousarray(x[:, terms])))
             self.bound[b, terms] = x[:, terms].max(axis=0)
+        self.block_tie = np.array([self.tie[b * self.size : (b + 1) * self.size].max() for b in range(blocks)], np.int64)
 
     def nearest(self, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each row of q the k labelled rows of the largest cosine over 0 (-1 where there are fewer), ties to
-        the smaller id, without row skip[i]. A query opens blocks by falling upper bound, until no closed block can hold a better row."""
+        the smaller id, without row skip[i].
+
+        A cosine of 12 digits and its tie are one integer, so a block's upper bound also says whether the block
+        may win a tie. Each query first opens its block of the largest bound; then each block is opened once, for all
+        queries whose k-th best it may still beat."""
         n = len(q)
-        rows, best = np.full((n, k), -1), np.zeros((n, k))
-        upper = q @ self.bound.T if len(self.postings) else np.zeros((n, 0))
-        order = np.argsort(-upper, axis=1, kind="stable")
-        for turn in range(order.shape[1]):
-            block = order[:, turn]
-            open_ = upper[np.arange(n), block]
-            active = np.flatnonzero((open_ > 1e-12) & (open_ >= best[:, -1] - 1e-9))
-            if not len(active):
-                break
-            for b in np.unique(block[active]):
-                who = active[block[active] == b]
-                terms, x = self.postings[b]
-                score = np.round(q[np.ix_(who, terms)] @ x.T, 12)
-                here = np.arange(b * self.size, b * self.size + x.shape[0])
-                if skip is not None:
-                    score[here[None, :] == skip[who][:, None]] = 0
-                all_rows = np.concatenate([rows[who], np.broadcast_to(here, score.shape)], 1)
-                all_scores = np.concatenate([best[who], score], 1)
-                ids = np.where(all_rows >= 0, self.ids[all_rows], np.iinfo(np.int64).max)
-                top = np.lexsort((ids, -all_scores), axis=1)[:, :k]
-                best[who] = np.take_along_axis(all_scores, top, 1)
-                rows[who] = np.where(best[who] > 0, np.take_along_axis(all_rows, top, 1), -1)
-        return rows, best
+        best = np.zeros((n, k), np.int64)
+        upper = np.minimum(q @ self.bound.T, 1.0) if self.postings else np.zeros((n, 0))
+        may = np.where(upper > 1e-12, (np.rint(upper * 1e12).astype(np.int64) + 2000 << TIE_BITS) | self.block_tie[None, :] if self.postings else 0, 0)
+
+        def visit(b: int, who: np.ndarray) -> None:
+            terms, x = self.postings[b]
+            score = np.rint((q[who][:, terms] @ x.T) * 1e12).astype(np.int64)
+            here = np.arange(b * self.size, b * self.size + x.shape[0])
+            keys = np.where(score > 0, (score << TIE_BITS) | self.tie[here], 0)
+            if skip is not None:
+                keys[here[None, :] == skip[who][:, None]] = 0
+            better = keys.max(axis=1) > best[who].min(axis=1)
+            who = who[better]
+            best[who] = np.partition(np.concatenate([best[who], keys[better]], 1), -k, axis=1)[:, -k:]
+
+        if may.shape[1]:
+            first = may.argmax(axis=1)
+            first[may[np.arange(n), first] == 0] = -1
+            for b in range(may.shape[1]):
+                who = np.flatnonzero(first == b)
+                if len(who):
+                    visit(b, who)
+            for b in range(may.shape[1]):
+                who = np.flatnonzero((may[:, b] > best.min(axis=1)) & (first != b))
+                if len(who):
+                    visit(b, who)
+        best = -np.sort(-best, axis=1)
+        rows = np.where(best > 0, self.row_of[np.where(best > 0, LAST - (best & LAST), 0)], -1) if len(self.ids) else np.full((n, k), -1)
+        return rows, (best >> TIE_BITS) / 1e12
 
     def votes(self, rows: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Share of label 1 among neighbours, weighted by nearness and by what each row stands for."""
@@ -108,8 +129,8 @@ class Index:
         """Calibrated scores, and neighbours with their cosines."""
         scores, rows, cosine = np.full(len(counts), self.quiet), np.full((len(counts), k), -1), np.zeros((len(counts), k))
         some = [i for i, c in enumerate(counts) if c] if self.postings else []
-        for at in range(0, len(some), 256):
-            part = some[at : at + 256]
+        for at in range(0, len(some), 1024):
+            part = some[at : at + 1024]
             rows[part], cosine[part] = self.nearest(self.vectors([counts[i] for i in part]), k)
             scores[part] = self.calibrated(self.votes(rows[part], cosine[part]))
         return scores, rows, cosine
@@ -181,16 +202,16 @@ def learn(docs: DataFrame, labelled: DataFrame, most_terms: int = 1024, least_ch
     none = [r for r in rows if not r["terms"]]
     prior = (sum(r["weight"] * r["toxic"] for r in rows) + 0.5) / (w_all + 1)
     quiet = (sum(r["weight"] * r["toxic"] for r in none) + 0.5 * prior) / (sum(r["weight"] for r in none) + 0.5)
-    # Rows that share their rarest term lie in one block, which keeps the bounds tight.
+    # Rows that share their rarest terms lie side by side, which keeps the bounds tight.
     idf = np.log((total + 1) / (df + 1)) + 1
-    rows = sorted((r for r in rows if r["terms"]), key=lambda r: (max(r["terms"], key=lambda t: (idf[t], t)), r["doc_id"]))
+    rows = sorted((r for r in rows if r["terms"]), key=lambda r: (sorted(r["terms"], key=lambda t: (-idf[t], t)), r["doc_id"]))
     column = lambda c, kind: np.array([r[c] for r in rows], kind)
     index = Index(terms, idf, column("doc_id", np.int64), column("toxic", np.float64), column("weight", np.float64), block, quiet, prior)
     bags = [dict(zip(r["terms"], r["times"])) for r in rows]
     index.fill(bags)
     votes = np.zeros(len(rows))
-    for at in range(0, len(rows), 256):
-        votes[at : at + 256] = index.votes(*index.nearest(index.vectors(bags[at : at + 256]), k, skip=np.arange(at, min(at + 256, len(rows)))))
+    for at in range(0, len(rows), 1024):
+        votes[at : at + 1024] = index.votes(*index.nearest(index.vectors(bags[at : at + 1024]), k, skip=np.arange(at, min(at + 1024, len(rows)))))
     if len(rows) > 1 and 0 < index.toxic.sum() < len(rows):
         z = np.log(np.clip(votes, 1e-4, 1 - 1e-4) / (1 - np.clip(votes, 1e-4, 1 - 1e-4)))
         for _ in range(300):  # a little ridge keeps separable labels finite
