@@ -121,21 +121,26 @@ def features(types: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+    """Of scores held between -40 and 40, in place."""
+    np.clip(z, -40, 40, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
 def forward(w: Weights, f: tuple, types: np.ndarray):
     """Class probabilities of all rows, and word probabilities inside the class for rows of frequent words."""
     last, skip1, skip2, pair = f
-    p = softmax(w.last[last] + w.skip1[skip1] + w.skip2[skip2] + w.pair[pair] + w.bias)
+    z = np.take(w.last, last, axis=0)
+    for table, ids in ((w.skip1, skip1), (w.skip2, skip2), (w.pair, pair)):
+        z += np.take(table, ids, axis=0)
+    z += w.bias
+    p = softmax(z)
     rows = np.flatnonzero(types < FREQUENT)
     c = types[rows] // WIDTH
     blocks = lambda t: t.reshape(-1, WIDTH)
     per = FREQUENT // WIDTH
-    q = softmax(blocks(w.in_last)[last[rows] * per + c] + blocks(w.in_skip)[skip1[rows] * per + c] + blocks(w.in_bias)[c])
+    q = softmax(np.take(blocks(w.in_last), last[rows] * per + c, axis=0) + np.take(blocks(w.in_skip), skip1[rows] * per + c, axis=0) + np.take(blocks(w.in_bias), c, axis=0))
     return p, rows, c, q
 
 
@@ -152,12 +157,12 @@ def log_probability(w: Weights, f: tuple, types: np.ndarray) -> np.ndarray:
     return out
 
 
-def row_sums(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids, the sum of the rows of each, and how many."""
-    order = np.argsort(ids, kind="stable")
+def row_sums(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sum of the rows of each."""
+    order = np.argsort(ids.astype(np.int16), kind="stable")  # all ids are under 2**15; 16 bits sort by radix
     ordered = ids[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.concatenate([first, [len(ids)]]))
+    return ordered[first], np.add.reduceat(np.take(values, order, axis=0), first, axis=0)
 
 
 class Trainer:
@@ -172,18 +177,18 @@ class Trainer:
         p, rows, c, q = forward(self.w, f, types)
         p[np.arange(len(types)), class_of(types)] -= 1
         q[np.arange(len(rows)), types[rows] % WIDTH] -= 1
-        for name, ids in (("last", last), ("skip1", skip1), ("skip2", skip2), ("pair", pair), ("bias", np.zeros(len(types), np.int64))):
-            self._move(name, ids, p, CLASSES)
+        for name, ids in (("last", last), ("skip1", skip1), ("skip2", skip2), ("pair", pair)):
+            self._move(name, *row_sums(ids, p), len(p), CLASSES)
+        self._move("bias", np.zeros(1, np.int64), np.ones(len(p), np.float32)[None, :] @ p, len(p), CLASSES)
         per = FREQUENT // WIDTH
         if len(rows):
             for name, ids in (("in_last", last[rows] * per + c), ("in_skip", skip1[rows] * per + c), ("in_bias", c)):
-                self._move(name, ids, q, WIDTH)
+                self._move(name, *row_sums(ids, q), len(q), WIDTH)
 
-    def _move(self, name: str, ids: np.ndarray, g: np.ndarray, width: int) -> None:
-        which, total, n = row_sums(ids, g)
-        total /= len(g) ** 0.5
+    def _move(self, name: str, which: np.ndarray, total: np.ndarray, n: int, width: int) -> None:
+        total /= np.float32(n**0.5)
         seen = self.seen[name]
-        seen[which] += (total * total).mean(axis=1)
+        seen[which] += np.einsum("ij,ij->i", total, total) / width
         table = getattr(self.w, name).reshape(-1, width)
         table[which] -= self.rate * total / np.sqrt(seen[which])[:, None]
 
