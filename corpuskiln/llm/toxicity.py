@@ -68,6 +68,8 @@ class Index:
         return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
 
     def fill(self, counts: list[dict[int, int]]) -> None:
+        if len(counts) > LAST:
+            raise ValueError(f"an index holds at most {LAST} rows; take a smaller sample of labelled rows")
         blocks = -(-len(counts) // self.size)
         self.bound = np.zeros((blocks, len(self.terms)))
         place = np.empty(len(counts), np.int64)
