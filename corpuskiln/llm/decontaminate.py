@@ -21,6 +21,7 @@ NUMBER = re.compile(rb"[#$+\-]?\d[\d.,:/]*%?")
 DIGIT = re.compile(rb"\d")
 MEASURE = re.compile(rb"[$+\-]?\d[\d.,]*[A-Za-z%/]+")
 STRIP = b".,;:!?\"'()[]{}<>*_|`~"
+RAW = 1 << 32  # seed of hashes over tokens without placeholders
 WORD, NUM, QTY, UNIT, NAME = range(5)
 KINDS = np.array(["WORD", "NUM", "QTY", "UNIT", "NAME"])
 
@@ -64,8 +65,8 @@ class Canon:
         possible = kind != WORD or capital or not core or self.wanted is None or code in self.wanted
         return code, kind, capital, token[-1:] in b".!?:", not core, possible
 
-    def __call__(self, text: bytes, width: int = 0) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray] | None:
-        """The tokens with a core, their codes, their kinds, and whether a wanted window can hold them.
+    def __call__(self, text: bytes, width: int = 0) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """The tokens with a core, their codes, their kinds, whether a wanted window can hold them, and their codes without placeholders.
         With a width: None if no `width` tokens in a row can, which a look at each token alone tells."""
         if len(self.ids) > self.most:
             self.reset()
@@ -87,82 +88,89 @@ class Canon:
             if not (run[width - 1] == width or (run[width:] - run[:-width] == width).any()):
                 return None
         if not len(got):
-            return [], np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)
-        code, kind, capital, ends, empty, possible = (c[got] for c in self.table)
+            return [], np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, np.uint64)
+        raw, kind, capital, ends, empty, possible = (c[got] for c in self.table)
         inside = np.concatenate([[False], ~ends[:-1]])
         kind = np.where(capital & inside, NAME, kind)
-        code = np.where(kind == WORD, code, kind.astype(np.uint64) + np.uint64(1))
+        code = np.where(kind == WORD, raw, kind.astype(np.uint64) + np.uint64(1))
         if empty.any():
             tokens = [t for t, e in zip(tokens, empty) if not e]
-            code, kind, possible = code[~empty], kind[~empty], possible[~empty]
-        return tokens, code, kind, possible
+            code, kind, possible, raw = code[~empty], kind[~empty], possible[~empty], raw[~empty]
+        return tokens, code, kind, possible, raw
 
 
-def window_hashes(code: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    h = np.full(len(at), width, np.uint64)
+def window_hashes(code: np.ndarray, at: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    h = np.full(len(at), seed + width, np.uint64)
     for j in range(width):
         h = (h ^ code[at + j]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
     return h
 
 
-def windows(texts: DataFrame, id_name: str, widths: list[int], literals: float, wanted=None) -> DataFrame:
-    """(id, h, at, slots) of every template window; with wanted (broadcast: a sorted array of hashes, and the set of their literal tokens' codes) only of those.
+def windows(texts: DataFrame, id_name: str, widths: list[int], literals: float, wanted=None, both: bool = False) -> DataFrame:
+    """(id, h, at, slots, raw) of every window; with wanted (broadcast: a sorted array of hashes, and the set of their tokens' codes) only of those.
 
-    Equal windows with equal slots in one text are one row. Windows with too few literal tokens say little and are left out.
+    A template window has enough literal tokens. A window with fewer says little as a template, so it has a hash of
+    its tokens as they are and no slots; with both, every window has that hash besides. Windows of a text
+    that are equal and without slots are one row; those with slots come with each place.
     """
 
     def run(batches):
         keep, words = wanted.value if wanted is not None else (None, None)
         canon = Canon(words)
         for b in batches:
-            ids, hashes, ats, slot_lists = [], [], [], []
+            ids, hashes, ats, slot_lists, raws = [], [], [], [], []
             for id_, text in zip(b.column(id_name).to_pylist(), b.column("text").to_pylist()):
                 got = canon(text, min(widths) if keep is not None else 0)
                 if got is None:
                     continue
-                tokens, code, kind, possible = got
+                tokens, code, kind, possible, raw = got
                 literal = np.concatenate([[0], np.cumsum(kind == WORD)])
                 runs = np.concatenate([[0], np.cumsum(possible)])
                 seen = set()
                 for width in widths:
                     if len(code) < width:
                         continue
-                    places = np.flatnonzero((literal[width:] - literal[:-width] >= literals * width) & (runs[width:] - runs[:-width] == width))
-                    h = window_hashes(code, places, width)
-                    if keep is not None and len(h):
-                        near = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
-                        here = keep[near] == h if len(keep) else np.zeros(len(h), bool)
-                        places, h = places[here], h[here]
-                    for i, value in zip(places.tolist(), h.view(np.int64).tolist()):
-                        spots = [j for j in range(i, i + width) if kind[j] != WORD] if literal[i + width] - literal[i] < width else []
-                        slots = tuple(f"{KINDS[kind[j]]}={tokens[j].strip(STRIP).lower().decode('utf-8', 'replace')}" for j in spots)
-                        row = (value, slots)
-                        if row not in seen:
-                            seen.add(row)
+                    able = runs[width:] - runs[:-width] == width
+                    rich = literal[width:] - literal[:-width] >= literals * width
+                    for plain, which in ((False, able & rich), (True, able if both else able & ~rich)):
+                        places = np.flatnonzero(which)
+                        h = window_hashes(raw, places, width, RAW) if plain else window_hashes(code, places, width)
+                        if keep is not None and len(h):
+                            near = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
+                            here = keep[near] == h if len(keep) else np.zeros(len(h), bool)
+                            places, h = places[here], h[here]
+                        for i, value in zip(places.tolist(), h.view(np.int64).tolist()):
+                            spots = [j for j in range(i, i + width) if kind[j] != WORD] if not plain and literal[i + width] - literal[i] < width else []
+                            if not spots:
+                                if value in seen:
+                                    continue
+                                seen.add(value)
                             ids.append(id_)
-                            hashes.append(row[0])
+                            hashes.append(value)
                             ats.append(i)
-                            slot_lists.append(list(slots))
+                            slot_lists.append([f"{KINDS[kind[j]]}={tokens[j].strip(STRIP).lower().decode('utf-8', 'replace')}" for j in spots])
+                            raws.append(plain)
                     if keep is None and len(ids) > 200_000:
-                        yield _batch(ids, hashes, ats, slot_lists)
-                        ids, hashes, ats, slot_lists = [], [], [], []
-            yield _batch(ids, hashes, ats, slot_lists)
+                        yield _batch(ids, hashes, ats, slot_lists, raws)
+                        ids, hashes, ats, slot_lists, raws = [], [], [], [], []
+            yield _batch(ids, hashes, ats, slot_lists, raws)
 
-    return texts.mapInArrow(run, "id long, h long, at int, slots array<string>")
+    return texts.mapInArrow(run, "id long, h long, at int, slots array<string>, raw boolean")
 
 
-def _batch(ids, hashes, ats, slots) -> pa.RecordBatch:
+def _batch(ids, hashes, ats, slots, raws) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(ats, pa.int32()), pa.array(slots, pa.list_(pa.string()))], ["id", "h", "at", "slots"]
+        [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(ats, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(raws, pa.bool_())],
+        ["id", "h", "at", "slots", "raw"],
     )
 
 
-def literal_codes(texts: DataFrame) -> DataFrame:
+def token_codes(texts: DataFrame) -> DataFrame:
     def run(batches):
         canon = Canon()
         for b in batches:
-            codes = [code[kind == WORD] for _, code, kind, _ in map(canon, b.column("text").to_pylist())]
+            codes = [raw for *_, raw in map(canon, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*codes, np.zeros(0, np.uint64)]).view(np.int64))], ["code"])
 
     return texts.mapInArrow(run, "code long")
@@ -176,7 +184,7 @@ def item_classes(items: DataFrame, item_id: str, text_col: str) -> DataFrame:
         for b in batches:
             keys, sizes = [], []
             for text in b.column("text").to_pylist():
-                tokens, code, kind, _ = canon(text)
+                tokens, code, *_ = canon(text)
                 slots = b" ".join(t.strip(STRIP).lower() for t in tokens)
                 keys.append(xxhash.xxh3_128_hexdigest(slots + code.tobytes()))
                 sizes.append(len(code))
@@ -194,10 +202,13 @@ def contamination(
     """(doc_id, item_id, item_ids, hits, coverage, slots, changed_slots, consistent, kind): a row for each
     document and distinct benchmark text that it holds.
 
-    Texts become token templates with NUM, QTY, UNIT and NAME placeholders. A document holds an item
-    if it has least_coverage of the item's template windows, or windows over least_run tokens' worth of
-    it, and the slots map consistently: equal slot values of the item always meet one value in
-    the document. Then kind is `exact` (no slot changed) or `reparameterised`. Items shorter than a
+    Texts become token templates with NUM, QTY, UNIT and NAME placeholders; windows with few literal tokens
+    count by their tokens as they are. A document holds an item if an occurrence has least_coverage of the item's
+    template windows or of all its windows, or windows over least_run tokens' worth of it, and its slots
+    map consistently: equal slot values of the item always meet one value. Occurrences are the hits of one
+    offset, of offsets close to each other (words put in or left out), and of the whole document; unchanged windows
+    of the document count for each, and are an occurrence by themselves. The fullest one is
+    reported: kind is `exact` (no slot changed) or `reparameterised`. Items shorter than a
     window use one window of their own length; items under least_tokens tokens are too common to
     tell and are skipped, as are null ids of items. Null and empty texts hold nothing. Rows of one
     doc_id are one document; rows with a null id are left out. item_ids lists all items with the
@@ -214,29 +225,52 @@ def contamination(
     for which, w in plan:
         part = windows(classes.where(which).select("id", "text"), "id", [w], literals)
         asked = part if asked is None else asked.union(part)
-    asked = written(asked.toDF("item_id", "h", "item_at", "item_slots"), "item-windows")
+    asked = written(asked.toDF("item_id", "h", "item_at", "item_slots", "item_raw"), "item-windows")
+    raw_too = not asked.where("item_raw").isEmpty()
     hashes = asked.select("h").distinct()
     wanted = None
     if hashes.count() <= most_broadcast:
-        words = {r["code"] for r in literal_codes(classes.select("text")).distinct().collect()}  # at most `width` for each window
+        words = {r["code"] for r in token_codes(classes.select("text")).distinct().collect()}  # at most `width` for each window
         wanted = spark.sparkContext.broadcast((np.sort(hashes.toPandas()["h"].to_numpy(np.int64).view(np.uint64)), {c & (1 << 64) - 1 for c in words}))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("text")).where("id IS NOT NULL")
-    found = windows(rows, "id", [width, *sorted(short)], literals, wanted).toDF("doc_id", "h", "at", "slots")
-    met = written(found.join(asked, "h").select("doc_id", "item_id", "item_at", "item_slots", "slots"), "met")
-    sizes = asked.groupBy("item_id").agg(F.count_distinct("item_at").alias("windows"))
-    spots = met.select("doc_id", "item_id", F.inline(F.arrays_zip("item_slots", "slots"))).toDF("doc_id", "item_id", "from", "to").distinct()
+    found = windows(rows, "id", [width, *sorted(short)], literals, wanted, raw_too).drop("raw").toDF("doc_id", "h", "at", "slots")
+    sizes = asked.groupBy("item_id").agg(
+        F.count_distinct("item_at").alias("windows"), F.count_distinct(F.when(~F.col("item_raw"), F.col("item_at"))).alias("templates"),
+        F.max(F.col("item_at")).alias("last_at"),
+    )
+    met = found.join(asked, "h").join(F.broadcast(sizes.select("item_id", "last_at")), "item_id")
+    met = met.select("doc_id", "item_id", "item_at", "item_raw", "item_slots", "slots", (F.col("at") - F.col("item_at")).alias("offset"), "last_at").distinct()
+    met = written(met.withColumn("same", F.col("item_slots") == F.col("slots")), "met")
+    half = F.greatest(F.floor((F.col("last_at") + 1) / 2), F.lit(1))
+    near = lambda shift: F.floor((F.col("offset") + shift) / half).cast("long")
+    group = lambda kind, at: F.struct(F.lit(kind).alias("way"), at.cast("long").alias("place"))
+    ways = F.array(group(0, F.lit(0)), group(1, F.col("offset")), group(2, near(F.lit(0))), group(3, near(F.floor(half / 2))))
+    key = ["doc_id", "item_id", "way", "place"]
+    grouped = met.select("*", F.inline(F.when(F.col("same"), F.concat(ways, F.array(group(4, F.lit(0))))).otherwise(ways)))
     fits = (
-        spots.groupBy("doc_id", "item_id", "from").agg(F.count("*").alias("ways"), F.max(F.col("from") != F.col("to")).alias("changed"))
-        .groupBy("doc_id", "item_id").agg(F.count("*").alias("slots"), F.count_if("changed").alias("changed_slots"), (F.max("ways") == 1).alias("consistent"))
+        grouped.select(*key, F.inline(F.arrays_zip("item_slots", "slots"))).toDF(*key, "from", "to").distinct()
+        .groupBy(*key, "from").agg(F.count("*").alias("ways"), F.max(F.col("from") != F.col("to")).alias("changed"))
+        .groupBy(*key).agg(F.count("*").alias("slots"), F.count_if("changed").alias("changed_slots"), (F.max("ways") == 1).alias("consistent"))
     )
-    hits = met.groupBy("doc_id", "item_id").agg(F.count_distinct("item_at").alias("hits"))
-    return (
-        hits.join(sizes, "item_id").join(fits, ["doc_id", "item_id"], "left").join(classes.select(F.col("id").alias("item_id"), "item_ids"), "item_id")
+    place = F.struct("item_at", "item_raw")
+    same = met.where("same").groupBy("doc_id", "item_id").agg(F.collect_set(place).alias("same_at"))
+    hits = grouped.groupBy(*key).agg(F.collect_set(place).alias("own_at")).join(same, ["doc_id", "item_id"], "left")
+    every = F.when(F.col("same_at").isNull(), F.col("own_at")).otherwise(F.array_union("own_at", "same_at"))
+    counted = hits.select(*key, every.alias("e")).select(*key, F.size("e").alias("hits"), F.size(F.filter("e", lambda x: ~x["item_raw"])).alias("template_hits"))
+    of_templates = F.when(F.col("templates") > 0, F.col("template_hits") / F.col("templates")).otherwise(0.0)
+    verdicts = (
+        counted.join(F.broadcast(sizes), "item_id").join(fits, key, "left")
         .select(
-            "doc_id", "item_id", "item_ids", "hits", (F.col("hits") / F.col("windows")).alias("coverage"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"),
-            F.coalesce("changed_slots", F.lit(0)).cast("long").alias("changed_slots"), F.coalesce("consistent", F.lit(True)).alias("consistent"),
+            "doc_id", "item_id", F.col("hits").cast("long").alias("hits"), F.greatest(F.col("hits") / F.col("windows"), of_templates).alias("coverage"),
+            F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed_slots", F.lit(0)).cast("long").alias("changed_slots"),
+            F.coalesce("consistent", F.lit(True)).alias("consistent"),
         )
         .where(((F.col("coverage") >= least_coverage) | (F.col("hits") + (width - 1) >= least_run)) & F.col("consistent"))
+        .groupBy("doc_id", "item_id").agg(F.max(F.struct("hits", (-F.col("changed_slots")).alias("kept"), "slots", "coverage", "changed_slots", "consistent")).alias("v"))
+    )
+    return (
+        verdicts.join(classes.select(F.col("id").alias("item_id"), "item_ids"), "item_id")
+        .select("doc_id", "item_id", "item_ids", "v.hits", "v.coverage", "v.slots", "v.changed_slots", "v.consistent")
         .withColumn("kind", F.when(F.col("changed_slots") > 0, "reparameterised").otherwise("exact"))
     )
 
