@@ -14,7 +14,7 @@ from corpuskiln.llm.common import fold, table, written
 from corpuskiln.llm.decontaminate import decontaminate
 from corpuskiln.llm.line_dedup import dedup_lines
 from corpuskiln.llm.mixing import mix
-from corpuskiln.llm.simhash import keep_one
+from corpuskiln.llm.near_copies import keep_one_similar
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies."""
-    return keep_one(docs.select(COLUMNS)).select(COLUMNS)
+    """The document of the smallest id of each group of texts that share four fifths of their five-word shingles."""
+    return keep_one_similar(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
