@@ -18,12 +18,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("article aside blockquote body div dl fieldset footer form header html main nav ol section table td th ul menu".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|title|svg|iframe|select|textarea|button|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|title|textarea)(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
+#: Left out with all they hold, if they end; those of NESTED may hold one another.
+DROPPED = frozenset("noscript template svg iframe select button object canvas".split())
+NESTED = frozenset("template svg object".split())
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|\d+")
 
@@ -42,6 +45,25 @@ def names_of(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *(f".{w}" for w in dict.fromkeys(words)))
 
 
+def ends_of(tokens: list[re.Match]) -> dict[int, int]:
+    """For each dropped element that ends, the places of its tags among the tokens; self-closed ones and those without an end tag have none."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for i, m in enumerate(tokens):
+        tag = (m[3] or m[6] or "").lower()
+        if tag not in DROPPED:
+            continue
+        places = opened.setdefault(tag, [])
+        if m[2] or m[5]:
+            if places:
+                ends[places.pop()] = i
+        elif not m[0].endswith("/>"):
+            if tag not in NESTED:
+                places.clear()
+            places.append(i)
+    return ends
+
+
 def blocks_of(page: str) -> list[Block]:
     """Runs of text between block tags, white space made single. Scripts, styles, form controls, titles, comments and markup are left out."""
     out: list[Block] = []
@@ -63,10 +85,17 @@ def blocks_of(page: str) -> list[Block]:
             state[0] += len(piece)
 
     at = 0
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    dropped = ends_of(tokens)
+    for i, m in enumerate(tokens):
+        if m.start() < at:  # inside a dropped element
+            continue
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
+        if i in dropped:
+            at = tokens[dropped[i]].end()
+            continue
         tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
