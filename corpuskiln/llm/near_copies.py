@@ -46,8 +46,8 @@ def often(sets: DataFrame, total: int, sample: int) -> tuple[np.ndarray, np.ndar
     """Shingles that several of about `sample` sets hold, sorted, and in how many; they only order the
     shingles of a set, so that the search is exact whatever the sample holds."""
     some = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, total // sample))) == 0)
-    got = some.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 2").toPandas()
-    h, c = got["h"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
+    got = some.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 2").toArrow()
+    h, c = got["h"].to_numpy(), got["c"].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
