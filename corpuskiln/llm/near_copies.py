@@ -1,45 +1,35 @@
-"""Near copies by exact similarity of word shingles: a prefix-filtered set join, verified on whole sets."""
+"""Near copies: SimHash links of word shingles, and a prefix-filtered set join for links beyond their reach, all verified on whole sets."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import long_lists, longs, text_bytes, without, written
 from .components import components
-
-
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle, no word gives none."""
-    parts = text.lower().split()
-    if len(parts) <= words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(parts))] if parts else [], np.uint64)
-    joined = b" ".join(parts)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = ends - sizes + 1
-    n = len(parts) - words + 1
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n))
+from .simhash import majority_bits, near_duplicates, shingle_hashes
 
 
 def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, version, node, n, shingles) for every row; node is a hash of the set, version of the text."""
+    """(doc_id, version, node, fp, n, shingles) for every row; node is a hash of the set, version of the text, fp the SimHash."""
     text = text_bytes(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t, words) for t in b.column("text").to_pylist()]
-            nodes = longs([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("version"), nodes, pa.array(list(map(len, sets)), pa.int32()), long_lists(sets)],
-                ["doc_id", "version", "node", "n", "shingles"],
-            )
+            for at in range(0, len(b), 500):
+                part = b.slice(at, 500)
+                every = [shingle_hashes(t, words) for t in part.column("text").to_pylist()]
+                sets = list(map(np.unique, every))
+                nodes = longs([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("version"), nodes, longs(list(map(majority_bits, every))), pa.array(list(map(len, sets)), pa.int32()), long_lists(sets)],
+                    ["doc_id", "version", "node", "fp", "n", "shingles"],
+                )
 
-    return rows.mapInArrow(run, "doc_id long, version long, node long, n int, shingles array<long>")
+    return rows.mapInArrow(run, "doc_id long, version long, node long, fp long, n int, shingles array<long>")
 
 
 def often(sets: DataFrame, total: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,24 +90,27 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample
     """(doc_id, version, root) for every row: root names the texts reachable over links of texts whose
     sets of word shingles have a Jaccard similarity of `similarity` or more.
 
-    Equal sets are one node. Two sets that similar share one of their rarest shingles. First each
-    node is held against one node of each of its shingles, which shrinks dense clusters without pairs;
-    then every pair left between different components. All pairs are verified on the whole sets.
+    Equal sets are one node. Links are found in two ways and verified on the whole sets. SimHash
+    fingerprints link a node to the least one of its SimHash component. Two sets of that similarity may
+    differ in more bits than a pigeonhole search can reach, but they share one of their rarest shingles:
+    first each node is held against the one node of its shingles that it shares most with, which shrinks
+    dense clusters without pairs; then every pair left between different components is tried.
     """
     every = written(shingle_sets(docs, words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "shingles")
     copied = written(every.groupBy("node").agg(F.min("row").alias("first_row"), F.count("*").alias("c")).where("c > 1").select(F.col("node").alias("copied"), "first_row"), "copied")
-    sets = every.where("n > 0").join(small(copied), F.col("node") == F.col("copied"), "left").where("first_row IS NULL OR row = first_row").select("node", "n", "shingles")
+    sets = every.where("n > 0").join(small(copied), F.col("node") == F.col("copied"), "left").where("first_row IS NULL OR row = first_row").select("node", "fp", "n", "shingles")
     known = docs.sparkSession.sparkContext.broadcast(often(sets, sets.count(), sample))
+    hashed = near_duplicates(sets.select(F.col("node").alias("doc_id"), "fp")).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     rows = written(prefixes(sets, similarity, known), "prefixes")
-    hubs = written(rows.groupBy("h").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "hubs")
+    hubs = written(rows.groupBy("h").agg(F.min(F.struct("node", "n", "at")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "hubs")
     shared = written(rows.join(small(hubs), "h"), "shared")
-    stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = components(similar(stars, sets, similarity))
+    hub = lambda name: F.col("hub")[name]
+    stars = shared.where((F.col("node") != hub("node")) & may_link(F.col("n"), F.col("at"), hub("n"), hub("at"), similarity)).select(hub("node").alias("a"), F.col("node").alias("b"))
+    stars = stars.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    first = components(similar(stars.union(hashed).distinct(), sets, similarity))
     classed = written(shared.join(first.toDF("node", "root"), "node", "left").select("h", "node", "n", "at", F.coalesce("root", "node").alias("root")), "classed")
     x, y = classed.toDF("h", "a", "na", "ata", "ra"), classed.toDF("h", "b", "nb", "atb", "rb")
-    left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))  # a shared shingle has none of the other's before it, at its first meeting
-    need = (F.col("na") + F.col("nb")) * similarity / (1 + similarity) - 1e-6
-    near = (x["h"] == y["h"]) & (x["ra"] < y["rb"]) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6) & (left >= need)
+    near = (x["h"] == y["h"]) & (x["ra"] < y["rb"]) & may_link(F.col("na"), F.col("ata"), F.col("nb"), F.col("atb"), similarity)
     pairs = x.join(y, near).select("ra", "rb", "a", "b").distinct()
     second = components(similar(pairs.select("a", "b"), sets, similarity).join(_roots(classed, "a"), "a").join(_roots(classed, "b"), "b").select("ra", "rb").toDF("a", "b"))
     tops = second.toDF("mid", "top")
@@ -127,6 +120,13 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample
     return every.select("doc_id", "version", "node").join(linked, F.col("node") == F.col("link"), "left").select("doc_id", "version", F.coalesce("root", "node").alias("root"))
 
 
+def may_link(na: Column, ata: Column, nb: Column, atb: Column, similarity: float) -> Column:
+    """Sets of na and nb shingles that share those at places ata and atb, counted from the rarest, and none before, can be similar enough."""
+    left = F.least(na - ata, nb - atb)
+    need = (na + nb) * similarity / (1 + similarity) - 1e-6
+    return (F.least(na, nb) >= F.greatest(na, nb) * similarity - 1e-6) & (left >= need)
+
+
 def _roots(classed: DataFrame, name: str) -> DataFrame:
     return classed.select("node", "root").distinct().toDF(name, f"r{name}")
 

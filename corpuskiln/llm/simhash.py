@@ -16,25 +16,33 @@ from .components import components
 BITS = 64
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """Bits that are set in over half the hashes of a text's word shingles; no word gives 0."""
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; a shorter text is one shingle, no word gives none."""
     parts = text.lower().split()
-    if not parts:
-        return 0
+    digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), seed)
+        return np.array([digest(b" ".join(parts), seed)] if parts else [], np.uint64)
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     ends = np.cumsum(sizes) - 1
     starts = ends - sizes + 1
     n = len(parts) - words + 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the hashes; 0 for none."""
+    if not len(hashes):
+        return 0
     set_in = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):  # a very long text takes no more memory than this many shingles
+    for at in range(0, len(hashes), 1 << 16):  # a very long text takes no more memory than this many shingles
         block = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         set_in += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(set_in * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(set_in * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
+    return majority_bits(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
