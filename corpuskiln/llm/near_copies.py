@@ -12,62 +12,81 @@ from .components import components
 from .simhash import majority_bits, near_duplicates, shingle_hashes
 
 
-def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, version, node, fp, n, shingles) for every row; node is a hash of the set, version of the text, fp the SimHash."""
+def often(docs: DataFrame, words: int, sample: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about `sample` distinct texts hold, sorted, and in how many; they only order the
+    shingles of a set, so that the search is exact whatever the sample holds."""
+    text = text_bytes(F.col(text_col))
+    share = F.lit(max(1, docs.count() // sample))
+    some = docs.select(F.xxhash64(text).alias("version"), text.alias("text")).where(F.pmod("version", share) == 0).groupBy("version").agg(F.first("text").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 200):
+                sets = [np.unique(shingle_hashes(t, words)) for t in b.column("text").slice(at, 200).to_pylist()]
+                yield pa.RecordBatch.from_arrays([longs(np.concatenate([*sets, np.zeros(0, np.uint64)]))], ["h"])
+
+    got = some.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 2").toArrow()
+    h, c = got["h"].to_numpy(), got["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def shingle_sets(docs: DataFrame, words: int, similarity: float, known, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, version, node, fp, n, shingles, prefix) for every row: version is a hash of the text, node one of its set of
+    shingles, fp the SimHash, n the set's size. shingles has 32 bits of each, to verify with: in two sets of a thousand one
+    more or less may seem shared once in some thousand pairs. prefix has the rarest shingles, rarest
+    first, so many that two sets as similar as asked share one of them."""
     text = text_bytes(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
     def run(batches):
+        common, counts = known.value
+
+        def prefix(own: np.ndarray) -> np.ndarray:
+            values = own.view(np.int64)
+            weight = np.zeros(len(own), np.int64)
+            if len(common) and len(own):
+                near = np.minimum(np.searchsorted(common, values), len(common) - 1)
+                weight = np.where(common[near] == values, counts[near], 0)
+            return own[np.lexsort((values, weight))[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]]
+
         for b in batches:
             for at in range(0, len(b), 500):
                 part = b.slice(at, 500)
                 every = [shingle_hashes(t, words) for t in part.column("text").to_pylist()]
                 sets = list(map(np.unique, every))
                 nodes = longs([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets])
+                sizes = list(map(len, sets))
+                low = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("version"), nodes, longs(list(map(majority_bits, every))), pa.array(list(map(len, sets)), pa.int32()), long_lists(sets)],
-                    ["doc_id", "version", "node", "fp", "n", "shingles"],
+                    [part.column("doc_id"), part.column("version"), nodes, longs(list(map(majority_bits, every))), pa.array(sizes, pa.int32()), low, long_lists(list(map(prefix, sets)))],
+                    ["doc_id", "version", "node", "fp", "n", "shingles", "prefix"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, version long, node long, fp long, n int, shingles array<long>")
+    return rows.mapInArrow(run, "doc_id long, version long, node long, fp long, n int, shingles array<int>, prefix array<long>")
 
 
-def often(sets: DataFrame, total: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about `sample` sets hold, sorted, and in how many; they only order the
-    shingles of a set, so that the search is exact whatever the sample holds."""
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, total // sample))) == 0)
-    got = some.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 2").toArrow()
-    h, c = got["h"].to_numpy(), got["c"].to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
-
-
-def prefixes(sets: DataFrame, similarity: float, known) -> DataFrame:
-    """(h, node, n, at): the rarest shingles of each set, so many that two sets as similar as asked share one."""
+def shared_rows(sets: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """(h, node, n, at) for each shingle of a prefix that several prefixes hold. Up to `most` such shingles are broadcast (8 bytes
+    each), so that the others, nearly all, need not be shuffled; more meet their rows in a join."""
+    again = written(sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "again")
+    if again.count() > most:
+        return sets.select(F.posexplode("prefix").alias("at", "h"), "node", "n").join(again, "h").select("h", "node", "n", "at")
+    wanted = sets.sparkSession.sparkContext.broadcast(np.sort(again.toArrow()["h"].to_numpy()))
 
     def run(batches):
-        common, counts = known.value
+        keep = wanted.value
         for b in batches:
-            lists = b.column("shingles")
-            flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-            weight = np.zeros(len(flat), np.int64)
-            if len(common) and len(flat):
-                near = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-                weight = np.where(common[near] == flat, counts[near], 0)
-            hs, ats = [], []
-            for end, n in zip(ends.tolist(), b.column("n").to_pylist()):
-                own = flat[end - n : end]
-                first = np.lexsort((own, weight[end - n : end]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-                hs.append(own[first])
-                ats.append(np.arange(len(first), dtype=np.int32))
-            times = [len(h) for h in hs]
-            nodes, ns = (np.repeat(b.column(c).to_numpy(), times) for c in ("node", "n"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*hs, np.zeros(0, np.int64)])), pa.array(nodes), pa.array(ns.astype(np.int32)), pa.array(np.concatenate([*ats, np.zeros(0, np.int32)]))],
-                ["h", "node", "n", "at"],
-            )
-
-    return sets.mapInArrow(run, "h long, node long, n int, at int")
+            lists = b.column("prefix")
+            sizes = lists.value_lengths().to_numpy()
+            h = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            here = keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h if len(keep) else np.zeros(len(h), bool)
+            node, n = (b.column(c).to_numpy()[row[here]] for c in ("node", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(h[here]), pa.array(node), pa.array(n), pa.array(at[here].astype(np.int32))], ["h", "node", "n", "at"])
+
+    return sets.select("node", "n", "prefix").mapInArrow(run, "h long, node long, n int, at int")
 
 
 def small(stored: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -96,19 +115,19 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample
     first each node is held against the one node of its shingles that it shares most with, which shrinks
     dense clusters without pairs; then every pair left between different components is tried.
     """
-    every = written(shingle_sets(docs, words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    known = docs.sparkSession.sparkContext.broadcast(often(docs, words, sample, text_col))
+    every = written(shingle_sets(docs, words, similarity, known, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "shingles")
     copied = written(every.groupBy("node").agg(F.min("row").alias("first_row"), F.count("*").alias("c")).where("c > 1").select(F.col("node").alias("copied"), "first_row"), "copied")
-    sets = every.where("n > 0").join(small(copied), F.col("node") == F.col("copied"), "left").where("first_row IS NULL OR row = first_row").select("node", "fp", "n", "shingles")
-    known = docs.sparkSession.sparkContext.broadcast(often(sets, sets.count(), sample))
+    sets = every.where("n > 0").join(small(copied), F.col("node") == F.col("copied"), "left").where("first_row IS NULL OR row = first_row").select("node", "fp", "n", "shingles", "prefix")
     hashed = near_duplicates(sets.select(F.col("node").alias("doc_id"), "fp")).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    rows = written(prefixes(sets, similarity, known), "prefixes")
-    hubs = written(rows.groupBy("h").agg(F.min(F.struct("node", "n", "at")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "hubs")
-    shared = written(rows.join(small(hubs), "h"), "shared")
+    rows = written(shared_rows(sets), "rows")
+    hubs = written(rows.groupBy("h").agg(F.min(F.struct("node", "n", "at")).alias("hub")), "hubs")
+    shared = rows.join(small(hubs), "h")
     hub = lambda name: F.col("hub")[name]
     stars = shared.where((F.col("node") != hub("node")) & may_link(F.col("n"), F.col("at"), hub("n"), hub("at"), similarity)).select(hub("node").alias("a"), F.col("node").alias("b"))
     stars = stars.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
     first = components(similar(stars.union(hashed).distinct(), sets, similarity))
-    classed = written(shared.join(first.toDF("node", "root"), "node", "left").select("h", "node", "n", "at", F.coalesce("root", "node").alias("root")), "classed")
+    classed = written(rows.join(first.toDF("node", "root"), "node", "left").select("h", "node", "n", "at", F.coalesce("root", "node").alias("root")), "classed")
     x, y = classed.toDF("h", "a", "na", "ata", "ra"), classed.toDF("h", "b", "nb", "atb", "rb")
     near = (x["h"] == y["h"]) & (x["ra"] < y["rb"]) & may_link(F.col("na"), F.col("ata"), F.col("nb"), F.col("atb"), similarity)
     pairs = x.join(y, near).select("ra", "rb", "a", "b").distinct()
