@@ -151,3 +151,39 @@ def apply_changes(node_rows: DataFrame, changes: DataFrame) -> DataFrame:
     last = changes.groupBy("file").agg(F.max("ts").alias("_ts"), F.max_by("by", F.struct("ts", "by")).alias("_by"))
     joined = node_rows.join(last, node_rows["id"] == last["file"], "left")
     return joined.select(*[F.coalesce("_by", "changed_by").alias(c) if c == "changed_by" else F.coalesce("_ts", "change_time").alias(c) if c == "change_time" else F.col(f"`{c}`") for c in node_rows.columns])
+
+
+# ---- projects: many trees in one set of tables, told apart by a project column
+
+
+def register(projects: DataFrame, paths: DataFrame) -> DataFrame:
+    """projects (path, place) plus the paths not known yet, each once, placed after those known in the order of `place`."""
+    new = paths.groupBy("path").agg(F.min("place").alias("place")).join(projects.select("path"), "path", "left_anti")
+    last = projects.agg(F.coalesce(F.max("place"), F.lit(-1)).alias("last"))  # one row
+    return projects.select("path", "place").unionByName(new.join(F.broadcast(last)).select("path", (F.col("last") + 1 + F.col("place")).alias("place")))
+
+
+def project_list(projects: DataFrame, node_rows: DataFrame) -> DataFrame:
+    """(path, name, files) of every project, 0 files where it has no node."""
+    files = node_rows.groupBy(F.col("project").alias("path")).agg(F.count("*").alias("n"))
+    return projects.join(files, "path", "left").select("path", F.substring_index("path", "/", -1).alias("name"), F.coalesce("n", F.lit(0)).alias("files"))
+
+
+def snapshot(projects: DataFrame, rows: DataFrame, project: str | None = None) -> DataFrame:
+    """Nodes or edges of a project; of the one registered first if it is unknown or not given."""
+    choice = projects.agg(F.coalesce(F.max(F.when(F.col("path") == F.lit(project), F.col("path"))), F.min_by("path", "place")).alias("chosen"))  # one row
+    return rows.join(F.broadcast(choice), rows["project"] == choice["chosen"], "left_semi")
+
+
+def refresh(node_rows: DataFrame, project: str, found: DataFrame) -> DataFrame:
+    """node_rows with a project's nodes replaced by those found in a new scan; what is known of changes to a node stays."""
+    kept = node_rows.where(~F.col("project").eqNullSafe(F.lit(project)))
+    known = node_rows.where(F.col("project") == project).select(F.col("id").alias("_id"), F.col("changed_by").alias("_by"), F.col("change_time").alias("_at"))
+    new = found.join(known, found["id"] == known["_id"], "left")
+    value = lambda c: F.lit(project) if c == "project" else F.col("_by") if c == "changed_by" else F.col("_at") if c == "change_time" else F.col(f"`{c}`")
+    return kept.unionByName(new.select(*[value(c).alias(c) for c in node_rows.columns]))
+
+
+def unknown_files(node_rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """(file) of changes whose file is no node yet: their project needs a refresh."""
+    return changes.select("file").distinct().join(node_rows.select(F.col("id").alias("file")), "file", "left_anti")

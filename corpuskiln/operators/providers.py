@@ -30,7 +30,8 @@ def apply_provider(rows: DataFrame, make: Callable[[], Provider], text_col: str,
                         out.append(None)
             yield pd.Series(out, dtype=object)
 
-    return rows.withColumn(out_col, call(F.col(text_col)))
+    # Nondeterministic: else a filter on the result is pushed below and every text is asked twice.
+    return rows.withColumn(out_col, call.asNondeterministic()(F.col(text_col)))
 
 
 def hash_embedder(dim: int = 64) -> Provider:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import formats, text
+from ..functions import chunks as cuts, formats, text
+from ..functions.stored import stored_folder
 from ..operators import graph, quality, registry, vectors
-from ..sources import papers, store
+from ..sources import files, papers, store
 from ..streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,9 +83,9 @@ def short_turn_filter(spark, folder):
     return read(spark, folder, "conversations").where(text.enough_words(F.col("text"), 10)).select("conv_id", "turn", "text")
 
 
-@query("""SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'onand') OR contains(lower(source), 'onand')""")
+@query("""SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'idiot') OR contains(lower(source), 'idiot')""")
 def keyword_search(spark, folder):
-    return store.search(read(spark, folder, "documents"), "OnAnd", ["text", "source", "no_such_column"]).select("doc_id", "lang")
+    return store.search(read(spark, folder, "documents"), "Idiot", ["text", "source", "no_such_column"]).select("doc_id", "lang")
 
 
 @query("""SELECT doc_id, source, n_chars FROM documents WHERE lang = 'fr'""")
@@ -139,7 +140,7 @@ def flag_indexed(spark, folder):
 
 @query()
 def chunk_plain_rows(spark, folder):
-    chunks = text.chunk_plain(F.col("text"), 1500, 200, r"\n+")
+    chunks = cuts.chunk_plain(F.col("text"), 1500, 200, r"\n+")
     return read(spark, folder, "documents").select("doc_id", F.posexplode(chunks).alias("pos", "chunk")).select("doc_id", "pos", F.char_length("chunk").alias("n"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
@@ -153,8 +154,9 @@ WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[*
 s AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS p FROM c)
 SELECT doc_id, count(*) AS sentences, max(length(p)) AS longest FROM s WHERE p <> '' GROUP BY doc_id""")
 def sentence_rows(spark, folder):
-    parts = read(spark, folder, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("p"))
-    return parts.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.char_length("p")).cast("long").alias("longest"))
+    sizes = F.transform(text.sentences(F.col("text")), F.char_length)
+    each = read(spark, folder, "documents").select("doc_id", sizes.alias("sizes")).where("size(sizes) > 0")
+    return each.select("doc_id", F.size("sizes").cast("long").alias("sentences"), F.array_max("sizes").cast("long").alias("longest"))
 
 
 @query()
@@ -163,8 +165,8 @@ def tts_chunks(spark, folder):
 
 
 @query("""
-SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'),
-  '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '^ +| +$', '', 'g'), 8000) AS text FROM pages""")
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'),
+  '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '^ +| +$', '', 'g') AS text FROM pages""")
 def html_text(spark, folder):
     return read(spark, folder, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
@@ -269,9 +271,8 @@ def claims_in_documents(spark, folder):
 
 @query(f"""SELECT CAST(page_id AS VARCHAR) AS source, ref AS target FROM ({HREFS}) GROUP BY page_id, ref""")
 def page_graph_edges(spark, folder):
-    refs = read(spark, folder, "pages").select(F.col("page_id").cast("string").alias("source"), F.posexplode(text.references(F.col("html"), "html")).alias("pos", "target"))
-    first = Window.partitionBy("source", "target").orderBy("pos")
-    return refs.withColumn("n", F.row_number().over(first)).where("n = 1").select("source", "target")
+    refs = read(spark, folder, "pages").select(F.col("page_id").cast("string").alias("source"), F.explode(text.references(F.col("html"), "html")).alias("target"))
+    return refs.distinct()
 
 
 @query(f"""
@@ -350,8 +351,8 @@ def guess_quant(spark, folder):
 @query("""SELECT * FROM (VALUES (1, 'x_2.md'), (2, 'x_10.md'), (3, 'x_33.md')) t(place, path)""")
 def numeric_order(spark, folder):
     names = spark.createDataFrame([(n,) for n in ("x_10.md", "x_33.md", "x_2.md")], "path string")
-    n = F.regexp_extract("path", r"_(\d+)\.md\z", 1).try_cast("long")
-    return names.select(F.row_number().over(Window.orderBy(n, "path")).alias("place"), "path")
+    ordered = names.orderBy(files.numeric_order(F.col("path")), "path").agg(F.collect_list("path").alias("paths"))
+    return ordered.select(F.posexplode("paths").alias("at", "path")).select((F.col("at") + 1).alias("place"), "path")
 
 
 SCRIPT = "# A\n> note\n[B-ROLL: z]\nhi **you** (0:00 – 1:30)\n---\n```\ncode\n```\nand more\n# B\n## The `Third` Part!\nlast line"
@@ -418,3 +419,60 @@ def voice_segment_frames(spark, folder):
     """Events as frames of one stream for each type: values over their middle are speech."""
     frames = read(spark, folder, "events").select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("frame_no"), (F.col("value") > 50).alias("is_speech"))
     return stateful.voice_segments(frames, silence_ms=120)
+
+
+@query("""
+WITH f AS (SELECT event_type AS stream_id, event_id AS frame_no, NOT coalesce(value > 50, false) AS silent FROM events),
+b AS (SELECT stream_id, min(frame_no) AS "begin" FROM f WHERE NOT silent GROUP BY stream_id),
+n AS (SELECT f.*, b."begin", sum(silent::INT) OVER (PARTITION BY f.stream_id ORDER BY frame_no ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS quiet
+      FROM f JOIN b USING (stream_id) WHERE frame_no >= b."begin" AND frame_no < b."begin" + 1000)
+SELECT stream_id, "begin", coalesce(min(frame_no) FILTER (WHERE quiet >= 4), max(frame_no)) AS "end" FROM n GROUP BY ALL""")
+def voice_continue_frames(spark, folder):
+    """Each type's frames go on from its first speech."""
+    frames = read(spark, folder, "events").select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("frame_no"), F.coalesce(F.col("value") > 50, F.lit(False)).alias("is_speech"))
+    starts = frames.where("is_speech").groupBy("stream_id").agg(F.min("frame_no").alias("begin"))
+    return stateful.voice_continue(frames, starts, silence_ms=120)
+
+
+@query("""
+WITH said AS (SELECT conv_id, turn, 'user' AS role, text FROM conversations WHERE role = 'system'),
+last AS (SELECT conv_id, max(turn) AS m FROM conversations WHERE role <> 'system' GROUP BY conv_id)
+SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system' UNION ALL
+SELECT s.conv_id, coalesce(m + 1, 0) + row_number() OVER (PARTITION BY s.conv_id ORDER BY turn) - 1, role, text FROM said s LEFT JOIN last USING (conv_id)""")
+def history_append(spark, folder):
+    """System turns said again as the user, after the other turns."""
+    turns = read(spark, folder, "conversations")
+    said = turns.where("role = 'system'").select("conv_id", F.lit("user").alias("role"), "text", F.col("turn").alias("place"))
+    return stateful.append_turns(turns.where("role <> 'system'"), said)
+
+
+@query("""SELECT source AS path, source AS name, count(*) FILTER (WHERE lang = 'en') AS files FROM documents GROUP BY source""")
+def project_registry(spark, folder):
+    """Sources as projects, registered twice; English documents are their files."""
+    docs = read(spark, folder, "documents")
+    found = docs.groupBy(F.col("source").alias("path")).agg(F.min("doc_id").alias("place"))
+    projects = graph.register(graph.register(found.limit(0), found), found)
+    return graph.project_list(projects, docs.where("lang = 'en'").select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("id")))
+
+
+@query("""
+WITH first AS (SELECT source FROM documents ORDER BY doc_id LIMIT 1)
+SELECT doc_id::VARCHAR AS id, source AS project FROM documents WHERE source = (SELECT source FROM first) AND lang <> 'fr'""")
+def project_snapshot(spark, folder):
+    """The first project after a refresh that found its documents but the French ones."""
+    docs = read(spark, folder, "documents")
+    projects = docs.groupBy(F.col("source").alias("path")).agg(F.min("doc_id").alias("place"))
+    nodes = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("project"), F.lit(None).cast("string").alias("changed_by"), F.lit(None).cast("timestamp").alias("change_time"))
+    first = docs.orderBy("doc_id").first()["source"]
+    found = docs.where((F.col("source") == first) & (F.col("lang") != "fr")).select(F.col("doc_id").cast("string").alias("id"))
+    return graph.snapshot(projects, graph.refresh(nodes, first, found), "no such project").select("id", "project")
+
+
+@query("""SELECT label::VARCHAR AS name, count(*) AS count FROM embeddings GROUP BY label""")
+def index_listing(spark, folder):
+    """Vectors stored as one index for each label, then listed."""
+    index = store.VectorIndex(spark, stored_folder(spark))
+    vectors_ = read(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("dataset_name"), "embedding")
+    for r in vectors_.select("dataset_name").distinct().collect():  # a few labels
+        index.save(r["dataset_name"], vectors_.where(F.col("dataset_name") == r["dataset_name"]))
+    return index.listing().select("name", "count")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import formats, text
+from ..functions.chunks import chunk_document as chunks_of
+from ..functions.stored import stored
 from ..operators import graph, quality, vectors
 from ..operators.providers import Provider, apply_provider
 
@@ -14,7 +16,7 @@ from ..operators.providers import Provider, apply_provider
 def document_chunks(docs: DataFrame, most_chunks: int | None = 20) -> DataFrame:
     """(path, doc_type, pos, chunk) of (path, text): chunked by kind, at most `most_chunks` a document (None: all)."""
     kind = text.doc_type(F.col("path"))
-    chunks = text.chunk_document(F.col("text"), F.col("doc_type"))
+    chunks = chunks_of(F.col("text"), F.col("doc_type"))
     listed = docs.withColumn("doc_type", kind).withColumn("chunks", chunks)
     some = F.col("chunks") if most_chunks is None else F.slice("chunks", 1, most_chunks)
     return listed.select("path", "doc_type", F.posexplode(some).alias("pos", "chunk"))
@@ -33,6 +35,7 @@ def generate_conversations(
     else:
         checked = talks.withColumn("said", quality.moderation_text(F.col("messages")))
         judged = apply_provider(checked, moderator, "said", "verdict", "string").withColumn("harm", quality.flagged(F.col("verdict"))).drop("said", "verdict")
+    judged = stored(judged, "judged")  # both results read it, and the models are asked once
     real = judged.where("messages IS NOT NULL")
     stats = judged.groupBy("path").agg(
         F.count("messages").alias("made"), F.count_if(F.col("messages").isNotNull() & ~F.col("harm")).alias("kept"), F.count_if(F.col("messages").isNull() | F.col("harm")).alias("failed")

@@ -1,7 +1,7 @@
 """A store of prompt datasets: one Parquet folder for each, typed rows, staged writes.
 
-Rows live in `<root>/prompts/<name>/<version>`; a change writes a new version and then moves the
-pointer file, so readers never see half a write and no path is overwritten while it is read.
+Rows live in parts, `<root>/prompts/<name>/<part>`; a numbered manifest names the parts of a version. A change writes
+a new part and then the next manifest, so readers never see half a write and no path is overwritten while it is read.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions import formats
 from ..functions.common import none_if_empty, or_empty, strip
 from ..functions.text import contains_any
-from ..schemas import OPENAI, PROMPTS, SHAREGPT, TAGS
+from ..schemas import INDEX, OPENAI, PROMPTS, SHAREGPT, TAGS
 
 DEFAULT_SYSTEM = "You are a helpful AI assistant."
 
@@ -67,13 +67,22 @@ def upsert(current: DataFrame, rows: DataFrame, key: str = "input", dedupe: str
     return current.join(keys, current[key] == keys["replaced"], "left_anti").unionByName(rows)
 
 
+def value_counts(rows: DataFrame, column: str) -> DataFrame:
+    return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
+
+
+def histogram(rows: DataFrame, column: str, most: int = 1000) -> DataFrame:
+    top = value_counts(rows, column).orderBy(F.desc("count"), "value").limit(most)
+    return top.agg(F.sort_array(F.collect_list(F.struct("value", "count"))).alias(f"{column}s"))
+
+
 def stats(rows: DataFrame) -> DataFrame:
-    """One row: total_rows, has_output, has_embedding, and histograms of split and source as sorted arrays."""
+    """One row: total_rows, has_output, has_embedding, and histograms of split and source: arrays of their most frequent values (a thousand at most), sorted.
+    value_counts has all of them as rows."""
     total = rows.agg(
         F.count("*").alias("total_rows"), F.count_if(or_empty(F.col("output")) != "").alias("has_output"), F.count_if("has_embedding").alias("has_embedding")
     )
-    histogram = lambda c: rows.groupBy(F.col(c).alias("value")).count().agg(F.sort_array(F.collect_list(F.struct("value", "count"))).alias(f"{c}s"))
-    return total.join(F.broadcast(histogram("split"))).join(F.broadcast(histogram("source")))  # one row each
+    return total.join(F.broadcast(histogram(rows, "split"))).join(F.broadcast(histogram(rows, "source")))  # one row each, of bounded size
 
 
 def catalog(rows: DataFrame) -> DataFrame:
@@ -130,39 +139,65 @@ def view(rows: DataFrame, row: int | None = None, most: int | None = 5) -> DataF
 class PromptStore:
     """Named datasets under a root folder of any Hadoop file system."""
 
+    kind, schema = "prompts", PROMPTS
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _path(self, name: str):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/prompts/{name.replace('/', '_').replace(chr(92), '_')}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.kind}/{name.replace('/', '_').replace(chr(92), '_')}")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _version(self, name: str) -> str | None:
+    def _versions(self, name: str) -> list[tuple[int, list[str]]]:
+        """(number, parts) of every complete manifest, oldest first; a manifest ends with the line `end`."""
+        path, fs, _ = self._path(name)
+        marks = sorted(s.getPath().toString() for s in fs.listStatus(path)) if fs.exists(path) else []
+        out = []
+        for mark in (m for m in marks if m.endswith(".manifest")):
+            *parts, end = [r.value for r in self.spark.read.text(mark, wholetext=True).limit(1).collect()][0].split("\n")
+            if end == "end":
+                out.append((int(mark.rsplit("/", 1)[1].split(".")[0]), parts))
+        return out
+
+    def _publish(self, name: str, number: int, parts: list[str]) -> None:
+        """The next version is these parts. Two writers of one number: the second one fails here and changes nothing."""
         path, fs, make = self._path(name)
-        marks = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
-        done = [m.removesuffix(".ready") for m in marks if m.endswith(".ready")]
-        return f"{path}/{done[-1]}" if done else None
+        out = fs.create(make(f"{path}/{number:010d}.manifest"), False)
+        out.writeBytes("\n".join([*parts, "end"]))
+        out.close()
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        part = uuid.uuid4().hex
+        conform(rows, self.schema).write.option("compression", "snappy").parquet(f"{self._path(name)[0]}/{part}")
+        return part
 
     def load(self, name: str, split: str | None = None) -> DataFrame:
         """All rows, or those of a split; a missing dataset is empty. Absent columns are filled in."""
-        at = self._version(name)
-        rows = conform(self.spark.read.parquet(at), PROMPTS) if at else self.spark.createDataFrame([], PROMPTS)
+        versions = self._versions(name)
+        parts = [f"{self._path(name)[0]}/{p}" for p in versions[-1][1]] if versions else []
+        rows = conform(self.spark.read.option("mergeSchema", "true").parquet(*parts), self.schema) if parts else self.spark.createDataFrame([], self.schema)
         return rows.where(F.col("split") == split) if split else rows
 
     def save(self, name: str, rows: DataFrame) -> None:
-        """The dataset becomes these rows: written aside, then made visible by a marker file; older versions go."""
+        """The dataset becomes these rows. Parts that neither this version nor the one before names are deleted, so
+        that a reader of the version before can go on."""
+        before = self._versions(name)
+        number, parts = before[-1] if before else (0, [])
+        part = self._write(name, rows)
+        self._publish(name, number + 1, [part])
         path, fs, make = self._path(name)
-        old = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
-        last = max([int(p.getName().split("-")[0]) for p in old if p.getName()[:1].isdigit()], default=0)
-        version = f"{last + 1:010d}-{uuid.uuid4().hex[:8]}"
-        conform(rows, PROMPTS).write.option("compression", "snappy").parquet(f"{path}/{version}")
-        fs.create(make(f"{path}/{version}.ready")).close()
-        for p in old:
-            fs.delete(p, True)
+        keep = {part, *parts}
+        for old, names in before[:-1]:
+            for p in {*names} - keep:
+                fs.delete(make(f"{path}/{p}"), True)
+            fs.delete(make(f"{path}/{old:010d}.manifest"), False)
 
     def append(self, name: str, rows: DataFrame, split: str = "train", source: str = "manual", flatten: bool = True) -> None:
-        self.save(name, self.load(name).unionByName(prompt_rows(rows, name, split, source, flatten)))
+        """New rows are a new part; what is there is not read."""
+        before = self._versions(name)
+        number, parts = before[-1] if before else (0, [])
+        self._publish(name, number + 1, [*parts, self._write(name, prompt_rows(rows, name, split, source, flatten))])
 
     def add_conversation(self, name: str, rows: DataFrame, **options) -> None:
         self.append(name, rows, **options)
@@ -191,12 +226,17 @@ class PromptStore:
         return sorted(s.getPath().getName() for s in fs.listStatus(top)) if fs.exists(top) else []
 
     def catalog(self) -> DataFrame:
-        """(dataset_name, split, n, kilobytes) of all datasets."""
-        out = self.spark.createDataFrame([], "dataset_name string, split string, n long, kilobytes long")
+        """(dataset_name, split, n, kilobytes, error) of all datasets; one that can't be read has a row with its error only."""
+        out = self.spark.createDataFrame([], "dataset_name string, split string, n long, kilobytes long, error string")
         for name in self.names():
             path, fs, _ = self._path(name)
             size = fs.getContentSummary(path).getLength() // 1024
-            out = out.unionByName(self.load(name).groupBy("split").agg(F.count("*").alias("n")).select(F.lit(name).alias("dataset_name"), "split", "n", F.lit(size).cast("long").alias("kilobytes")))
+            try:
+                counts = self.spark.createDataFrame(self.load(name).groupBy("split" if self.kind == "prompts" else F.lit(None).cast("string").alias("split")).agg(F.count("*").alias("n")).collect(), "split string, n long")  # a few splits
+                row = counts.select(F.lit(name).alias("dataset_name"), "split", "n", F.lit(size).cast("long").alias("kilobytes"), F.lit(None).cast("string").alias("error"))
+            except Exception as e:  # noqa: BLE001  whatever a broken dataset raises is its row
+                row = self.spark.createDataFrame([(name, str(e).split("\n")[0])], "dataset_name string, error string")
+            out = out.unionByName(row, allowMissingColumns=True)
         return out
 
     def export_sharegpt(self, name: str, path: str, split: str | None = "train") -> None:
@@ -219,3 +259,13 @@ class PromptStore:
         """A system prompt and helper prompts, added once however often this runs."""
         rows = [(f"system: {name}", system_prompt), *helpers]
         self.upsert(name, self.spark.createDataFrame(rows, "input string, output string"), source="seed")
+
+
+class VectorIndex(PromptStore):
+    """Vector indexes by dataset name, stored and published like prompt datasets."""
+
+    kind, schema = "index", INDEX
+
+    def listing(self) -> DataFrame:
+        """(name, count, kilobytes, error) of all indexes."""
+        return self.catalog().groupBy(F.col("dataset_name").alias("name")).agg(F.sum("n").alias("count"), F.max("kilobytes").alias("kilobytes"), F.max("error").alias("error"))

@@ -6,30 +6,6 @@ import re
 from dataclasses import dataclass, field
 
 BREAK = re.compile(r"[.!?]\s|\n\n")
-NOISE = re.compile(r"[*#`_~\[\]{}|\\<>@]")
-SENTENCE = re.compile(r"(?<=[.!?])\s+|(?=\n\n)|(?<=\n)(?=\d+\.\s)")
-
-
-def clean(text: str) -> str:
-    return re.sub(r"[ \t]+", " ", NOISE.sub("", text)).strip()
-
-
-def speech_chunks(text: str, least: int = 15, most: int = 250) -> list[str]:
-    parts: list[str] = []
-    for p in filter(None, (x.strip() for x in SENTENCE.split(clean(text)))):
-        if parts and len(parts[-1]) < least:
-            parts[-1] += " " + p
-        else:
-            parts.append(p)
-    out = []
-    for p in parts:
-        while len(p) > most:
-            at = p.rfind(" ", 0, most)
-            at = most if at == -1 else at
-            out.append(p[:at].strip())
-            p = p[at:].strip()
-        out.append(p)
-    return [p for p in out if p]
 
 
 @dataclass
@@ -48,55 +24,55 @@ class Throttle:
 
 @dataclass
 class SentenceBuffer:
-    """Tokens in, spoken chunks out: up to the first sentence end, if that stretch is long enough; a short one blocks."""
+    """Tokens in, stretches out: up to the first sentence end, if that stretch is long enough; a short one blocks."""
 
     least: int = 15
-    most: int = 250
     held: str = ""
 
     def feed(self, token: str) -> list[str]:
         self.held += token
         out: list[str] = []
         while (m := BREAK.search(self.held)) and len(self.held[: m.end()].strip()) >= self.least:
-            out += speech_chunks(self.held[: m.end()], self.least, self.most)
+            out.append(self.held[: m.end()])
             self.held = self.held[m.end() :]
         return out
 
     def flush(self) -> list[str]:
-        rest, self.held = clean(self.held), ""
-        return [rest] if rest else []
+        rest, self.held = self.held, ""
+        return [rest]
 
 
 @dataclass
 class Segmenter:
-    """Voice segments of 30 ms frames: begins with `onset` speech frames in a row, ends after the silence, or at the cap."""
+    """Voice segments of 30 ms frames: begins with `onset` speech frames in a row, ends after the silence. After cap_ms of
+    listening, the frames before the onset included, what is there is a segment and listening starts anew."""
 
     silence_ms: int = 800
     onset: int = 3
     cap_ms: int = 60_000
+    heard: int = 0
     run: int = 0
     begin: int | None = None
     quiet: int = 0
+    last: int = 0
 
     def feed(self, frame: int, speech: bool) -> tuple[int, int] | None:
         """(first frame, last frame) when a segment ends here."""
-        if self.begin is None:
+        self.heard, self.last = self.heard + 1, frame
+        if self.begin is not None:
+            self.quiet = 0 if speech else self.quiet + 1
+        else:
             self.run = self.run + 1 if speech else 0
-            if self.run >= self.onset:
-                self.begin, self.quiet, self.run = frame - self.onset + 1, 0, 0
-            return None
-        self.quiet = 0 if speech else self.quiet + 1
-        if self.quiet >= self.silence_ms // 30 or (frame - self.begin + 1) * 30 >= self.cap_ms:
-            return self._end(frame)
-        return None
+            if self.run == self.onset:
+                self.begin = frame - self.onset + 1
+        silent = self.begin is not None and self.quiet >= self.silence_ms // 30
+        return self.flush(frame) if silent or self.heard >= self.cap_ms // 30 else None
 
     def flush(self, frame: int) -> tuple[int, int] | None:
-        return self._end(frame) if self.begin is not None else None
-
-    def _end(self, frame: int) -> tuple[int, int]:
-        out = (self.begin, frame)
-        self.begin, self.quiet, self.run = None, 0, 0
-        return out
+        begin = self.begin if self.begin is not None else frame - self.run + 1
+        some = self.begin is not None or self.run > 0
+        self.heard, self.run, self.begin, self.quiet = 0, 0, None, 0
+        return (begin, frame) if some else None
 
 
 @dataclass

@@ -10,17 +10,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import suffix
+from ..functions.text import clean, speech_chunks, suffix
 from .machines import Onset, Segmenter, SentenceBuffer, Throttle
 
 # Endings whose changes are watched.
-WATCHED = (".py", ".js", ".ts", ".jsx", ".tsx", ".md", ".sh", ".ps1", ".json", ".yaml", ".yml", ".toml", ".html", ".css", ".rs", ".go", ".rb", ".java", ".c", ".h", ".cpp", ".cs", ".lua", ".sql")
+WATCHED = (
+    ".py", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".md", ".mdx", ".markdown", ".sh", ".bash", ".zsh", ".ps1", ".psm1", ".psd1", ".json", ".yaml", ".yml", ".toml",
+    ".env", ".cfg", ".ini", ".conf", ".html", ".htm", ".css", ".scss", ".sass", ".less", ".rs", ".go", ".rb", ".java", ".cs", ".lua", ".sql", ".c", ".h", ".cpp",
+    ".cc", ".cxx", ".hpp",
+)
+
+
+#: A key that is silent for so long is forgotten: states don't pile up.
+IDLE_MS = 3_600_000
 
 
 def watched(changes: DataFrame, path_col: str = "file") -> DataFrame:
     return changes.where(suffix(F.col(path_col)).isin(*WATCHED))
 
 
+def same_key(a, b) -> bool:
+    """Equal, or both null: a null number arrives as NaN, which differs from itself."""
+    return a == b or bool(pd.isna(a) and pd.isna(b))
+
+
 def throttle(events: DataFrame, key: str, ts: str, seconds: float, tie: str) -> DataFrame:
     """Accepted events of a finite table, ties in time by the tie column. Each key's events are sorted in one
     partition and streamed through a machine of one number; no group is held in memory."""
@@ -32,7 +45,7 @@ def throttle(events: DataFrame, key: str, ts: str, seconds: float, tie: str) ->
         for pdf in parts:
             keep = []
             for k, t in zip(pdf[key], pdf["_t"]):
-                if machine.last is None or k != current:
+                if machine.last is None or not same_key(k, current):
                     current, machine = k, Throttle(seconds)
                 keep.append(machine.feed(t))
             yield pdf[keep]
@@ -44,37 +57,59 @@ def stream_throttle(events: DataFrame, key: str, ts: str, seconds: float, tie: s
     """Accepted (key, ts, tie) of a stream; events must come in order over batches, in a batch they are sorted. The state of a key is one time."""
 
     def run(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         machine = Throttle(seconds, state.get[0] if state.exists else None)
         rows = pd.concat(list(parts)).sort_values(["_t", tie])
         keep = rows[[machine.feed(t) for t in rows["_t"]]]
         state.update((machine.last,))
+        state.setTimeoutDuration(max(IDLE_MS, int(seconds * 2000)))
         yield keep[[key, ts, tie]]
 
     kinds = dict(events.dtypes)
     timed = events.select(key, ts, tie, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"))
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {ts} {kinds[ts]}, {tie} {kinds[tie]}", "last double", "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {ts} {kinds[ts]}, {tie} {kinds[tie]}", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def in_order(tokens: DataFrame, feed: Callable[[], object], one: Callable, end: Callable, key: str, seq: str, out: str) -> DataFrame:
-    """A machine over each key's rows of a finite table, in order of seq; a key's rows are one task's work."""
+    """A machine over each key's rows of a finite table, in order of seq. Sorted partitions stream through it, so a
+    key is one task's work but is never held in memory."""
+    names = [c.split(" ")[0] for c in out.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, current, last = None, None, None
+        for pdf in parts:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                k = getattr(r, key)
+                if machine is None or not same_key(k, current):
+                    if machine is not None:
+                        rows += [(current, *x) for x in end(machine, last)]
+                    machine, current = feed(), k
+                last = getattr(r, seq)
+                rows += [(k, *x) for x in one(machine, r)]
+            yield pd.DataFrame(rows, columns=names)
+        if machine is not None:
+            yield pd.DataFrame([(current, *x) for x in end(machine, last)], columns=names)
 
-    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        machine, rows = feed(), []
-        for r in pdf.sort_values(seq).itertuples(index=False):
-            rows += [(keys[0], *x) for x in one(machine, r)]
-        rows += [(keys[0], *x) for x in end(machine, pdf[seq].max())]
-        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in out.split(", ")])
+    return tokens.repartition(key).sortWithinPartitions(key, seq).mapInPandas(run, out)
 
-    return tokens.groupBy(key).applyInPandas(run, out)
+
+def spoken_chunks(stretches: DataFrame, least: int, most: int) -> DataFrame:
+    """(stream_id, seq, chunk): stretches cut for speaking, what a flush left over only cleaned."""
+    rest = F.filter(F.array(clean(F.col("stretch"))), lambda c: c != "")
+    return stretches.select("stream_id", "seq", F.explode(F.when(F.col("flushed"), rest).otherwise(speech_chunks(F.col("stretch"), least, most))).alias("chunk"))
 
 
 def sentence_chunks(tokens: DataFrame, least: int = 15, most: int = 250) -> DataFrame:
     """(stream_id, seq, chunk) of a finite table (stream_id, seq, token); seq is that of the token that completed the chunk."""
     kind = dict(tokens.dtypes)["stream_id"]
-    return in_order(
-        tokens, lambda: SentenceBuffer(least, most), lambda m, r: [(r.seq, c) for c in m.feed(r.token or "")], lambda m, last: [(last, c) for c in m.flush()],
-        "stream_id", "seq", f"stream_id {kind}, seq bigint, chunk string",
+    found = in_order(
+        tokens, lambda: SentenceBuffer(least), lambda m, r: [(r.seq, c, False) for c in m.feed(r.token or "")], lambda m, last: [(last, c, True) for c in m.flush()],
+        "stream_id", "seq", f"stream_id {kind}, seq bigint, stretch string, flushed boolean",
     )
+    return spoken_chunks(found, least, most)
 
 
 def stream_sentence_chunks(tokens: DataFrame, least: int = 15, most: int = 250) -> DataFrame:
@@ -82,8 +117,13 @@ def stream_sentence_chunks(tokens: DataFrame, least: int = 15, most: int = 250)
     kind = dict(tokens.dtypes)["stream_id"]
 
     def run(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # what a silent stream left over is flushed
+            rest = json.loads(state.get[0])
+            state.remove()
+            yield pd.DataFrame([(keys[0], rest["next"] - 1, rest["held"], True)], columns=["stream_id", "seq", "stretch", "flushed"])
+            return
         saved = json.loads(state.get[0]) if state.exists else {"held": "", "next": 0, "early": {}}
-        machine = SentenceBuffer(least, most, saved["held"])
+        machine = SentenceBuffer(least, saved["held"])
         early, expected, rows = saved["early"], saved["next"], []
         for pdf in parts:
             for r in pdf.itertuples(index=False):
@@ -92,18 +132,20 @@ def stream_sentence_chunks(tokens: DataFrame, least: int = 15, most: int = 250)
         ended = False
         while str(expected) in early:
             token, last = early.pop(str(expected))
-            rows += [(keys[0], expected, c) for c in machine.feed(token)]
+            rows += [(keys[0], expected, c, False) for c in machine.feed(token)]
             if last:
-                rows += [(keys[0], expected, c) for c in machine.flush()]
+                rows += [(keys[0], expected, c, True) for c in machine.flush()]
                 ended = True
             expected += 1
         if ended and not early:
             state.remove()
         else:
             state.update((json.dumps({"held": machine.held, "next": expected, "early": early}),))
-        yield pd.DataFrame(rows, columns=["stream_id", "seq", "chunk"])
+            state.setTimeoutDuration(IDLE_MS)
+        yield pd.DataFrame(rows, columns=["stream_id", "seq", "stretch", "flushed"])
 
-    return tokens.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, seq bigint, chunk string", "saved string", "append", GroupStateTimeout.NoTimeout)
+    out = f"stream_id {kind}, seq bigint, stretch string, flushed boolean"
+    return spoken_chunks(tokens.groupBy("stream_id").applyInPandasWithState(run, out, "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout), least, most)
 
 
 def voice_segments(frames: DataFrame, silence_ms: int = 800, cap_ms: int = 60_000) -> DataFrame:
@@ -121,15 +163,34 @@ def stream_voice_segments(frames: DataFrame, silence_ms: int = 800, cap_ms: int
     kind = dict(frames.dtypes)["stream_id"]
 
     def run(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            machine = Segmenter(**json.loads(state.get[0]))
+            state.remove()
+            if found := machine.flush(machine.last):
+                yield pd.DataFrame([(keys[0], *found)], columns=["stream_id", "begin", "end"])
+            return
         machine = Segmenter(**json.loads(state.get[0])) if state.exists else Segmenter(silence_ms, cap_ms=cap_ms)
         rows = []
         for r in pd.concat(list(parts)).sort_values("frame_no").itertuples(index=False):
             if found := machine.feed(int(r.frame_no), bool(r.is_speech)):
                 rows.append((keys[0], *found))
         state.update((json.dumps(asdict(machine)),))
+        state.setTimeoutDuration(IDLE_MS)
         yield pd.DataFrame(rows, columns=["stream_id", "begin", "end"])
 
-    return frames.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, begin bigint, end bigint", "saved string", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, begin bigint, end bigint", "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def voice_continue(frames: DataFrame, starts: DataFrame, silence_ms: int = 800, cap_ms: int = 30_000) -> DataFrame:
+    """(stream_id, begin, end) for each start (stream_id, begin): a segment that already began goes on from frame `begin` to the silence
+    or the cap, or to the last frame. Only the frames up to the cap are looked at; a start without frames has no row."""
+    quiet = silence_ms // 30
+    near = frames.join(starts, "stream_id").where((F.col("frame_no") >= F.col("begin")) & (F.col("frame_no") < F.col("begin") + cap_ms // 30))
+    by_frame = Window.partitionBy("stream_id", "begin").orderBy("frame_no")
+    silent = F.sum(F.when(F.col("is_speech"), 0).otherwise(1)).over(by_frame.rowsBetween(1 - quiet, 0))
+    return near.withColumn("silent", silent).groupBy("stream_id", "begin").agg(
+        F.coalesce(F.min(F.when(F.col("silent") >= quiet, F.col("frame_no"))), F.max("frame_no")).alias("end")
+    )
 
 
 def onsets(frames: DataFrame, level: int = 3, keep: int = 5) -> DataFrame:
@@ -149,6 +210,14 @@ def change_events(lines: DataFrame, ts_col: str = "ts") -> DataFrame:
     return lines.select(e.alias("e"), ts_col).where("coalesce(e.file, '') <> ''").select("e.file", F.coalesce(F.nullif("e.by", F.lit("")), F.lit("unknown")).alias("by"), "e.cwd", ts_col)
 
 
+def append_turns(history: DataFrame, said: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """history plus the new turns (key, role, text, and place: their order), numbered on from each conversation's last turn; a new conversation starts at 0."""
+    last = history.groupBy(key).agg((F.max(order) + 1).alias("_next"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("place")) - 1
+    new = said.withColumn("_place", place).join(last, key, "left").select(key, (F.coalesce("_next", F.lit(0)) + F.col("_place")).alias(order), "role", "text")
+    return history.select(key, order, "role", "text").unionByName(new)
+
+
 def last_turns(talks: DataFrame, key: str, order: str, n: int = 20) -> DataFrame:
     """The last n turns of each conversation."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
