@@ -1,14 +1,21 @@
-"""Toxicity by the nearest labelled examples, found exactly in a block-max inverted index of TF-IDF vectors."""
+"""Toxicity by the nearest labelled examples, found exactly in a block-max inverted index of TF-IDF vectors.
+
+Every term of the labelled sample is in the index. A term's weight is its inverse document frequency over the corpus
+times its association with the label (the squared phi coefficient, between 0 and 1): neighbours are
+near for what tells the labels apart, and terms that tell little weigh little, but none is left out.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import without
+from .common import without, written
 
 TIE_BITS = 20  # an index holds fewer rows than this many bits count
 LAST = (1 << TIE_BITS) - 1
@@ -20,7 +27,7 @@ def term(token: str) -> str:
 
 
 class Terms:
-    """Texts -> counts of the selected terms, each distinct token looked at once."""
+    """Texts -> counts of the known terms, each distinct token looked at once."""
 
     def __init__(self, terms: dict[str, int], most: int = 200_000):
         self.terms, self.most, self.seen = terms, most, {}
@@ -29,112 +36,150 @@ class Terms:
         seen, out = self.seen, {}
         if len(seen) > self.most:
             seen.clear()
-        for token in text.split():
+        for token, n in Counter(text.split()).items():
             k = seen.get(token, -2)
             if k == -2:
                 k = seen[token] = self.terms.get(term(token), -1)
             if k >= 0:
-                out[k] = out.get(k, 0) + 1
+                out[k] = out.get(k, 0) + n
         return out
 
 
+def ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for sizes[0] places, then the same for the others."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
+
+
 @dataclass
 class Index:
-    """Labelled unit vectors, cut into blocks of rows: a block holds its terms' postings side by side, and
-    `bound` has each term's largest weight in each block."""
+    """Labelled unit vectors by row and, inverted, by term; rows lie in blocks, and of every frequent term each block's largest weight is known."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    term_weight: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
     size: int  # rows in a block
-    quiet: float  # the rate of label 1 among labelled rows without a term
     prior: float
-    bound: np.ndarray | None = None  # blocks x terms
+    at: np.ndarray | None = None  # where each row begins in:
+    row_terms: np.ndarray | None = None
+    row_x: np.ndarray | None = None
+    post_at: np.ndarray | None = None  # where each term begins in:
+    post_rows: np.ndarray | None = None
+    post_x: np.ndarray | None = None
+    top: np.ndarray | None = None  # by term: its largest weight
+    common: np.ndarray | None = None  # by term: its number among the frequent ones, or -1
+    block_top: np.ndarray | None = None  # frequent terms x blocks
     tie: np.ndarray | None = None  # by row: falls with the id
     row_of: np.ndarray | None = None  # rows by rising id
-    block_tie: np.ndarray | None = None  # the largest tie of each block
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # terms, and rows x those terms
     slope: float = 1.0
     shift: float = 0.0
 
-    def vectors(self, counts: list[dict[int, int]]) -> np.ndarray:
-        """Dense unit TF-IDF rows; a row without a term is zero."""
-        x = np.zeros((len(counts), len(self.terms)))
-        for i, c in enumerate(counts):
-            t = list(c)
-            x[i, t] = (1 + np.log(list(c.values()))) * self.idf[t]
-        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    def unit(self, terms: np.ndarray, times: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Weights of unit length for each row; a row without weight is zero."""
+        x = (1 + np.log(times)) * self.term_weight[terms]
+        return x / np.maximum(np.sqrt(np.bincount(row, x * x, rows)), 1e-300)[row]
+
+    def vector(self, bag: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        terms, times = np.fromiter(bag, np.int64, len(bag)), np.fromiter(bag.values(), np.float64, len(bag))
+        return terms, self.unit(terms, times, np.zeros(len(bag), np.int64), 1)
 
-    def fill(self, counts: list[dict[int, int]]) -> None:
-        if len(counts) > LAST:
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.row_terms[self.at[i] : self.at[i + 1]], self.row_x[self.at[i] : self.at[i + 1]]
+
+    def dense(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For tests."""
+        out = np.zeros((len(vectors), len(self.term_weight)))
+        for i, (terms, x) in enumerate(vectors):
+            out[i, terms] = x
+        return out
+
+    def fill(self, at: np.ndarray, terms: np.ndarray, times: np.ndarray) -> None:
+        """From rows of term counts; rows that share their heaviest terms are laid side by side, which keeps the blocks' bounds tight."""
+        n = len(self.ids)
+        if n > LAST:
             raise ValueError(f"an index holds at most {LAST} rows; take a smaller sample of labelled rows")
-        blocks = -(-len(counts) // self.size)
-        self.bound = np.zeros((blocks, len(self.terms)))
-        place = np.empty(len(counts), np.int64)
-        place[np.argsort(self.ids, kind="stable")] = np.arange(len(counts))
-        self.tie = LAST - place  # of equal cosines the smaller id has the larger tie
+        row = np.repeat(np.arange(n), np.diff(at))
+        x = self.unit(terms, times, row, n)
+        heavy = np.lexsort((terms, -x, row))[np.minimum(at[:-1, None] + np.arange(3), np.maximum(at[1:, None] - 1, 0))] if len(terms) else np.zeros((n, 3), np.int64)
+        lead = terms[heavy] if len(terms) else heavy
+        order = np.lexsort((self.ids, lead[:, 2], lead[:, 1], lead[:, 0]))
+        self.ids, self.toxic, self.weight = self.ids[order], self.toxic[order], self.weight[order]
+        sizes = np.diff(at)[order]
+        take = ragged(at[:-1][order], sizes)
+        self.at, self.row_terms, self.row_x = np.append(0, np.cumsum(sizes)), terms[take].astype(np.int32), x[take]
+        row = np.repeat(np.arange(n), sizes)
+        by = np.argsort(self.row_terms, kind="stable")
+        self.post_at = np.searchsorted(self.row_terms[by], np.arange(len(self.term_weight) + 1))
+        self.post_rows, self.post_x = row[by].astype(np.int32), self.row_x[by]
+        self.top = np.zeros(len(self.term_weight))
+        np.maximum.at(self.top, self.row_terms, self.row_x)
+        often = np.flatnonzero(np.diff(self.post_at) > max(n / 16, self.size))
+        self.common = np.full(len(self.term_weight), -1, np.int32)
+        self.common[often] = np.arange(len(often))
+        self.block_top = np.zeros((len(often), -(-n // self.size)))
+        here = self.common[self.row_terms] >= 0
+        np.maximum.at(self.block_top, (self.common[self.row_terms[here]], row[here] // self.size), self.row_x[here])
         self.row_of = np.argsort(self.ids, kind="stable")
-        for b in range(blocks):
-            rows = slice(b * self.size, (b + 1) * self.size)
-            x = self.vectors(counts[rows])
-            terms = np.flatnonzero(x.any(axis=0))
-            self.postings.append((terms, np.ascontiguousarray(x[:, terms])))
-            self.bound[b, terms] = x[:, terms].max(axis=0)
-        self.block_tie = np.array([self.tie[b * self.size : (b + 1) * self.size].max() for b in range(blocks)], np.int64)
-
-    def nearest(self, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of q the k labelled rows of the largest cosine over 0 (-1 where there are fewer), ties to
-        the smaller id, without row skip[i].
-
-        A cosine of 12 digits and its tie are one integer, so a block's upper bound also says whether the block
-        may win a tie. Each query first opens its block of the largest bound; then each block is opened once, for all
-        queries whose k-th best it may still beat."""
-        n = len(q)
-        best = np.zeros((n, k), np.int64)
-        upper = np.minimum(q @ self.bound.T, 1.0) if self.postings else np.zeros((n, 0))
-        may = np.where(upper > 1e-12, (np.rint(upper * 1e12).astype(np.int64) + 2000 << TIE_BITS) | self.block_tie[None, :] if self.postings else 0, 0)
-
-        def visit(b: int, who: np.ndarray) -> None:
-            terms, x = self.postings[b]
-            score = np.rint((q[who][:, terms] @ x.T) * 1e12).astype(np.int64)
-            here = np.arange(b * self.size, b * self.size + x.shape[0])
-            keys = np.where(score > 0, (score << TIE_BITS) | self.tie[here], 0)
-            if skip is not None:
-                keys[here[None, :] == skip[who][:, None]] = 0
-            better = keys.max(axis=1) > best[who].min(axis=1)
-            who = who[better]
-            best[who] = np.partition(np.concatenate([best[who], keys[better]], 1), -k, axis=1)[:, -k:]
-
-        if may.shape[1]:
-            first = may.argmax(axis=1)
-            first[may[np.arange(n), first] == 0] = -1
-            for b in range(may.shape[1]):
-                who = np.flatnonzero(first == b)
-                if len(who):
-                    visit(b, who)
-            for b in range(may.shape[1]):
-                who = np.flatnonzero((may[:, b] > best.min(axis=1)) & (first != b))
-                if len(who):
-                    visit(b, who)
-        best = -np.sort(-best, axis=1)
-        rows = np.where(best > 0, self.row_of[np.where(best > 0, LAST - (best & LAST), 0)], -1) if len(self.ids) else np.full((n, k), -1)
-        return rows, (best >> TIE_BITS) / 1e12
+        self.tie = np.empty(n, np.int64)
+        self.tie[self.row_of] = LAST - np.arange(n)  # of equal cosines the smaller id has the larger tie
+
+    def one(self, terms: np.ndarray, x: np.ndarray, k: int, skip: int = -1, spare: float = 0.03) -> np.ndarray:
+        """Keys (a cosine of 12 digits and its tie in one integer) of the k best rows, best first, 0 where there are fewer.
+
+        Postings of all terms are added up but for frequent ones of little weight, `spare` in all at most. With what those can add,
+        by the blocks' maxima, whole blocks fall short of the k-th best; in the other blocks the rows that don't are completed."""
+        n, best = len(self.ids), np.zeros(k, np.int64)
+        if not n or not len(terms):
+            return best
+        most = np.where(self.common[terms] >= 0, x * self.top[terms], 2.0)
+        order = np.argsort(most)
+        late = order[: np.searchsorted(np.cumsum(most[order]), spare, "right")]
+        now = np.delete(np.arange(len(terms)), late)
+        begin, sizes = self.post_at[terms[now]], self.post_at[terms[now] + 1] - self.post_at[terms[now]]
+        place = ragged(begin, sizes)
+        partial = np.bincount(self.post_rows[place], self.post_x[place] * np.repeat(x[now], sizes), n)
+        if skip >= 0:
+            partial[skip] = -1.0
+        rest = x[late] @ self.block_top[self.common[terms[late]]] if len(late) else np.zeros(-(-n // self.size))
+        floor = max(np.partition(partial, -k)[-k] if n > k else 0.0, 0.0) - 1e-11
+        starts = np.arange(0, n, self.size)
+        open_ = np.flatnonzero(np.maximum.reduceat(partial, starts) + rest >= floor)
+        rows = ragged(starts[open_], np.minimum(self.size, n - starts[open_]))
+        rows = rows[partial[rows] + rest[rows // self.size] >= floor]
+        score = partial[rows]
+        if len(late):
+            add = np.zeros(len(self.term_weight)) if not hasattr(self, "_add") else self._add
+            self._add = add  # kept between calls: clearing a few places is cheaper than a new array
+            add[terms[late]] = x[late]
+            sizes = self.at[rows + 1] - self.at[rows]
+            place = ragged(self.at[rows], sizes)
+            score = score + np.bincount(np.repeat(np.arange(len(rows)), sizes), self.row_x[place] * add[self.row_terms[place]], len(rows))
+            add[terms[late]] = 0
+        whole = np.rint(score * 1e12).astype(np.int64)
+        keys = np.where((whole > 0) & (rows != skip), (whole << TIE_BITS) | self.tie[rows], 0)
+        keys = -np.sort(-(np.partition(keys, -k)[-k:] if len(keys) > k else keys))
+        best[: len(keys)] = keys
+        return best
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each vector (terms, weights) the k labelled rows of the largest cosine over 0 (-1 where there are fewer), ties to
+        the smaller id, without row skip[i], and their cosines."""
+        out = np.array([self.one(t, x, k, -1 if skip is None else int(skip[i])) for i, (t, x) in enumerate(vectors)], np.int64).reshape(len(vectors), k)
+        rows = np.where(out > 0, self.row_of[np.where(out > 0, LAST - (out & LAST), 0)], -1) if len(self.ids) else np.full((len(vectors), k), -1)
+        return rows, (out >> TIE_BITS) / 1e12
 
     def votes(self, rows: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Share of label 1 among neighbours, weighted by nearness and by what each row stands for."""
         w = np.where(rows >= 0, self.weight[rows] / (1.05 - cosine), 0.0)
         return ((w * self.toxic[rows]).sum(axis=1) + 0.5 * self.prior) / (w.sum(axis=1) + 0.5)
 
-    def score(self, counts: list[dict[int, int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated scores, and neighbours with their cosines."""
-        scores, rows, cosine = np.full(len(counts), self.quiet), np.full((len(counts), k), -1), np.zeros((len(counts), k))
-        some = [i for i, c in enumerate(counts) if c] if self.postings else []
-        for at in range(0, len(some), 1024):
-            part = some[at : at + 1024]
-            rows[part], cosine[part] = self.nearest(self.vectors([counts[i] for i in part]), k)
-            scores[part] = self.calibrated(self.votes(rows[part], cosine[part]))
+    def score(self, bags: list[dict[int, int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated scores, and neighbours with their cosines; without a neighbour the score is the rate of label 1."""
+        rows, cosine = self.nearest(list(map(self.vector, bags)), k)
+        some = rows[:, 0] >= 0
+        scores = np.full(len(bags), self.prior)
+        scores[some] = self.calibrated(self.votes(rows[some], cosine[some]))
         return scores, rows, cosine
 
     def calibrated(self, vote: np.ndarray) -> np.ndarray:
@@ -150,7 +195,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     for label, n in sizes.items():
         share = F.when(F.col("toxic") == label, min(1.0, most / 2 / n)).otherwise(share)
     chosen = known.withColumn("share", share).where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_003)) / 1_000_003.0 < F.col("share"))
-    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("label_id"), "toxic", (1 / F.col("share")).alias("weight")))  # about `most` rows
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("label_id"), "toxic", F.try_divide(F.lit(1.0), F.col("share")).alias("weight")))  # about `most` rows
     return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", "weight")
 
 
@@ -164,63 +209,94 @@ def term_counts(texts: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, in
             for text in b.column("text").to_pylist():
                 n += 1
                 df[list(look(text or ""))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *np.flatnonzero(df).tolist()], pa.int32()), pa.array([n, *df[df > 0].tolist()], pa.int64())], ["k", "n"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(df[some], n))], ["k", "n"])
 
-    got = {r["k"]: r["n"] for r in texts.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    return np.array([got.get(k, 0) for k in range(len(terms))], np.float64), got.get(-1, 0)
+    got = texts.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = got["k"].to_numpy(), got["n"].to_numpy()
+    df = np.zeros(len(terms))
+    df[k[k >= 0]] = n[k >= 0]
+    return df, int(n[k < 0].sum())
 
 
-def learn(docs: DataFrame, labelled: DataFrame, most_terms: int = 1024, least_chi2: float = 30.0, least_docs: int = 4, block: int = 64, k: int = 15) -> Index:
-    """An index of the labelled rows (doc_id, text, toxic, weight) over the terms that go with a label.
+def bags_of(labelled: DataFrame) -> DataFrame:
+    """(doc_id, toxic, weight, terms, times) with the terms as strings."""
 
-    The rows are a bounded sample, so they come to the driver as term counts; document
-    frequencies of the terms are counted over all of docs. A leave-one-out vote of every indexed row
-    calibrates the scores (Platt).
-    """
-    token = F.explode(F.array_distinct(F.split("text", r"\s+")))
-    strip = "".join("\\" + c if c in "[]^-\\" else c for c in PUNCTUATION)
-    words = labelled.select("toxic", token.alias("w")).select("toxic", F.lower(F.regexp_replace("w", f"^[{strip}]+|[{strip}]+$", "")).alias("w")).where("w <> ''")
-    n1, n = (lambda r: (r["a"] or 0, r["n"]))(labelled.agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).first())
-    n0 = n - n1
-    a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
-    chi2 = F.pow(a * (n0 - b) - b * (n1 - a), 2) * n / ((a + b) * (n - a - b + 1e-9) * max(n0, 1) * max(n1, 1))
-    counted = words.groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    chosen = counted.where(F.col("n") >= least_docs).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "w").limit(most_terms)
-    terms = {r["w"]: i for i, r in enumerate(chosen.select("w").collect())}
-    df, total = term_counts(docs, terms)
-    look_in = labelled.sparkSession.sparkContext.broadcast(terms)
-
-    def counts(batches):
-        look = Terms(look_in.value)
+    def run(batches):
         for b in batches:
-            got = [look(t) for t in b.column("text").to_pylist()]
+            bags = []
+            for text in b.column("text").to_pylist():
+                bag: Counter = Counter()
+                for token, n in Counter((text or "").split()).items():
+                    bag[term(token)] += n
+                bag.pop("", None)
+                bags.append(bag)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("toxic"), b.column("weight"), pa.array([list(x) for x in got], pa.list_(pa.int32())), pa.array([list(x.values()) for x in got], pa.list_(pa.int32()))],
+                [b.column("doc_id"), b.column("toxic"), b.column("weight"), pa.array([list(x) for x in bags], pa.list_(pa.string())), pa.array([list(x.values()) for x in bags], pa.list_(pa.int32()))],
                 ["doc_id", "toxic", "weight", "terms", "times"],
             )
 
-    rows = labelled.mapInArrow(counts, "doc_id long, toxic int, weight double, terms array<int>, times array<int>").orderBy("doc_id").collect()
-    w_all = sum(r["weight"] for r in rows)
-    none = [r for r in rows if not r["terms"]]
-    prior = (sum(r["weight"] * r["toxic"] for r in rows) + 0.5) / (w_all + 1)
-    quiet = (sum(r["weight"] * r["toxic"] for r in none) + 0.5 * prior) / (sum(r["weight"] for r in none) + 0.5)
-    # Rows that share their rarest terms lie side by side, which keeps the bounds tight.
-    idf = np.log((total + 1) / (df + 1)) + 1
-    rows = sorted((r for r in rows if r["terms"]), key=lambda r: (sorted(r["terms"], key=lambda t: (-idf[t], t)), r["doc_id"]))
-    column = lambda c, kind: np.array([r[c] for r in rows], kind)
-    index = Index(terms, idf, column("doc_id", np.int64), column("toxic", np.float64), column("weight", np.float64), block, quiet, prior)
-    bags = [dict(zip(r["terms"], r["times"])) for r in rows]
-    index.fill(bags)
-    votes = np.zeros(len(rows))
-    for at in range(0, len(rows), 1024):
-        votes[at : at + 1024] = index.votes(*index.nearest(index.vectors(bags[at : at + 1024]), k, skip=np.arange(at, min(at + 1024, len(rows)))))
-    if len(rows) > 1 and 0 < index.toxic.sum() < len(rows):
-        z = np.log(np.clip(votes, 1e-4, 1 - 1e-4) / (1 - np.clip(votes, 1e-4, 1 - 1e-4)))
-        for _ in range(300):  # a little ridge keeps separable labels finite
-            p = 1 / (1 + np.exp(-(index.slope * z + index.shift)))
-            g = index.weight * (p - index.toxic) / index.weight.sum()
-            index.slope -= 0.5 * ((g * z).sum() + 0.01 * (index.slope - 1))
-            index.shift -= 0.5 * (g.sum() + 0.01 * index.shift)
+    rows = labelled.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int"), F.col("weight").cast("double"))
+    return rows.mapInArrow(run, "doc_id long, toxic int, weight double, terms array<string>, times array<int>")
+
+
+def associations(rows: DataFrame, labelled: int, toxic: int) -> tuple[dict[str, int], np.ndarray]:
+    """Every term of the rows with a number, and the squared phi coefficient of its presence with label 1."""
+    got = rows.select("toxic", F.explode("terms").alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).toArrow()
+    a, n = got["a"].to_numpy().astype(float), got["n"].to_numpy().astype(float)
+    b, clean = n - a, labelled - toxic
+    below = n * (labelled - n) * max(toxic, 1) * max(clean, 1)
+    return {w: k for k, w in enumerate(got["w"].to_pylist())}, np.where(below > 0, (a * (clean - b) - b * (toxic - a)) ** 2 / np.maximum(below, 1), 0.0)
+
+
+def left_out(spark: SparkSession, index: Index, k: int) -> np.ndarray:
+    """The vote of each indexed row by its neighbours other than itself."""
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches):
+        known = shared.value
+        for b in batches:
+            rows = b.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(known.votes(*known.nearest(list(map(known.row, rows.tolist())), k, skip=rows)))], ["id", "vote"])
+
+    got = spark.range(len(index.ids)).mapInArrow(run, "id long, vote double").toArrow()
+    votes = np.zeros(len(index.ids))
+    votes[got["id"].to_numpy()] = got["vote"].to_numpy()
+    return votes
+
+
+def learn(docs: DataFrame, labelled: DataFrame, block: int = 64, k: int = 15) -> Index:
+    """An index of the labelled rows (doc_id, text, toxic, weight) over all their terms.
+
+    The rows are a bounded sample, so they come to the driver as term counts; document
+    frequencies of the terms are counted over all of docs. A leave-one-out vote of every indexed row
+    calibrates the scores (Platt). Without labelled rows, or with one label only, the index has no neighbour
+    to tell apart and every text gets the smoothed rate of label 1.
+    """
+    stored = written(bags_of(labelled), "bags")
+    n, n1 = (lambda r: (r["n"], r["a"] or 0))(stored.agg(F.count("*").alias("n"), F.sum("toxic").alias("a")).first())
+    terms, phi = associations(stored, n, n1)
+    df, total = term_counts(docs, terms)
+    weight = (np.log((total + 1) / (df + 1)) + 1) * phi
+    got = stored.toArrow()
+    column = lambda c: got[c].to_numpy()
+    stands_for, toxic = column("weight"), column("toxic").astype(float)
+    prior = float(((stands_for * toxic).sum() + 0.5) / (stands_for.sum() + 1))
+    lists, times = got["terms"].combine_chunks(), got["times"].combine_chunks()
+    index = Index(terms, weight, column("doc_id"), toxic, stands_for, block, prior)
+    flat = pc.index_in(lists.flatten(), value_set=pa.array(list(terms), pa.string())).to_numpy().astype(np.int64) if len(got) else np.zeros(0, np.int64)
+    at = np.append(0, np.cumsum(lists.value_lengths().to_numpy())) if len(got) else np.zeros(1, np.int64)
+    index.fill(at.astype(np.int64), flat, times.flatten().to_numpy().astype(float) if len(got) else np.zeros(0))
+    del got, lists, times, flat
+    if not 0 < n1 < n:
+        return index
+    votes = left_out(docs.sparkSession, index, k)
+    z = np.log(np.clip(votes, 1e-4, 1 - 1e-4) / (1 - np.clip(votes, 1e-4, 1 - 1e-4)))
+    for _ in range(300):  # a little ridge keeps separable labels finite
+        p = 1 / (1 + np.exp(-(index.slope * z + index.shift)))
+        g = index.weight * (p - index.toxic) / index.weight.sum()
+        index.slope -= 0.5 * ((g * z).sum() + 0.01 * (index.slope - 1))
+        index.shift -= 0.5 * (g.sum() + 0.01 * index.shift)
     return index
 
 
@@ -228,7 +304,7 @@ def assess(docs: DataFrame, index: Index, k: int = 15, threshold: float = 0.3, i
     """docs plus score (0 to 1), predicted (1 from `threshold`) and evidence: up to 3 nearest labelled examples.
 
     Columns of those names are replaced. Null and empty texts, and texts without any term of the
-    index, get the rate of label 1 among labelled texts without one. Repeated rows score alike; of
+    index that tells labels apart, get the smoothed rate of label 1. Repeated rows score alike; of
     equally near examples the smaller id wins.
     """
     base = without(docs, "score", "predicted", "evidence")
@@ -241,7 +317,8 @@ def assess(docs: DataFrame, index: Index, k: int = 15, threshold: float = 0.3, i
         known = shared.value
         look = Terms(known.terms)
         for b in batches:
-            scores, rows, cosine = known.score([look(t or "") for t in b.column(text_col).to_pylist()], k)
+            found = [known.score([look(t or "") for t in b.column(text_col).slice(at, 500).to_pylist()], k) for at in range(0, len(b), 500)]
+            scores, rows, cosine = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0), np.zeros((0, k), np.int64), np.zeros((0, k)))
             evidence = [
                 [{"doc_id": int(known.ids[r]), "cosine": float(c), "toxic": int(known.toxic[r])} for r, c in zip(rs, cs) if r >= 0]
                 for rs, cs in zip(rows[:, :3], cosine[:, :3])

@@ -83,20 +83,6 @@ def test_toxicity_votes_and_evidence(spark):
     assert [x.predicted for x in toxicity.assess(odd, index).orderBy("doc_id").collect()] == [0, 0, 0, 1]
 
 
-def test_block_max_search_is_exact():
-    r = np.random.default_rng(3)
-    index = toxicity.Index({f"t{i}": i for i in range(30)}, np.ones(30), np.arange(500)[::-1].copy(), np.zeros(500), np.ones(500), 16, 0.1, 0.1)
-    bags = [{int(t): 1 for t in r.choice(30, r.integers(1, 5), replace=False)} for _ in range(500)]
-    index.fill(bags)
-    x = index.vectors(bags)
-    q = index.vectors(bags[:40])
-    rows, best = index.nearest(q, 7)
-    for i in range(40):
-        s = np.round(x @ q[i], 12)
-        order = np.lexsort((index.ids, -s))[:7]
-        assert list(rows[i]) == [int(o) for o in order if s[o] > 0] + [-1] * int((s[order] <= 0).sum())
-
-
 def test_language_model_base_is_exact_and_model_is_better(spark, docs):
     extra = spark.createDataFrame([(900001, None), (900002, ""), (900003, "unseenword " * 5), (900003, "unseenword " * 5)], "doc_id long, text string")
     rows = docs.select("doc_id", "text").union(extra).withColumn("held_out", F.col("doc_id") % 5 == 1).withColumn("row", F.lit(1))
