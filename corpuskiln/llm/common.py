@@ -28,6 +28,8 @@ def scratch_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_scratch:
         _own_scratch.append(tempfile.mkdtemp(prefix="corpuskiln-"))
         atexit.register(shutil.rmtree, _own_scratch[0], True)
@@ -84,6 +86,11 @@ def longs(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
+def own_name() -> str:
+    """A column name that no caller's table has."""
+    return f"_{uuid.uuid4().hex}"
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names in any case: an operator's own columns replace them."""
     taken = {n.lower() for n in names}

@@ -33,7 +33,9 @@ def some_texts(seed: int, n: int = 60) -> list[tuple[int, str | None]]:
 def test_line_dedup_cases(spark):
     rows = [(1, f"{LONG}\nb"), (2, f" {LONG.upper()}\t\n{LONG}\nc"), (3, f"{LONG}\nd"), (4, "short\nx"), (5, "short"), (6, "short"), (7, None), (8, ""), (3, f"{LONG}\nd"), (None, LONG)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"n_lines": F.lit("old"), "lost_pos": F.lit(1)})
-    got = sorted((r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(docs).collect())
+    found = dedup_lines(docs).collect()
+    assert all(r.lost_pos == 1 for r in found)
+    got = sorted((r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in found)
     assert got == sorted([(1, "b", 2, 1), (2, "c", 3, 2), (3, f"{LONG}\nd", 2, 0), (3, f"{LONG}\nd", 2, 0), (4, "short\nx", 2, 0), (5, "short", 1, 0), (6, "short", 1, 0), (7, "", 1, 0), (8, "", 1, 0), (0, "", 1, 1)])
     assert dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -112,7 +114,7 @@ def test_fingerprints_of_odd_texts(spark):
 def test_keep_one(spark):
     rows = [(1, "a b c d", 9), (2, "A b c d", 9), (2, "A b c d", 9), (3, "other words here now", 9), (3, "other words here now", 9), (4, None, 9), (5, "", 9)]
     kept = simhash.keep_one(spark.createDataFrame(rows, f"{DOCS}, stay_id int"))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert sorted((r.doc_id, r.stay_id) for r in kept.collect()) == [(1, 9), (3, 9), (4, 9)]
 
 
 def test_thresholds_fill_the_pigeonhole():
