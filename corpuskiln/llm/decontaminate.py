@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes, without, written
+from .common import own_name, text_bytes, written
 
 #: Words that count as units of measure, money or time.
 UNITS = frozenset(
@@ -44,7 +44,7 @@ class Canon:
     are capitalised words inside a sentence; other tokens are lower-cased and stripped of punctuation.
     Each distinct token is looked at once, until there are over `most`."""
 
-    def __init__(self, wanted: set[int] | None = None, most: int = 300_000):
+    def __init__(self, wanted: np.ndarray | None = None, most: int = 300_000):
         self.wanted, self.most = wanted, most
         self.reset()
 
@@ -62,7 +62,7 @@ class Canon:
             kind = NUM if NUMBER.fullmatch(core) else QTY if MEASURE.fullmatch(core) else WORD
         capital = kind == WORD and len(core) > 1 and core[:1].isupper() and core[1:].islower()
         code = xxhash.xxh64_intdigest(low)
-        possible = kind != WORD or capital or not core or self.wanted is None or code in self.wanted
+        possible = kind != WORD or capital or not core or self.wanted is None
         return code, kind, capital, token[-1:] in b".!?:", not core, possible
 
     def __call__(self, text: bytes, width: int = 0) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
@@ -81,6 +81,9 @@ class Canon:
                 self.table = [np.concatenate([c, np.zeros(2 * need - len(c), c.dtype)]) for c in self.table]
             for c, values in zip(self.table, zip(*rows)):
                 c[known:need] = values
+            if self.wanted is not None and len(self.wanted):
+                fresh = self.table[0][known:need]
+                self.table[5][known:need] |= self.wanted[np.minimum(np.searchsorted(self.wanted, fresh), len(self.wanted) - 1)] == fresh
         if width:
             if len(got) < width:
                 return None
@@ -108,7 +111,7 @@ def window_hashes(code: np.ndarray, at: np.ndarray, width: int, seed: int = 0) -
 
 
 def windows(texts: DataFrame, id_name: str, widths: list[int], literals: float, wanted=None, both: bool = False) -> DataFrame:
-    """(id, h, at, slots, raw) of every window; with wanted (broadcast: a sorted array of hashes, and the set of their tokens' codes) only of those.
+    """(id, h, at, slots, raw) of every window; with wanted (broadcast: sorted arrays of their hashes and of their tokens' codes) only of those.
 
     A template window has enough literal tokens. A window with fewer says little as a template, so it has a hash of
     its tokens as they are and no slots; with both, every window has that hash besides. Windows of a text
@@ -214,7 +217,7 @@ def contamination(
     doc_id are one document; rows with a null id are left out. item_ids lists all items with the
     same text. No items or no hits: no rows.
 
-    Up to most_broadcast item windows are broadcast to drop other windows of documents before the
+    Up to most_broadcast item windows and token codes are broadcast to drop other windows of documents before the
     shuffle; beyond that all windows are shuffled to the same hash join.
     """
     spark = docs.sparkSession
@@ -229,9 +232,10 @@ def contamination(
     raw_too = not asked.where("item_raw").isEmpty()
     hashes = asked.select("h").distinct()
     wanted = None
-    if hashes.count() <= most_broadcast:
-        words = {r["code"] for r in token_codes(classes.select("text")).distinct().collect()}  # at most `width` for each window
-        wanted = spark.sparkContext.broadcast((np.sort(hashes.toPandas()["h"].to_numpy(np.int64).view(np.uint64)), {c & (1 << 64) - 1 for c in words}))
+    codes = token_codes(classes.select("text")).distinct()
+    if hashes.count() + codes.count() <= most_broadcast:  # 8 bytes each
+        sorted_array = lambda df: np.sort(df.toArrow().column(0).to_numpy().view(np.uint64))
+        wanted = spark.sparkContext.broadcast((sorted_array(hashes), sorted_array(codes)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("text")).where("id IS NOT NULL")
     found = windows(rows, "id", [width, *sorted(short)], literals, wanted, raw_too).drop("raw").toDF("doc_id", "h", "at", "slots")
     sizes = asked.groupBy("item_id").agg(
@@ -277,6 +281,6 @@ def contamination(
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the documents that hold a benchmark item; rows with a null id stay."""
-    bad = written(contamination(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    here = without(docs, "bad_id")
-    return here.join(bad, here[id_col].cast("long") == bad["bad_id"], "left_anti")
+    bad_id = own_name()
+    bad = written(contamination(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(bad_id)).distinct(), "contaminated")
+    return docs.join(bad, docs[id_col].cast("long") == bad[bad_id], "left_anti")

@@ -21,10 +21,10 @@ def test_contamination_kinds(spark):
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(0))
     got = {(r.doc_id, r.item_id): r for r in contamination(docs, items).collect()}
-    assert set(got) == {(10, 1), (11, 1), (15, 1), (16, 5)}
+    assert set(got) == {(10, 1), (11, 1), (15, 1), (16, 5), (17, 1)}, "17 holds the question word for word beside a variant"
     assert got[10, 1].kind == got[15, 1].kind == "exact" and got[10, 1].item_ids == [1, 4]
     assert got[11, 1].kind == "reparameterised" and got[11, 1].changed_slots == 2
-    assert sorted(r.doc_id for r in decontaminate(docs, items).collect()) == [12, 13, 14, 17]
+    assert sorted(r.doc_id for r in decontaminate(docs, items).collect()) == [12, 13, 14]
     # Without a broadcast the same rows come from the shuffled join.
     assert {(r.doc_id, r.item_id) for r in contamination(docs, items, most_broadcast=0).collect()} == set(got)
     assert contamination(docs, items.limit(0)).count() == 0
