@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import long_lists, longs, text_bytes, without, written
+from .common import long_lists, longs, own_name, text_bytes, written
 from .components import components
 from .simhash import majority_bits, near_duplicates, shingle_hashes
 
@@ -154,7 +154,7 @@ def keep_one_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
     """One row of docs for each near_copies component, that of the smallest id; its columns stay as they are."""
     found = near_copies(docs, words, similarity, id_col=id_col, text_col=text_col)
     stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "version")).alias("s")).select("s.doc_id", "s.version")
-    stay = stay.toDF("stay_id", "stay_version")
-    here = without(docs, "stay_id", "stay_version", "row_version").withColumn("row_version", F.xxhash64(text_bytes(F.col(text_col))))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("stay_id")) & (F.col("row_version") == F.col("stay_version"))
-    return here.join(stay, same).dropDuplicates([id_col, "row_version"]).drop("stay_id", "stay_version", "row_version")
+    stay_id, stay_version, version = (own_name() for _ in range(3))
+    here = docs.withColumn(version, F.xxhash64(text_bytes(F.col(text_col))))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(stay_id)) & (F.col(version) == F.col(stay_version))
+    return here.join(stay.toDF(stay_id, stay_version), same).dropDuplicates([id_col, version]).drop(stay_id, stay_version, version)
