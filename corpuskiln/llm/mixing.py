@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, without, written
+from .common import ascii_lower, own_name, without, written
 
 #: The share of all tokens that each domain shall have.
-TARGETS = {"good": 0.92, "low": 0.05, "toxic": 0.03}
+TARGETS = {"good": 0.95, "low": 0.04, "toxic": 0.01}
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -26,11 +26,11 @@ def buckets_of(words: Column, buckets: int) -> Column:
 
 def number_list(values: list[float]) -> Column:
     """An array<double> constant, which the optimizer folds."""
-    return F.expr(f"cast(split('{','.join(format(v, '.4g') for v in values)}', ',') AS array<double>)")
+    return F.expr(f"cast(split('{','.join(repr(float(v)) if v else '0' for v in values)}', ',') AS array<double>)")
 
 
-def sum_over_bag(weights: Column) -> Column:
-    return F.aggregate("bag", F.lit(0.0), lambda total, bucket: total + F.get(weights, bucket))
+def sum_over_bag(bag: str, weights: Column) -> Column:
+    return F.aggregate(bag, F.lit(0.0), lambda total, bucket: total + F.get(weights, bucket))
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], most_labelled: int = 20_000, buckets: int = 1 << 16, least_chi2: float = 15.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,14 +64,15 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], most_labe
     for r in rows:
         for k in range(len(domains)):
             table[k][r["b"]] = r[f"w_{k}"]
-    evidence = [sum_over_bag(number_list(column)) for column in table]
-    quiet = bags.select("label_domain", *[(e == 0).alias(f"q_{k}") for k, e in enumerate(evidence)])
+    evidence = lambda bag: [sum_over_bag(bag, number_list(column)) for column in table]
+    quiet = bags.select("label_domain", *[(e == 0).alias(f"q_{k}") for k, e in enumerate(evidence("bag"))])
     seen = quiet.agg(*[x for k, d in enumerate(domains) for x in (F.count_if(f"q_{k}").alias(f"n_{k}"), F.count_if(F.col(f"q_{k}") & (F.col("label_domain") == d)).alias(f"d_{k}"))]).first()
     odds = [(seen[f"d_{k}"] + 0.5) / (seen[f"n_{k}"] - seen[f"d_{k}"] + 0.5) for k in range(len(domains))]
-    base = without(docs, "n_tokens", "p", "bag", "words", *[f"e_{k}" for k in range(len(domains))])
-    bagged = base.withColumn("words", words_of(F.col(text_col))).withColumns({"n_tokens": F.size("words").cast("long"), "bag": buckets_of(F.col("words"), buckets)})
-    chance = [F.lit(1.0) / (1.0 + F.exp(-(F.ln(F.lit(o)) + F.greatest(F.lit(-30.0), F.least(F.lit(30.0), e))))) for o, e in zip(odds, evidence)]
-    scored = bagged.withColumn("p", F.array(*chance)).drop("words", "bag")
+    base = without(docs, "n_tokens", "p")
+    words, bag = own_name(), own_name()
+    bagged = base.withColumn(words, words_of(F.col(text_col))).withColumns({"n_tokens": F.size(words).cast("long"), bag: buckets_of(F.col(words), buckets)})
+    chance = [F.lit(1.0) / (1.0 + F.exp(-(F.ln(F.lit(o)) + F.greatest(F.lit(-30.0), F.least(F.lit(30.0), e))))) for o, e in zip(odds, evidence(bag))]
+    scored = bagged.withColumn("p", F.array(*chance)).drop(words, bag)
     return scored.withColumn("p", F.transform("p", lambda x: x / F.aggregate("p", F.lit(0.0), lambda acc, y: acc + y)))
 
 
@@ -96,41 +97,78 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
-def mixing_rates(members: DataFrame, targets: list[float], steps: int = 25, close: float = 1e-6) -> DataFrame:
-    """members, with n_tokens and p, plus rate >= 0: how often to take each document.
+def path_rate(steps: list[list[float]]) -> Column:
+    """The rate after these steps: from 1, each takes off its product with p and stops at 0."""
+    if not steps:
+        return F.lit(1.0)
+    rows = F.array(*[F.array(*map(F.lit, s)) for s in steps])
+    product = lambda s: F.aggregate(F.zip_with("p", s, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    return F.aggregate(rows, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - product(s)))
+
+
+def mixing_rates(members: DataFrame, targets: list[float], steps: int = 60, close: float = 1e-6) -> DataFrame:
+    """members, with n_tokens and p, plus rate >= 0: how often to take each document, reached: the shares
+    that the rates lead to, and converged.
 
     targets are shares of all tokens for the domains in p's order. Starting at 1, the rates follow
-    projected gradient steps on the squared misses of sum(rate * n_tokens * p) against the targets.
-    A step is scaled by the Gram matrix of the documents with a rate over 0. Each costs
-    one small distributed sum; the rates are an expression of the steps so far, and no list of documents
-    leaves the executors. Stops when all misses are under `close` of the tokens, or after `steps`.
-    Documents without tokens keep rate 1 less what their posteriors say. No tokens: all rates are 1.
+    projected gradient steps on the squared misses of sum(rate * n_tokens * p) against the targets. Each round
+    tries the gradient at some lengths, of which the first is under the inverse of the curvature's bound and so
+    never ascends, and the gradient scaled by the damped Gram matrix of the documents with a rate over 0; the best is taken.
+    A round is one small distributed sum; the rates are an expression of the steps so far, and no list of
+    documents leaves the executors. It has converged when all misses are under `close` of the tokens, or when no
+    length lowers the loss by more than a billionth: that bounds the projected gradient. So
+    unreachable targets end at their least-squares approach, with reached telling how far that is; after `steps` rounds
+    without either, converged is false. Documents without tokens keep the rate that their posteriors
+    say. No tokens: all rates are 1 and reached is null.
     """
     members = written(members, "members")
     k_all = range(len(targets))
     p = [F.get("p", F.lit(k)) for k in k_all]
     t = F.col("n_tokens").cast("double")
-    rate: Column = F.lit(1.0)
+    taken: list[list[float]] = []
+
+    def sums(tried: list[list[float]]) -> list[dict]:
+        """For each next step: expected tokens of the domains, and the Gram matrix of what has a rate over 0."""
+        now = members.select("n_tokens", "p", path_rate(taken).alias("r"))
+        aggs = []
+        for c, step in enumerate(tried):
+            rate = F.greatest(F.lit(0.0), F.col("r") - sum((p[k] * F.lit(step[k]) for k in k_all), F.lit(0.0)))
+            aggs += [F.sum(rate * t * p[k]).alias(f"e{c}_{k}") for k in k_all]
+            aggs += [F.sum(F.when(rate > 0, t * p[i] * p[j]).otherwise(0.0)).alias(f"g{c}_{i}_{j}") for i in k_all for j in k_all if i <= j]
+        got = now.agg(*aggs).first()
+        out = []
+        for c in range(len(tried)):
+            e = [got[f"e{c}_{k}"] or 0.0 for k in k_all]
+            miss = [x - y * total for x, y in zip(e, targets)]
+            out.append({"e": e, "miss": miss, "loss": sum(x * x for x in miss), "gram": [[got[f"g{c}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in k_all] for i in k_all]})
+        return out
+
     total = members.agg(F.sum(t).alias("n")).first()["n"] or 0.0
-    best = None
-    for _ in range(steps if total else 0):
-        sums = [F.sum(rate * t * p[k]).alias(f"e_{k}") for k in k_all]
-        grams = [F.sum(F.when(rate > 0, t * p[i] * p[j]).otherwise(0.0)).alias(f"g_{i}_{j}") for i in k_all for j in k_all if i <= j]
-        got = members.agg(*sums, *grams).first()
-        miss = [got[f"e_{k}"] - targets[k] * total for k in k_all]
-        size = sum(x * x for x in miss)
-        if best is None or size < best[0]:
-            best = (size, rate)
-        if max(map(abs, miss)) <= close * total:
-            break
-        step = solve([[got[f"g_{min(i, j)}_{max(i, j)}"] for j in k_all] for i in k_all], miss)
-        shift = sum((p[k] * F.lit(step[k]) for k in k_all), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - shift)
-    return without(members, "rate").withColumn("rate", best[1] if best else rate)
+    here, converged = None, not total
+    if total:
+        here = sums([[0.0] * len(targets)])[0]
+        curvature = sum(here["gram"][k][k] for k in k_all)  # the trace: no eigenvalue is larger
+        for _ in range(steps):
+            if max(map(abs, here["miss"])) <= close * total:
+                converged = True
+                break
+            own = sum(here["gram"][k][k] for k in k_all) + 1e-9 * curvature
+            damped = lambda d: [[g + (d * own if i == j else 0.0) for j, g in enumerate(row)] for i, row in enumerate(here["gram"])]
+            tried = [[x * a for x in here["miss"]] for a in (1 / curvature, 8 / own, 64 / own)] + [solve(damped(d), here["miss"]) for d in (1e-9, 0.01, 0.1)]
+            found = sums(tried)
+            best = min(range(len(tried)), key=lambda c: found[c]["loss"])
+            if here["loss"] - found[best]["loss"] <= 1e-9 * here["loss"]:
+                converged = True
+                break
+            taken.append(tried[best])
+            here = found[best]
+    reached = F.array(*[F.lit(x / sum(here["e"])) for x in here["e"]]) if here and sum(here["e"]) else F.lit(None).cast("array<double>")
+    return without(members, "rate", "reached", "converged").withColumns({"rate": path_rate(taken), "reached": reached, "converged": F.lit(converged)})
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:
-    """docs plus n_tokens, one posterior p_<domain> for each target, and rate; labels is (doc_id, quality, toxic).
+    """docs plus n_tokens, one posterior p_<domain> for each target, rate, one share reached_<domain> that
+    the rates lead to, and converged; labels is (doc_id, quality, toxic).
 
     Null or empty texts have no tokens; repeated rows are documents of their own with equal rates.
     Columns of those names are replaced.
@@ -138,6 +176,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     goal = dict(sorted((targets or TARGETS).items()))
     whole = sum(goal.values())
     named = labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
-    members = posteriors(without(docs, "rate", *[f"p_{d}" for d in goal]), named, list(goal), **options)
+    members = posteriors(without(docs, "rate", "converged", "reached", *[f"{x}_{d}" for d in goal for x in ("p", "reached")]), named, list(goal), **options)
     rates = mixing_rates(members, [x / whole for x in goal.values()])
-    return rates.withColumns({f"p_{d}": F.get("p", F.lit(k)) for k, d in enumerate(goal)}).drop("p")
+    each = {f"{x}_{d}": F.get(c, F.lit(k)) for c, x in (("p", "p"), ("reached", "reached")) for k, d in enumerate(goal)}
+    return rates.withColumns(each).drop("p", "reached")

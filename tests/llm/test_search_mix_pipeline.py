@@ -46,15 +46,35 @@ def test_rates_meet_targets_and_stay_nonnegative(spark):
     sums = np.array([x.rate * x.n_tokens * np.array(x.p) for x in got]).sum(axis=0) / total
     assert min(x.rate for x in got) >= 0
     assert sums == pytest.approx([0.8, 0.15, 0.05], abs=1e-4)
+    assert all(x.converged for x in got) and got[0].reached == pytest.approx([0.8, 0.15, 0.05], abs=1e-4)
     assert mixing_rates(members.limit(0), [0.5, 0.25, 0.25]).count() == 0
 
 
+@pytest.mark.parametrize("targets", [[0.95, 0.04, 0.01], [0.0, 0.02, 0.98], [0.34, 0.33, 0.33]])
+def test_rates_are_the_least_squares_of_a_plain_solver(spark, targets):
+    r = np.random.default_rng(4)
+    n, p = r.integers(1, 400, 120).astype(float), r.dirichlet([6.0, 1.0, 0.5], 120) * 0.9 + 0.1 / 3
+    got = mixing_rates(spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>"), targets)
+    rows = got.collect()
+    a, goal = (n[:, None] * p).T, np.array(targets) * n.sum()
+    loss = float(((sum(x.rate * x.n_tokens * np.array(x.p) for x in rows) - goal) ** 2).sum()) / n.sum() ** 2
+    # The cone of the documents: a plain non-negative solver, coordinate by coordinate.
+    rate, miss = np.ones(120), a @ np.ones(120) - goal
+    for _ in range(3000):
+        for i in range(120):
+            new = max(0.0, rate[i] - a[:, i] @ miss / (a[:, i] @ a[:, i]))
+            miss += a[:, i] * (new - rate[i])
+            rate[i] = new
+    assert min(x.rate for x in rows) >= 0
+    assert loss <= float((miss**2).sum()) / n.sum() ** 2 + 5e-4, (loss, rows[0].converged)
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(1, "good words here"), (2, "vile trash"), (3, None), (4, ""), (1, "good words here"), (None, "x y z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rate": F.lit("old"), "bag": F.lit(1)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rate": F.lit("old"), "bag": F.lit(1), "words": F.lit(2)})
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 0, 1), (9, None, None)], "doc_id long, quality int, toxic int")
     got = mix(docs, labels).collect()
-    assert len(got) == 6 and all(r.rate >= 0 for r in got)
+    assert len(got) == 6 and all(r.rate >= 0 and (r.bag, r.words) == (1, 2) for r in got)
     assert all(abs(r.p_good + r.p_low + r.p_toxic - 1) < 1e-9 for r in got)
     assert len({r.rate for r in got if r.doc_id == 1}) == 1
     assert mix(docs, labels.limit(0)).count() == 6
