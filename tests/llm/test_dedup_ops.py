@@ -63,7 +63,17 @@ def test_substring_dedup_is_brute_force(spark, seed):
         kept = b" ".join(x for x, g in zip(w, gone) if not g)
         expected.append((i or -1, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
     docs = spark.createDataFrame(rows, DOCS).withColumn("seeds", F.lit(1))
-    got = [(r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in repeated_passages(docs).collect()]
+    found = repeated_passages(docs).collect()
+    got = [(r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in found]
+    texts = {(r.x1, r.x2): (r.text or "").split() for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("x1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")).cast("binary")).alias("x2")).collect()}
+    mine = {r[0] if r[0] is not None else -1: (r[1] or "").split() for r in rows}
+    assert sum(len(r.factors) for r in found) > 20
+    for r in found:
+        if r.doc_id not in (None, 7):
+            covered = {j for f in r.factors for j in range(f.begin, f.end)}
+            assert len(covered) == r.n_removed
+            for f in r.factors:
+                assert mine[r.doc_id][f.begin : f.end] == texts[f.x1, f.x2][f.at : f.at + f.end - f.begin], "a factor stands at its reference"
     assert sorted(got) == sorted((i if i else -1, *rest) for i, *rest in expected)
     assert repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
