@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,13 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
         nearest = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("from"), F.least("m", rank("a"))["v"].alias("to"))
         nearest = written(nearest, "nearest")
         if labels is None:
-            labels = nearest.select(F.col("from").alias("node"), F.col("to").alias("root"))
+            made = nearest.select(F.col("from").alias("node"), F.col("to").alias("root"))
         else:
-            labels = labels.join(nearest, labels["root"] == nearest["from"], "left").select("node", F.coalesce("to", "root").alias("root"))
-        labels = written(labels, "labels")
-        e = (
+            made = labels.join(nearest, labels["root"] == nearest["from"], "left").select("node", F.coalesce("to", "root").alias("root"))
+        old, labels = labels, written(made, "labels")
+        left = (
             e.join(nearest.toDF("a", "ra"), "a").join(nearest.toDF("b", "rb"), "b")
             .where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         )
-        e = written(e, "edges")
+        left = written(left, "edges")
+        discard(e, nearest, *([old] if old is not None else []))
+        e = left
     return labels if labels is not None else e.toDF("node", "root")

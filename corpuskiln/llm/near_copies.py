@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import long_lists, longs, own_name, text_bytes, written
+from .common import discard, long_lists, longs, own_name, text_bytes, written
 from .components import components
 from .simhash import majority_bits, near_duplicates, shingle_hashes
 
@@ -89,54 +89,87 @@ def shared_rows(sets: DataFrame, most: int = 4_000_000) -> DataFrame:
     return sets.select("node", "n", "prefix").mapInArrow(run, "h long, node long, n int, at int")
 
 
-def small(stored: DataFrame, most: int = 1_000_000) -> DataFrame:
+def small(stored: DataFrame, most: int = 200_000) -> DataFrame:
     """A stored table, broadcast in joins if it is small, so that the other side need not be dealt out."""
     return F.broadcast(stored) if stored.count() <= most else stored
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of `similarity` or more."""
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of `similarity` or more, as a written table."""
     pairs = written(pairs, "pairs")
     asked = written(pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), "asked")
     sets = sets.join(small(asked), "node", "left_semi")
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(both / (F.col("na") + F.col("nb") - both) >= similarity).select("a", "b")
+    found = written(pairs.join(one, "a").join(two, "b").where(both / (F.col("na") + F.col("nb") - both) >= similarity).select("a", "b"), "similar")
+    discard(pairs, asked)
+    return found
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sample: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, sample: int = 5_000, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(doc_id, version, root) for every row: root names the texts reachable over links of texts whose
     sets of word shingles have a Jaccard similarity of `similarity` or more.
 
     Equal sets are one node. Links are found in two ways and verified on the whole sets. SimHash
     fingerprints link a node to the least one of its SimHash component. Two sets of that similarity may
-    differ in more bits than a pigeonhole search can reach, but they share one of their rarest shingles:
-    first each node is held against the one node of its shingles that it shares most with, which shrinks
-    dense clusters without pairs; then every pair left between different components is tried.
+    differ in more bits than a pigeonhole search can reach, but they share one of their rarest shingles.
+    In each of some rounds a shingle has one node as its hub, and a node is held against the hub of another component
+    that it shares most with: that shrinks dense clusters without pairs. Then every
+    pair left between different components is tried, if what the rarest shingles share allows it.
     """
     known = docs.sparkSession.sparkContext.broadcast(often(docs, words, sample, text_col))
     every = written(shingle_sets(docs, words, similarity, known, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "shingles")
     copied = written(every.groupBy("node").agg(F.min("row").alias("first_row"), F.count("*").alias("c")).where("c > 1").select(F.col("node").alias("copied"), "first_row"), "copied")
     sets = every.where("n > 0").join(small(copied), F.col("node") == F.col("copied"), "left").where("first_row IS NULL OR row = first_row").select("node", "fp", "n", "shingles", "prefix")
-    hashed = near_duplicates(sets.select(F.col("node").alias("doc_id"), "fp")).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    candidates = near_duplicates(sets.select(F.col("node").alias("doc_id"), "fp")).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     rows = written(shared_rows(sets), "rows")
-    hubs = written(rows.groupBy("h").agg(F.min(F.struct("node", "n", "at")).alias("hub")), "hubs")
-    shared = rows.join(small(hubs), "h")
-    hub = lambda name: F.col("hub")[name]
-    stars = shared.where((F.col("node") != hub("node")) & may_link(F.col("n"), F.col("at"), hub("n"), hub("at"), similarity)).select(hub("node").alias("a"), F.col("node").alias("b"))
-    stars = stars.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    first = components(similar(stars.union(hashed).distinct(), sets, similarity))
-    classed = written(rows.join(first.toDF("node", "root"), "node", "left").select("h", "node", "n", "at", F.coalesce("root", "node").alias("root")), "classed")
+    edges = similar(candidates, sets, similarity)
+    labels = components(edges)
+    for turn in range(rounds):
+        classed = written(with_roots(rows, labels), "classed")
+        stars = written(best_hubs(classed, turn, similarity), "stars")
+        done = stars.isEmpty()
+        if not done:
+            edges = edges.union(similar(stars, sets, similarity))
+            labels = components(edges)
+        discard(classed, stars)
+        if done:
+            break
+    classed = written(with_roots(rows, labels), "classed")
+    labels = components(edges.union(similar(possible_pairs(classed, similarity), sets, similarity)))
+    names = written(every.select("doc_id", "version", "node"), "names")
+    discard(every, rows, classed, copied)
+    linked = labels.toDF("link", "root")
+    return names.join(linked, F.col("node") == F.col("link"), "left").select("doc_id", "version", F.coalesce("root", "node").alias("root"))
+
+
+def with_roots(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(small(labels), "node", "left").select("h", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+
+
+def best_hubs(classed: DataFrame, turn: int, similarity: float, hubs_each: int = 4) -> DataFrame:
+    """(a, b): for each node the hub of another component that it shares most shingles with. A shingle has some hubs,
+    other ones in each turn."""
+    entry = F.struct("node", "n", "at", "root")
+    chosen = [F.min_by(entry, F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node"), "node")).alias(f"hub{k}") for k in range(hubs_each)]
+    made = classed.groupBy("h").agg(*chosen)
+    hubs = written(made.select("h", F.array_distinct(F.array(*[f"hub{k}" for k in range(hubs_each)])).alias("hubs")), "hubs")
+    near = lambda hub: (F.col("root") != hub["root"]) & may_link(F.col("n"), F.col("at"), hub["n"], hub["at"], similarity)
+    met = classed.join(small(hubs), "h").select("node", F.filter("hubs", near).alias("hubs")).where("size(hubs) > 0").select(F.col("node").alias("b"), F.explode("hubs.node").alias("a"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+
+
+def possible_pairs(classed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of different components that may be similar enough: they share c of their rarest shingles, in one order for
+    all sets, and so at most those and what comes after the last one."""
     x, y = classed.toDF("h", "a", "na", "ata", "ra"), classed.toDF("h", "b", "nb", "atb", "rb")
-    near = (x["h"] == y["h"]) & (x["ra"] < y["rb"]) & may_link(F.col("na"), F.col("ata"), F.col("nb"), F.col("atb"), similarity)
-    pairs = x.join(y, near).select("ra", "rb", "a", "b").distinct()
-    second = components(similar(pairs.select("a", "b"), sets, similarity).join(_roots(classed, "a"), "a").join(_roots(classed, "b"), "b").select("ra", "rb").toDF("a", "b"))
-    tops = second.toDF("mid", "top")
-    final = first.toDF("node", "mid").join(tops, "mid", "left").select("node", F.coalesce("top", "mid").alias("root"))
-    alone = tops.join(first.select(F.col("node").alias("mid")), "mid", "left_anti").toDF("node", "root")
-    linked = final.union(alone).toDF("link", "root")
-    return every.select("doc_id", "version", "node").join(linked, F.col("node") == F.col("link"), "left").select("doc_id", "version", F.coalesce("root", "node").alias("root"))
+    meet = (x["h"] == y["h"]) & (x["ra"] < y["rb"]) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6)
+    met = x.join(y, meet).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("ata").alias("ata"), F.max("atb").alias("atb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    most = F.col("c") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1
+    return met.where(most >= (F.col("na") + F.col("nb")) * similarity / (1 + similarity) - 1e-6).select("a", "b")
 
 
 def may_link(na: Column, ata: Column, nb: Column, atb: Column, similarity: float) -> Column:
@@ -146,10 +179,6 @@ def may_link(na: Column, ata: Column, nb: Column, atb: Column, similarity: float
     return (F.least(na, nb) >= F.greatest(na, nb) * similarity - 1e-6) & (left >= need)
 
 
-def _roots(classed: DataFrame, name: str) -> DataFrame:
-    return classed.select("node", "root").distinct().toDF(name, f"r{name}")
-
-
 def keep_one_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each near_copies component, that of the smallest id; its columns stay as they are."""
     found = near_copies(docs, words, similarity, id_col=id_col, text_col=text_col)
