@@ -63,6 +63,7 @@ class Index:
     prior: float
     at: np.ndarray | None = None  # where each row begins in:
     row_terms: np.ndarray | None = None
+    row_times: np.ndarray | None = None
     row_x: np.ndarray | None = None
     post_at: np.ndarray | None = None  # where each term begins in:
     post_rows: np.ndarray | None = None
@@ -107,13 +108,32 @@ class Index:
         self.ids, self.toxic, self.weight = self.ids[order], self.toxic[order], self.weight[order]
         sizes = np.diff(at)[order]
         take = ragged(at[:-1][order], sizes)
-        self.at, self.row_terms, self.row_x = np.append(0, np.cumsum(sizes)), terms[take].astype(np.int32), x[take]
-        row = np.repeat(np.arange(n), sizes)
-        by = np.argsort(self.row_terms, kind="stable")
-        self.post_at = np.searchsorted(self.row_terms[by], np.arange(len(self.term_weight) + 1))
-        self.post_rows, self.post_x = row[by].astype(np.int32), self.row_x[by]
+        self.invert(np.append(0, np.cumsum(sizes)), terms[take].astype(np.int32), times[take].astype(np.int32))
+
+    #: What invert makes anew from the rest; a broadcast leaves it out.
+    DERIVED = ("row_x", "post_at", "post_rows", "post_x", "top", "common", "block_top", "tie", "row_of", "_add")
+
+    def __getstate__(self) -> dict:
+        return {k: "\n".join(v) if k == "terms" else v for k, v in self.__dict__.items() if k not in self.DERIVED}  # no term holds white space
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.terms = {w: k for k, w in enumerate(state["terms"].split("\n"))} if state["terms"] else {}
+        self.invert(self.at, self.row_terms, self.row_times)
+
+    def invert(self, at: np.ndarray, terms: np.ndarray, times: np.ndarray) -> None:
+        """Weights, postings and bounds of rows in their order."""
+        n = len(self.ids)
+        self.at, self.row_terms, self.row_times = at, terms, times
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
+        self.row_x = self.unit(terms, times, row, n)
+        by = np.argsort(terms, kind="stable")
+        self.post_at = np.searchsorted(terms[by], np.arange(len(self.term_weight) + 1))
+        self.post_rows, self.post_x = row[by], self.row_x[by]
+        held = np.flatnonzero(np.diff(self.post_at))
         self.top = np.zeros(len(self.term_weight))
-        np.maximum.at(self.top, self.row_terms, self.row_x)
+        if len(held):
+            self.top[held] = np.maximum.reduceat(self.post_x, self.post_at[held])
         often = np.flatnonzero(np.diff(self.post_at) > max(n / 16, self.size))
         self.common = np.full(len(self.term_weight), -1, np.int32)
         self.common[often] = np.arange(len(often))

@@ -91,3 +91,12 @@ def test_no_labels(spark):
         got = toxicity.assess(docs.withColumn("Score", F.lit("x")), index).collect()
         assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.assess(docs.limit(0), index).count() == 0
+
+
+def test_an_index_survives_its_broadcast():
+    import pickle
+
+    made = index_of([{0: 1, 3: 2}, {1: 1}, {}, {0: 2, 1: 1, 5: 4}], [4, 3, 2, 1])
+    back = pickle.loads(pickle.dumps(made))
+    assert back.terms == made.terms and len(pickle.dumps(made)) < 5000
+    assert all((made.one(*made.vector(b), 3) == back.one(*back.vector(b), 3)).all() for b in ({0: 1}, {1: 2, 5: 1}, {}))
