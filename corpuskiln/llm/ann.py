@@ -105,6 +105,21 @@ def fit_router(x: np.ndarray, graph: np.ndarray, label: np.ndarray, parts: int,
     return Router(*p, scale)
 
 
+def mass_for(router: Router, base: np.ndarray, queries: np.ndarray, k: int, recall: float) -> float:
+    """How much probability a query must visit to find the share `recall` of its k nearest rows: read off queries that the router was
+    not fitted on, against the rows that it was. Neighbours in the whole table are nearer than these, so easier to find."""
+    filed = router.scores(base).argmax(axis=1)
+    p = np.exp(router.scores(queries))
+    order = np.argsort(-p, axis=1, kind="stable")
+    before = np.zeros_like(p)  # of each partition, the probability of those visited before it
+    np.put_along_axis(before, order, np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1), 1)
+    needed = []
+    for at in range(0, len(queries), 256):
+        near = np.argpartition(-(queries[at : at + 256] @ base.T), min(k, len(base)) - 1, axis=1)[:, :k]
+        needed.append(np.take_along_axis(before[at : at + 256], filed[near], 1).ravel())
+    return float(np.quantile(np.concatenate(needed), recall)) + 1e-9
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, vec array<double>) without vectors that are null, empty, zero or hold a null or non-finite component."""
     v = F.col(vec_col)
@@ -133,12 +148,13 @@ def block_search(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
         inverse = inverse.ravel()
         by = np.argsort(inverse, kind="stable")  # ids ascend within each vector
         first = np.searchsorted(inverse[by], np.arange(len(distinct) + 1))
-        near = q @ distinct.T
         top = min(k + 1, len(distinct))  # one more: a query's own vector may drop out
-        floor = -np.partition(-near, top - 1, axis=1)[:, top - 1]
-        slack = 1e-9 * (np.abs(near).max(axis=1) + 1)
         for i in range(len(q)):
-            found = np.flatnonzero(near[i] >= floor[i] - slack[i])
+            if i % 256 == 0:
+                near = q[i : i + 256] @ distinct.T
+                floor = -np.partition(-near, top - 1, axis=1)[:, top - 1]
+                slack = 1e-9 * (np.abs(near).max(axis=1) + 1)
+            found = np.flatnonzero(near[i % 256] >= floor[i % 256] - slack[i % 256])
             exact = (distinct[found] * q[i]).sum(axis=1)  # one order of summation for every pair
             pairs = [(-s, int(v)) for s, c in zip(exact.tolist(), found.tolist()) for v in x_ids[by[first[c] : min(first[c + 1], first[c] + k + 1)]] if v != q_ids[i]]
             pairs.sort()
@@ -150,19 +166,19 @@ def block_search(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
 
 
 def nearest(
-    vectors: DataFrame, every: int = 20, k: int = 20, parts: int = 32, probed: float = 0.78, most_fit: int = 10_000, rows_in_block: int = 1024, queries_in_block: int = 4096,
+    vectors: DataFrame, every: int = 20, k: int = 20, rows_in_part: int = 1024, recall: float = 0.95, most_fit: int = 10_000, rows_in_block: int = 8192, queries_in_block: int = 8192,
     id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every` its k nearest other rows found.
 
     Nearness is the inner product in double precision, ties go to the smaller id. The graph, its balanced
-    partition and the classifier are fitted on a hash sample of about most_fit vectors; every row is
-    then filed under its most probable partition, and a query visits the most probable `probed`
-    share of partitions, where all rows are ranked exactly. On vectors without structure that share
-    must be large for a recall of 0.9; on clustered ones less will do. Fewer than 64 sample vectors for
-    each of `parts` partitions: fewer partitions, down to one. Vectors that are null, zero, of
-    another length than most, or hold a null or non-finite component take no part; of rows with one id and one
-    vector one takes part. No usable vector: no rows.
+    partition and the classifier are fitted on a hash sample of about most_fit vectors; every row is then
+    filed under its most probable partition. There is a partition for rows_in_part rows of the table, as far as
+    the sample has 64 vectors for each. A query visits its most probable partitions, where all rows are ranked
+    exactly, until their probability reaches what a tenth of the sample, left out of the fit, needed for
+    `recall`: few partitions where vectors cluster, most of them where they have no structure.
+    Vectors that are null, zero, of another length than most, or hold a null or non-finite component
+    take no part; of rows with one id and one vector one takes part. No usable vector: no rows.
 
     Large partitions and query sets are cut into blocks, so a vector that many rows share fills
     many small groups, each scored as one vector.
@@ -176,22 +192,27 @@ def nearest(
     rows = rows.where(F.size("vec") == dim)
     pick = F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1_000_003)) / 1_000_003.0 < min(1.0, most_fit / total)
     sample = np.unique(matrix(rows.where(pick).select("vec").toArrow()["vec"]), axis=0)
-    parts = max(1, min(parts, len(sample) // 64))
-    router = None
+    parts = max(1, min(-(-total // rows_in_part), len(sample) * 9 // 10 // 64))
+    router, mass = None, 1.0
     if parts > 1:
-        graph = neighbour_graph(sample, 10)
-        router = fit_router(sample, graph, balanced_partition(sample, graph, parts), parts)
-    visits = min(parts, int(np.ceil(probed * parts)))
+        apart = np.random.default_rng(2).permutation(len(sample))
+        asked_for, fitted = sample[apart[: len(sample) // 10]], sample[apart[len(sample) // 10 :]]
+        graph = neighbour_graph(fitted, 10)
+        router = fit_router(fitted, graph, balanced_partition(fitted, graph, parts), parts)
+        mass = mass_for(router, fitted, asked_for, k, recall)
     shared = spark.sparkContext.broadcast(router)
 
     def route(batches):
         for b in batches:
             x = matrix(b.column("vec"))
-            if router_of := shared.value:
-                order = np.argsort(-router_of.scores(x), axis=1, kind="stable")[:, :visits] if len(x) else np.zeros((0, visits), np.int64)
-            else:
-                order = np.zeros((len(b), 1), np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["vec_id", "vec", "route"])
+            routes = [[0]] * len(b)
+            if shared.value and len(b):
+                p = np.exp(shared.value.scores(x))
+                order = np.argsort(-p, axis=1, kind="stable")
+                sums = np.cumsum(np.take_along_axis(p, order, 1), axis=1)
+                visits = 1 + (sums[:, :-1] < mass).sum(axis=1)
+                routes = [o[:n] for o, n in zip(order.tolist(), visits.tolist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(routes, pa.list_(pa.int32()))], ["vec_id", "vec", "route"])
 
     routed = written(rows.mapInArrow(route, "vec_id long, vec array<double>, route array<int>").dropDuplicates(["vec_id", "vec"]), "routed")
     asked = routed.where(F.pmod("vec_id", F.lit(every)) == 0)

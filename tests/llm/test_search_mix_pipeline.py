@@ -99,11 +99,13 @@ def test_nearest_is_exact_on_few_vectors_and_leaves_odd_ones_out(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_nearest_recall(spark):
+@pytest.mark.parametrize("options", [{"rows_in_part": 80}, {"rows_in_part": 80, "rows_in_block": 50, "queries_in_block": 7}])
+def test_nearest_recall(spark, options):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = vectors.collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    got = nearest(vectors).collect()
+    got = nearest(vectors, **options).collect()
+    assert len({(g.query_id, g.vec_id) for g in got}) == len(got) == 20 * len({g.query_id for g in got})
     hits = []
     for q in np.flatnonzero(ids % 20 == 0):
         s = x @ x[q]
