@@ -163,6 +163,39 @@ class PageMaker:
             word += f"-{r.choice(['inner', 'box', 'item', 'area', str(r.randint(1, 9))])}"
         return f' {r.choice(["class", "class", "id"])}="{word}"'
 
+    def plain(self) -> str:
+        """An attribute that says nothing, or none."""
+        r = self.r
+        word = r.choice(["row", "col", "inner", "wrap", "box", "a", "b", "x", "grid", "outer", "clearfix", "section", "module", "layout", "unit"])
+        word += r.choice(["", "", str(r.randint(1, 40)), f"-{r.randint(1, 12)}", " inner", " col wrap"])
+        return r.choice(["", f' class="{word}"', f' id="{word.replace(" ", "")}"'])
+
+    def nested(self, inside: str, most: int = 8) -> str:
+        depth = self.r.randint(0, most) if self.r.random() < 0.3 else self.r.randint(0, 1)
+        return "".join(f"<div{self.plain()}>" for _ in range(depth)) + inside + "</div>" * depth
+
+    def bar(self, mark: str) -> str:
+        """Links in a row, without a list."""
+        word = lambda: f'<a href="/w">{self.boiler(1, 2)}</a>' if self.r.random() < 0.7 else self.boiler(1, 2)
+        return mark + self.r.choice([" | ", " &middot; ", " / ", " "]).join(word() for _ in range(self.r.randint(2, 6)))
+
+    def unnamed(self, where: str) -> str:
+        """Boilerplate whose tags don't tell: text, links and the place must."""
+        r, o = self.r, "\x01"
+        legal = f"{r.choice(['Copyright', '&copy;', '(c)'])} {r.randint(1996, 2026)} {r.choice([self.boiler(1, 8), self.words(1, 4).title()])}{r.choice(['', '.', '. All rights reserved.', ' - all rights reserved'])}"
+        call = f"{r.choice(['Subscribe', 'Sign up', 'Join', 'Follow', 'Share', 'Download'])} {self.boiler(2, 9)}"
+        kinds = {
+            "top": [lambda: f"<div{self.plain()}>{self.bar(o)}</div>", lambda: f"<div{self.plain()}>{self.links(o)}</div>", lambda: f'<div role="{r.choice(["navigation", "banner", "search"])}">{self.bar(o)}</div>'],
+            "any": [lambda: f"<div{self.plain()}>{o}{call}</div>", lambda: f'<div role="{r.choice(["complementary", "dialog", "alert", "note"])}"><p>{o}{self.prose(2, 25)}</p></div>'],
+            "side": [lambda: f'<div role="complementary"><h3>{o}{self.boiler(1, 3)}</h3>{self.links(o)}<p>{o}{self.prose(2, 20)}</p></div>', lambda: f"<div{self.plain()}>{self.links(o)}</div>"],
+            "end": [
+                lambda: f"<div{self.plain()}>{o}{legal}</div>", lambda: f"<div{self.plain()}>{self.bar(o)}</div><div{self.plain()}>{o}{legal}</div>", lambda: f'<div role="contentinfo">{o}{legal}</div>',
+                lambda: f"<section>{''.join(f'<article><p>{o}{self.prose(1, 30)}</p></article>' for _ in range(r.randint(1, 5)))}</section>",
+                lambda: f"<div{self.plain()}>{o}{call}</div>",
+            ],
+        }
+        return r.choice(kinds[where])()
+
     def links(self, mark: str, low: int = 2, high: int = 9) -> str:
         item = lambda: f'<li><a href="/x">{mark}{self.boiler(1, 4) if self.r.random() < 0.6 else self.words(1, 4)}</a></li>'
         return f"<ul>{''.join(item() for _ in range(self.r.randint(low, high)))}</ul>"
@@ -199,7 +232,7 @@ class PageMaker:
                 lambda: f"<div{self.name('tags pagination pager')}>{o}{link} {link}</div>",
             ],
         }
-        return r.choice(kinds[where])()
+        return self.nested(r.choice(kinds[where])() if r.random() < 0.75 else self.unnamed(where))
 
     def comments(self) -> str:
         r, o = self.r, "\x01"
@@ -239,20 +272,32 @@ class PageMaker:
         if kind < 0.5:
             return f"<article{self.name('post article entry story') if r.random() < 0.4 else ''}>{body}</article>"
         if kind < 0.65:
-            return f"<main>{body}</main>"
-        if kind < 0.92:
+            return f"<main>{body}</main>" if r.random() < 0.7 else f'<div role="{r.choice(["main", "article"])}">{body}</div>'
+        if kind < 0.86:
             return f"<div{self.name('content post entry article story body text main-content prose')}>{body}</div>"
-        return f"<div>{body}</div>"
+        return f"<div{self.plain()}>{body}</div>"
+
+    def tables(self) -> str:
+        """A page laid out by a table: rows of bars around a cell with the article."""
+        r = self.r
+        side = f"<td>{self.junk('side')}</td>" if r.random() < 0.6 else ""
+        cells = [f"<td>{self.article()}</td>", side]
+        r.shuffle(cells)
+        wide = ' colspan="2"' if side else ""
+        head = f"<tr><td{wide}>{self.bar(chr(1)) if r.random() < 0.7 else self.junk('top')}</td></tr>"
+        return f"<table{self.plain()}>{head}<tr>{''.join(cells)}</tr><tr><td{wide}>{self.unnamed('end')}</td></tr></table>"
 
     def page(self) -> str:
         r = self.r
         top = "".join(self.junk(r.choice(["top", "top", "top", "any"])) for _ in range(r.randint(0, 3)))
-        ads = f"<!-- ad --><div{' class="ad"' if r.random() < 0.6 else self.name('ad banner promo')}>\x01{self.prose(2, 20)}</div>" if r.random() < 0.5 else ""
-        middle = self.article()
+        ads = f"<div{self.name('ad ads banner promo')}>\x01{self.prose(2, 20)}</div>" if r.random() < 0.4 else ""
+        if r.random() < 0.18:
+            return f"<html><head><title>{self.words(2, 8)}</title></head><body>{self.tables()}</body></html>"
+        middle = self.nested(self.article())
         if r.random() < 0.4:
             middle = f"<div{self.name('wrapper container row page')}>{middle}{self.junk('side')}</div>" if r.random() < 0.6 else f"<div>{self.junk('side')}{middle}</div>"
         end = "".join(self.junk(r.choice(["end", "end", "end", "any"])) for _ in range(r.randint(0, 4)))
-        return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style></head><body>{top}{ads}{middle}{end}</body></html>"
+        return f"<html><head><title>{self.words(2, 8)}</title></head><body>{top}{ads}{middle}{end}</body></html>"
 
 
 def marked_pages(n: int, seed: int = 0) -> list[list[tuple[Block, int]]]:

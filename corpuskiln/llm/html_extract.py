@@ -27,8 +27,7 @@ class Encoder:
         if got is None:
             if len(self.paths) > self.most:
                 self.paths.clear()
-            last = names[-12:]
-            keys = [*last, *(f"{a}>{b}" for a, b in zip(last, last[1:]))] or ["-"]
+            keys = [*names, *(f"{a}>{b}" for a, b in zip(names, names[1:]))] or ["-"]
             got = self.paths[names] = [zlib.crc32(k.encode()) % PATHS for k in keys]
         return got
 
@@ -168,7 +167,7 @@ class Labeller:
 
 
 @lru_cache(maxsize=2)  # it depends on its arguments only
-def fit(pages: int = 900, epochs: int = 6, batch: int = 24, rate: float = 0.01, seed: int = 0) -> Labeller:
+def fit(pages: int = 1500, epochs: int = 6, batch: int = 24, rate: float = 0.01, seed: int = 0) -> Labeller:
     """A labeller trained (Adam) on `pages` generated layouts whose blocks are known; no table is read."""
     rng, model, encoder = np.random.default_rng(seed), Labeller(seed=seed), Encoder()
     data = [p for p in marked_pages(pages, seed) if p]
