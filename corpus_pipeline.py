@@ -1,8 +1,9 @@
 """documents -> a mixed training corpus, in five stages; each calls one operator of corpuskiln.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last return the
-columns of documents. SQL can't express the language models, so ORACLE_SQL is None and
-the tests hold the stages against brute-force versions.
+columns of documents. SQL can't express the language models, so ORACLE_SQL is None. The tests hold line_dedup,
+near_dedup and the rates of mixing against brute force, decontamination against cases worked out by hand, and
+language_id against held-out languages.
 """
 
 from __future__ import annotations
