@@ -106,7 +106,7 @@ def path_rate(steps: list[list[float]]) -> Column:
     return F.aggregate(rows, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - product(s)))
 
 
-def mixing_rates(members: DataFrame, targets: list[float], steps: int = 60, close: float = 1e-6) -> DataFrame:
+def mixing_rates(members: DataFrame, targets: list[float], steps: int = 25, close: float = 1e-6) -> DataFrame:
     """members, with n_tokens and p, plus rate >= 0: how often to take each document, reached: the shares
     that the rates lead to, and converged.
 
@@ -116,7 +116,7 @@ def mixing_rates(members: DataFrame, targets: list[float], steps: int = 60, clos
     never ascends, and the gradient scaled by the damped Gram matrix of the documents with a rate over 0; the best is taken.
     A round is one small distributed sum; the rates are an expression of the steps so far, and no list of
     documents leaves the executors. It has converged when all misses are under `close` of the tokens, or when no
-    length lowers the loss by more than a billionth: that bounds the projected gradient. So
+    length lowers the loss by more than a millionth: that bounds the projected gradient. So
     unreachable targets end at their least-squares approach, with reached telling how far that is; after `steps` rounds
     without either, converged is false. Documents without tokens keep the rate that their posteriors
     say. No tokens: all rates are 1 and reached is null.
@@ -157,7 +157,7 @@ def mixing_rates(members: DataFrame, targets: list[float], steps: int = 60, clos
             tried = [[x * a for x in here["miss"]] for a in (1 / curvature, 8 / own, 64 / own)] + [solve(damped(d), here["miss"]) for d in (1e-9, 0.01, 0.1)]
             found = sums(tried)
             best = min(range(len(tried)), key=lambda c: found[c]["loss"])
-            if here["loss"] - found[best]["loss"] <= 1e-9 * here["loss"]:
+            if here["loss"] - found[best]["loss"] <= 1e-6 * here["loss"]:
                 converged = True
                 break
             taken.append(tried[best])

@@ -108,7 +108,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_copies(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, sample: int = 5_000, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, sample: int = 5_000, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, version, root) for every row: root names the texts reachable over links of texts whose
     sets of word shingles have a Jaccard similarity of `similarity` or more.
@@ -158,8 +158,9 @@ def best_hubs(classed: DataFrame, turn: int, similarity: float, hubs_each: int =
     made = classed.groupBy("h").agg(*chosen)
     hubs = written(made.select("h", F.array_distinct(F.array(*[f"hub{k}" for k in range(hubs_each)])).alias("hubs")), "hubs")
     near = lambda hub: (F.col("root") != hub["root"]) & may_link(F.col("n"), F.col("at"), hub["n"], hub["at"], similarity)
-    met = classed.join(small(hubs), "h").select("node", F.filter("hubs", near).alias("hubs")).where("size(hubs) > 0").select(F.col("node").alias("b"), F.explode("hubs.node").alias("a"))
-    return met.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    met = classed.join(small(hubs), "h").select("node", "n", F.filter("hubs", near).alias("hubs")).where("size(hubs) > 0").select(F.col("node").alias("b"), "n", F.explode("hubs.node").alias("a"))
+    likely = F.col("c") >= F.col("n") * (1 - similarity) / 5  # a fifth of the prefix; what else there is, the pairs find
+    return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(likely).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
 
 
 def possible_pairs(classed: DataFrame, similarity: float) -> DataFrame:

@@ -54,7 +54,7 @@ def test_rates_meet_targets_and_stay_nonnegative(spark):
 def test_rates_are_the_least_squares_of_a_plain_solver(spark, targets):
     r = np.random.default_rng(4)
     n, p = r.integers(1, 400, 120).astype(float), r.dirichlet([6.0, 1.0, 0.5], 120) * 0.9 + 0.1 / 3
-    got = mixing_rates(spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>"), targets)
+    got = mixing_rates(spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>"), targets, steps=60)
     rows = got.collect()
     a, goal = (n[:, None] * p).T, np.array(targets) * n.sum()
     loss = float(((sum(x.rate * x.n_tokens * np.array(x.p) for x in rows) - goal) ** 2).sum()) / n.sum() ** 2
