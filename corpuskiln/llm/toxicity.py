@@ -7,15 +7,15 @@ near for what tells the labels apart, and terms that tell little weigh little, b
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import without, written
+from .common import discard, without, written
 
 TIE_BITS = 20  # an index holds fewer rows than this many bits count
 LAST = (1 << TIE_BITS) - 1
@@ -96,15 +96,18 @@ class Index:
         return out
 
     def fill(self, at: np.ndarray, terms: np.ndarray, times: np.ndarray) -> None:
-        """From rows of term counts; rows that share their heaviest terms are laid side by side, which keeps the blocks' bounds tight."""
+        """From rows of term counts; rows that share their heaviest term are laid side by side, which keeps the blocks' bounds tight."""
         n = len(self.ids)
         if n > LAST:
             raise ValueError(f"an index holds at most {LAST} rows; take a smaller sample of labelled rows")
         row = np.repeat(np.arange(n), np.diff(at))
         x = self.unit(terms, times, row, n)
-        heavy = np.lexsort((terms, -x, row))[np.minimum(at[:-1, None] + np.arange(3), np.maximum(at[1:, None] - 1, 0))] if len(terms) else np.zeros((n, 3), np.int64)
-        lead = terms[heavy] if len(terms) else heavy
-        order = np.lexsort((self.ids, lead[:, 2], lead[:, 1], lead[:, 0]))
+        most = np.zeros(n)
+        np.maximum.at(most, row, x)
+        lead = np.full(n, -1)  # each row's heaviest term
+        top = np.flatnonzero(x == most[row])
+        lead[row[top]] = terms[top]
+        order = np.lexsort((self.ids, lead))
         self.ids, self.toxic, self.weight = self.ids[order], self.toxic[order], self.weight[order]
         sizes = np.diff(at)[order]
         take = ragged(at[:-1][order], sizes)
@@ -114,12 +117,17 @@ class Index:
     DERIVED = ("row_x", "post_at", "post_rows", "post_x", "top", "common", "block_top", "tie", "row_of", "_add")
 
     def __getstate__(self) -> dict:
-        return {k: "\n".join(v) if k == "terms" else v for k, v in self.__dict__.items() if k not in self.DERIVED}  # no term holds white space
+        state = {k: v for k, v in self.__dict__.items() if k not in self.DERIVED}
+        small = np.uint16 if not len(self.row_times) or self.row_times.max() < 1 << 16 else np.int32
+        packed = {"terms": "\n".join(self.terms).encode(), "row_terms": self.row_terms.tobytes(), "row_times": self.row_times.astype(small).tobytes()}  # no term holds white space
+        return state | {k: zlib.compress(v, 1) for k, v in packed.items()} | {"small": small}
 
     def __setstate__(self, state: dict) -> None:
+        small = state.pop("small")
+        words, terms, times = (zlib.decompress(state.pop(k)) for k in ("terms", "row_terms", "row_times"))
         self.__dict__.update(state)
-        self.terms = {w: k for k, w in enumerate(state["terms"].split("\n"))} if state["terms"] else {}
-        self.invert(self.at, self.row_terms, self.row_times)
+        self.terms = {w: k for k, w in enumerate(words.decode().split("\n"))} if words else {}
+        self.invert(self.at, np.frombuffer(terms, np.int32), np.frombuffer(times, small).astype(np.int32))
 
     def invert(self, at: np.ndarray, terms: np.ndarray, times: np.ndarray) -> None:
         """Weights, postings and bounds of rows in their order."""
@@ -219,9 +227,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", "weight")
 
 
-def term_counts(texts: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
-    """For each term the number of rows that hold it, over all rows, and the number of rows."""
-    shared = texts.sparkSession.sparkContext.broadcast(terms)
+def term_counts(texts: DataFrame, shared) -> tuple[np.ndarray, int]:
+    """For each of the broadcast terms the number of rows that hold it, over all rows, and the number of rows."""
 
     def run(batches):
         look, n, df = Terms(shared.value), 0, np.zeros(len(shared.value), np.int64)
@@ -234,11 +241,23 @@ def term_counts(texts: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, in
 
     got = texts.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     k, n = got["k"].to_numpy(), got["n"].to_numpy()
-    df = np.zeros(len(terms))
+    df = np.zeros(len(shared.value))
     df[k[k >= 0]] = n[k >= 0]
     return df, int(n[k < 0].sum())
 
 
+def numbered(rows: DataFrame, shared) -> DataFrame:
+    """The rows of bags_of with the terms as their numbers."""
+
+    def run(batches):
+        terms = shared.value
+        for b in batches:
+            numbers = pa.array([[terms[w] for w in bag] for bag in b.column("terms").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([numbers if c == "terms" else b.column(c) for c in b.schema.names], b.schema.names)
+
+    return rows.mapInArrow(run, "doc_id long, toxic int, weight double, terms array<int>, times array<int>")
+
+
 def bags_of(labelled: DataFrame) -> DataFrame:
     """(doc_id, toxic, weight, terms, times) with the terms as strings."""
 
@@ -281,6 +300,7 @@ def left_out(spark: SparkSession, index: Index, k: int) -> np.ndarray:
 
     got = spark.range(len(index.ids)).mapInArrow(run, "id long, vote double").toArrow()
     votes = np.zeros(len(index.ids))
+    shared.destroy()
     votes[got["id"].to_numpy()] = got["vote"].to_numpy()
     return votes
 
@@ -296,15 +316,18 @@ def learn(docs: DataFrame, labelled: DataFrame, block: int = 64, k: int = 15) ->
     stored = written(bags_of(labelled), "bags")
     n, n1 = (lambda r: (r["n"], r["a"] or 0))(stored.agg(F.count("*").alias("n"), F.sum("toxic").alias("a")).first())
     terms, phi = associations(stored, n, n1)
-    df, total = term_counts(docs, terms)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    df, total = term_counts(docs, shared)
     weight = (np.log((total + 1) / (df + 1)) + 1) * phi
-    got = stored.toArrow()
+    got = numbered(stored, shared).toArrow()
+    shared.destroy()
+    discard(stored)
     column = lambda c: got[c].to_numpy()
     stands_for, toxic = column("weight"), column("toxic").astype(float)
     prior = float(((stands_for * toxic).sum() + 0.5) / (stands_for.sum() + 1))
     lists, times = got["terms"].combine_chunks(), got["times"].combine_chunks()
     index = Index(terms, weight, column("doc_id"), toxic, stands_for, block, prior)
-    flat = pc.index_in(lists.flatten(), value_set=pa.array(list(terms), pa.string())).to_numpy().astype(np.int64) if len(got) else np.zeros(0, np.int64)
+    flat = lists.flatten().to_numpy().astype(np.int64) if len(got) else np.zeros(0, np.int64)
     at = np.append(0, np.cumsum(lists.value_lengths().to_numpy())) if len(got) else np.zeros(1, np.int64)
     index.fill(at.astype(np.int64), flat, times.flatten().to_numpy().astype(float) if len(got) else np.zeros(0))
     del got, lists, times, flat
