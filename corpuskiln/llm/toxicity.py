@@ -86,6 +86,7 @@ class Index:
         return terms, self.unit(terms, times, np.zeros(len(bag), np.int64), 1)
 
     def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        self.ready()
         return self.row_terms[self.at[i] : self.at[i + 1]], self.row_x[self.at[i] : self.at[i + 1]]
 
     def dense(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -111,7 +112,12 @@ class Index:
         self.ids, self.toxic, self.weight = self.ids[order], self.toxic[order], self.weight[order]
         sizes = np.diff(at)[order]
         take = ragged(at[:-1][order], sizes)
-        self.invert(np.append(0, np.cumsum(sizes)), terms[take].astype(np.int32), times[take].astype(np.int32))
+        self.at, self.row_terms, self.row_times = np.append(0, np.cumsum(sizes)), terms[take].astype(np.int32), times[take].astype(np.int32)
+
+    def ready(self) -> None:
+        """Postings are made where they are first asked for: in the tasks, not on the driver."""
+        if self.row_of is None:
+            self.invert(self.at, self.row_terms, self.row_times)
 
     #: What invert makes anew from the rest; a broadcast leaves it out.
     DERIVED = ("row_x", "post_at", "post_rows", "post_x", "top", "common", "block_top", "tie", "row_of", "_add")
@@ -127,7 +133,7 @@ class Index:
         words, terms, times = (zlib.decompress(state.pop(k)) for k in ("terms", "row_terms", "row_times"))
         self.__dict__.update(state)
         self.terms = {w: k for k, w in enumerate(words.decode().split("\n"))} if words else {}
-        self.invert(self.at, np.frombuffer(terms, np.int32), np.frombuffer(times, small).astype(np.int32))
+        self.row_terms, self.row_times = np.frombuffer(terms, np.int32), np.frombuffer(times, small).astype(np.int32)
 
     def invert(self, at: np.ndarray, terms: np.ndarray, times: np.ndarray) -> None:
         """Weights, postings and bounds of rows in their order."""
@@ -157,6 +163,7 @@ class Index:
 
         Postings of all terms are added up but for frequent ones of little weight, `spare` in all at most. With what those can add,
         by the blocks' maxima, whole blocks fall short of the k-th best; in the other blocks the rows that don't are completed."""
+        self.ready()
         n, best = len(self.ids), np.zeros(k, np.int64)
         if not n or not len(terms):
             return best
@@ -193,6 +200,7 @@ class Index:
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each vector (terms, weights) the k labelled rows of the largest cosine over 0 (-1 where there are fewer), ties to
         the smaller id, without row skip[i], and their cosines."""
+        self.ready()
         out = np.array([self.one(t, x, k, -1 if skip is None else int(skip[i])) for i, (t, x) in enumerate(vectors)], np.int64).reshape(len(vectors), k)
         rows = np.where(out > 0, self.row_of[np.where(out > 0, LAST - (out & LAST), 0)], -1) if len(self.ids) else np.full((len(vectors), k), -1)
         return rows, (out >> TIE_BITS) / 1e12
