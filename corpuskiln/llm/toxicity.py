@@ -73,6 +73,9 @@ class Index:
     block_top: np.ndarray | None = None  # frequent terms x blocks
     tie: np.ndarray | None = None  # by row: falls with the id
     row_of: np.ndarray | None = None  # rows by rising id
+    dense_of: np.ndarray | None = None  # by term: its number among those with a row in dense_x, or -1
+    dense_x: np.ndarray | None = None  # most frequent terms x rows, in single precision
+    span_top: np.ndarray | None = None  # those terms x spans of blocks: the largest weights
     slope: float = 1.0
     shift: float = 0.0
 
@@ -120,7 +123,7 @@ class Index:
             self.invert(self.at, self.row_terms, self.row_times)
 
     #: What invert makes anew from the rest; a broadcast leaves it out.
-    DERIVED = ("row_x", "post_at", "post_rows", "post_x", "top", "common", "block_top", "tie", "row_of", "_add")
+    DERIVED = ("row_x", "post_at", "post_rows", "post_x", "top", "common", "block_top", "tie", "row_of", "dense_of", "dense_x", "span_top", "_add")
 
     def __getstate__(self) -> dict:
         state = {k: v for k, v in self.__dict__.items() if k not in self.DERIVED}
@@ -157,6 +160,24 @@ class Index:
         self.row_of = np.argsort(self.ids, kind="stable")
         self.tie = np.empty(n, np.int64)
         self.tie[self.row_of] = LAST - np.arange(n)  # of equal cosines the smaller id has the larger tie
+        self.lay_out(row)
+
+    def lay_out(self, row: np.ndarray, most_cells: int = 12_000_000, thin: int = 64) -> None:
+        """The most frequent terms, each in over 1 / `thin` of the rows, also as rows of a matrix of at most `most_cells` weights."""
+        n, held = len(self.ids), np.diff(self.post_at)
+        chosen = np.argsort(-held, kind="stable")[: most_cells // max(n, 1)]
+        chosen = chosen[held[chosen] > n / thin]
+        self.dense_of = np.full(len(self.term_weight), -1, np.int32)
+        self.dense_of[chosen] = np.arange(len(chosen))
+        self.dense_x = np.zeros((len(chosen), n), np.float32)
+        here = self.dense_of[self.row_terms] >= 0
+        self.dense_x[self.dense_of[self.row_terms[here]], row[here]] = self.row_x[here]
+        self.span_top = np.maximum.reduceat(self.dense_x, np.arange(0, n, self.span), axis=1) if n else np.zeros((len(chosen), 0), np.float32)
+
+    @property
+    def span(self) -> int:
+        """Rows in a span of blocks, the unit that a batch of queries skips or opens."""
+        return 16 * self.size
 
     def one(self, terms: np.ndarray, x: np.ndarray, k: int, skip: int = -1, spare: float = 0.03) -> np.ndarray:
         """Keys (a cosine of 12 digits and its tie in one integer) of the k best rows, best first, 0 where there are fewer.
@@ -184,24 +205,88 @@ class Index:
         rows = rows[partial[rows] + rest[rows // self.size] >= floor]
         score = partial[rows]
         if len(late):
-            add = np.zeros(len(self.term_weight)) if not hasattr(self, "_add") else self._add
-            self._add = add  # kept between calls: clearing a few places is cheaper than a new array
-            add[terms[late]] = x[late]
-            sizes = self.at[rows + 1] - self.at[rows]
-            place = ragged(self.at[rows], sizes)
-            score = score + np.bincount(np.repeat(np.arange(len(rows)), sizes), self.row_x[place] * add[self.row_terms[place]], len(rows))
-            add[terms[late]] = 0
-        whole = np.rint(score * 1e12).astype(np.int64)
+            score = score + self.cosines(terms[late], x[late], rows)
+        if len(rows) > k:
+            rows = rows[score >= np.partition(score, -k)[-k] - 1e-11]
+        whole = np.rint(self.cosines(terms, x, rows) * 1e12).astype(np.int64)  # added up in one order whatever the way here
         keys = np.where((whole > 0) & (rows != skip), (whole << TIE_BITS) | self.tie[rows], 0)
         keys = -np.sort(-(np.partition(keys, -k)[-k:] if len(keys) > k else keys))
         best[: len(keys)] = keys
         return best
 
+    def cosines(self, terms: np.ndarray, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact cosines of a vector with some rows."""
+        if not hasattr(self, "_add"):
+            self._add = np.zeros(len(self.term_weight))  # kept between calls: clearing a few places is cheaper than a new array
+        self._add[terms] = x
+        sizes = self.at[rows + 1] - self.at[rows]
+        place = ragged(self.at[rows], sizes)
+        got = np.bincount(np.repeat(np.arange(len(rows)), sizes), self.row_x[place] * self._add[self.row_terms[place]], len(rows))
+        self._add[terms] = 0
+        return got
+
+    def many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int]) -> np.ndarray:
+        """What `one` gives, for a batch of queries with many postings.
+
+        Postings of the rarer terms are added up; frequent terms add products of matrices, span by span. A query whose bound in a
+        span, by the largest weights there, is below its k-th best elsewhere skips it. Single precision only chooses rows: those within its
+        largest error of the k-th best get their exact cosines."""
+        n, m, width = len(self.ids), len(vectors), len(self.dense_x)
+        slack = (width + 64) * 2.0**-22
+        sizes = [len(t) for t, _ in vectors]
+        owner = np.repeat(np.arange(m), sizes)
+        terms, x = (np.concatenate(part) for part in zip(*vectors))
+        number = self.dense_of[terms]
+        query = np.zeros((m, width), np.float32)
+        query[owner[number >= 0], number[number >= 0]] = x[number >= 0]
+        rare = number < 0
+        begin, held = self.post_at[terms[rare]], np.diff(self.post_at)[terms[rare]]
+        place = ragged(begin, held)
+        score = np.bincount(np.repeat(owner[rare] * n, held) + self.post_rows[place], self.post_x[place] * np.repeat(x[rare], held), m * n).reshape(m, n).astype(np.float32)
+        for i, row in enumerate(skip):
+            if row >= 0:
+                score[i, row] = -2.0
+        most = query @ self.span_top
+        floor = np.zeros(m, np.float32)
+        for j, at in enumerate(range(0, n, self.span)):
+            part = score[:, at : at + self.span]
+            open_ = np.flatnonzero(part.max(axis=1) + most[:, j] >= floor - slack)
+            if len(open_):
+                part[open_] += query[open_] @ self.dense_x[:, at : at + self.span]
+                if part.shape[1] > k:
+                    floor[open_] = np.maximum(floor[open_], np.partition(part[open_], -k, axis=1)[:, -k])
+        for i, row in enumerate(skip):
+            if row >= 0:
+                score[i, row] = -2.0
+        out = np.zeros((m, k), np.int64)
+        for i in range(m):
+            rows = np.flatnonzero(score[i] >= max(floor[i] - slack, 1e-13))
+            if len(rows) > k:
+                rows = rows[score[i, rows] >= np.partition(score[i, rows], -k)[-k] - slack]
+            whole = np.rint(self.cosines(*vectors[i], rows) * 1e12).astype(np.int64)
+            keys = np.where(whole > 0, (whole << TIE_BITS) | self.tie[rows], 0)
+            keys = -np.sort(-keys)[:k]
+            out[i, : len(keys)] = keys
+        return out
+
+    def keys(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int], batch: int = 64) -> np.ndarray:
+        """The k best keys of each vector. Vectors with few postings are looked up one by one, the others in batches; both ways are exact."""
+        held, out = np.diff(self.post_at), np.zeros((len(vectors), k), np.int64)
+        costs = np.array([held[t].sum() for t, _ in vectors])
+        few = costs <= self.dense_x.size / 640
+        for i in np.flatnonzero(few):
+            out[i] = self.one(*vectors[i], k, skip[i])
+        heavy = np.flatnonzero(~few)
+        for at in range(0, len(heavy), batch):
+            some = heavy[at : at + batch]
+            out[some] = self.many([vectors[i] for i in some], k, [skip[i] for i in some])
+        return out
+
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each vector (terms, weights) the k labelled rows of the largest cosine over 0 (-1 where there are fewer), ties to
         the smaller id, without row skip[i], and their cosines."""
         self.ready()
-        out = np.array([self.one(t, x, k, -1 if skip is None else int(skip[i])) for i, (t, x) in enumerate(vectors)], np.int64).reshape(len(vectors), k)
+        out = self.keys(vectors, k, [-1] * len(vectors) if skip is None else [int(i) for i in skip])
         rows = np.where(out > 0, self.row_of[np.where(out > 0, LAST - (out & LAST), 0)], -1) if len(self.ids) else np.full((len(vectors), k), -1)
         return rows, (out >> TIE_BITS) / 1e12
 

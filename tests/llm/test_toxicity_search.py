@@ -41,6 +41,22 @@ def test_nearest_equals_brute_force_with_many_ties(seed, terms, most):
     assert not (alone == np.arange(150)[:, None]).any()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_batches_equal_single_lookups(seed):
+    rng = np.random.default_rng(seed)
+    bag = lambda: {int(t): int(rng.integers(1, 4)) for t in np.unique(rng.zipf(1.3, 40) % 300)}
+    bags = [bag() for _ in range(500)]
+    bags += bags[:200] + [{}]  # ties
+    made = index_of(bags, rng.permutation(2000)[: len(bags)], size=2, terms=300)
+    queries = [bag() for _ in range(150)] + bags[:20]
+    vectors = [made.vector(b) for b in queries]
+    skip = [-1] * 150 + list(range(20))
+    made.ready()
+    for thin in (1, 5, 10_000):  # no term as a matrix row, some, all
+        made.lay_out(np.repeat(np.arange(len(bags)), np.diff(made.at)), thin=thin)
+        assert (made.many(vectors, 15, skip) == [made.one(*v, 15, s) for v, s in zip(vectors, skip)]).all()
+
+
 def test_no_rows_and_no_common_term():
     none = index_of([], [])
     assert (none.nearest([none.vector({0: 1}), none.vector({})], 3)[0] == -1).all()
