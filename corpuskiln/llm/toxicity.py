@@ -162,8 +162,9 @@ class Index:
         self.tie[self.row_of] = LAST - np.arange(n)  # of equal cosines the smaller id has the larger tie
         self.lay_out(row)
 
-    def lay_out(self, row: np.ndarray, most_cells: int = 12_000_000, thin: int = 64) -> None:
-        """The most frequent terms, each in over 1 / `thin` of the rows, also as rows of a matrix of at most `most_cells` weights."""
+    def lay_out(self, row: np.ndarray, most_cells: int = 12_000_000, thin: int = 16) -> None:
+        """The most frequent terms, each in over 1 / `thin` of the rows, also as rows of a matrix of at most `most_cells` weights.
+        A cell costs some 1 / 250 of a posting, and a query holds a term about as often as a row does: so from a sixteenth on the matrix is cheaper."""
         n, held = len(self.ids), np.diff(self.post_at)
         chosen = np.argsort(-held, kind="stable")[: most_cells // max(n, 1)]
         chosen = chosen[held[chosen] > n / thin]
@@ -232,7 +233,7 @@ class Index:
         span, by the largest weights there, is below its k-th best elsewhere skips it. Single precision only chooses rows: those within its
         largest error of the k-th best get their exact cosines."""
         n, m, width = len(self.ids), len(vectors), len(self.dense_x)
-        slack = (width + 64) * 2.0**-22
+        slack = (width + 64) * 2.0**-23  # twice the largest error of a sum of width + 64 products that is at most 1
         sizes = [len(t) for t, _ in vectors]
         owner = np.repeat(np.arange(m), sizes)
         terms, x = (np.concatenate(part) for part in zip(*vectors))
@@ -252,9 +253,10 @@ class Index:
             part = score[:, at : at + self.span]
             open_ = np.flatnonzero(part.max(axis=1) + most[:, j] >= floor - slack)
             if len(open_):
-                part[open_] += query[open_] @ self.dense_x[:, at : at + self.span]
+                some = slice(None) if len(open_) == m else open_  # a slice spares copies
+                part[some] += query[some] @ self.dense_x[:, at : at + self.span]
                 if part.shape[1] > k:
-                    floor[open_] = np.maximum(floor[open_], np.partition(part[open_], -k, axis=1)[:, -k])
+                    floor[some] = np.maximum(floor[some], np.partition(part[some], -k, axis=1)[:, -k])
         for i, row in enumerate(skip):
             if row >= 0:
                 score[i, row] = -2.0
@@ -273,7 +275,7 @@ class Index:
         """The k best keys of each vector. Vectors with few postings are looked up one by one, the others in batches; both ways are exact."""
         held, out = np.diff(self.post_at), np.zeros((len(vectors), k), np.int64)
         costs = np.array([held[t].sum() for t, _ in vectors])
-        few = costs <= self.dense_x.size / 640
+        few = costs <= self.dense_x.size / 350  # a posting costs about as much as so many cells of the matrix
         for i in np.flatnonzero(few):
             out[i] = self.one(*vectors[i], k, skip[i])
         heavy = np.flatnonzero(~few)
