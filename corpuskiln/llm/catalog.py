@@ -8,14 +8,18 @@ import corpus_pipeline
 
 from . import toxicity
 from .ann import nearest
+from .audit_sql import AUDIT, PERIODIC, host_rules_sql
 from .common import fold, table
 from .decontaminate import contamination
+from .filter_audit import interactions
+from .host_rules import host_verdicts
 from .html_extract import extract
 from .language_id import identify, learn
 from .line_dedup import dedup_lines
 from .substring_dedup import repeated_passages
 from .maxent_lm import score_texts
 from .mixing import mix
+from .periodic_runs import periodic_runs, planted
 from .simhash import fingerprints, near_duplicates
 
 QUERIES: dict = {}
@@ -118,3 +122,20 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 5) == 1
     return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out")))
+
+
+@query(host_rules_sql())
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = host_verdicts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("host_rate", 6).alias("host_rate"), "host_rejected", "kept")
+
+
+@query(PERIODIC)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs(docs.select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))).drop("runs")
+
+
+@query(AUDIT)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
