@@ -15,12 +15,7 @@ PAGES = {
 }
 
 
-@pytest.fixture(scope="module")
-def model():
-    return html_extract.fit()
-
-
 @pytest.mark.parametrize("name", PAGES)
-def test_the_article_and_nothing_else(model, name):
-    text, _, _ = html_extract.main_texts([PAGES[name]], model, html_extract.Encoder())[0]
+def test_the_article_and_nothing_else(html_model, name):
+    text, _, _ = html_extract.main_texts([PAGES[name]], html_model, html_extract.Encoder())[0]
     assert text.split("\n") == NEWS

@@ -112,8 +112,8 @@ def test_softmax_factors_sum_to_one():
     assert (10 ** maxent_lm.log_probability(w, f, types)).sum() == pytest.approx(1.0, abs=1e-4)
 
 
-def test_extraction_of_generated_and_broken_pages(spark):
-    model = html_extract.fit(300, 4)
+def test_extraction_of_generated_and_broken_pages(spark, html_model):
+    model = html_model
     encoder = html_extract.Encoder()
     pages = [p for p in html_blocks.marked_pages(120, seed=77) if p]
     right = [(model.run(html_extract.collate([[b for b, _ in p]], encoder)) > 0) == np.array([y for _, y in p]) for p in pages]
