@@ -269,6 +269,25 @@ def claims_in_documents(spark, folder):
     return quality.validation_rollup(quality.validate(read(spark, folder, "documents"), "text", "doc_id"))
 
 
+@query("""
+SELECT doc_id, CASE WHEN a IN (0, 1, 4, 5, 6) THEN 1 ELSE 0 END AS verified, CASE WHEN a IN (2, 7, 8) THEN 1 ELSE 0 END AS failed, CASE WHEN a IN (3, 9) THEN 1 ELSE 0 END AS skipped,
+  CASE WHEN a IN (2, 7, 8) THEN 'failed' ELSE 'passed' END AS status FROM (SELECT doc_id, doc_id % 10 AS a FROM documents)""")
+def symbolic_claims(spark, folder):
+    """Every document without its dollar and equals signs, closed by one claim in LaTeX about its own numbers: five kinds hold, three don't, two can't be told."""
+    n, m = F.col("doc_id") + 2, F.col("n_chars") + 1
+    said = lambda pattern, *args: F.format_string(pattern, *args)
+    claims = [
+        said("$(x+%d)^2 = x^2 + %dx + %d$", n, 2 * n, n * n), said("$\\frac{%d}{x} + \\frac{%d}{y} = (%dy + %dx)/(xy)$", n, m, n, m),
+        said("$(x+%d)^2 = x^2 + %dx + %d$", n, 2 * n, n * n + 1), said("$(x+%d)^2 = x^2 + %d$", n, n * n), said("$%d \\times %d = %d$", n, m, n * m),
+        said("$$\\sqrt{%d} = %d$$", n * n, n), said("$sin(%dx)^2 + cos(%dx)^2 = 1$", n, n), said("$\\frac{%d}{%d} = %d$", n, n + 1, m), said("$$\\sqrt{%d} = %d$$", n * n + 1, n),
+        said("$E_%d = m c^2$", n),
+    ]
+    claim = F.get(F.array(*claims), (F.col("doc_id") % 10).cast("int"))
+    rows = read(spark, folder, "documents").select("doc_id", F.concat(F.translate(F.coalesce("text", F.lit("")), "$=", ""), F.lit("\n"), claim).alias("text"))
+    found = quality.validate(rows, "text", "doc_id", symbolic=True)
+    return found.select("doc_id", F.col("verified").cast("int").alias("verified"), F.col("failed").cast("int").alias("failed"), F.col("skipped").cast("int").alias("skipped"), "status")
+
+
 @query(f"""SELECT CAST(page_id AS VARCHAR) AS source, ref AS target FROM ({HREFS}) GROUP BY page_id, ref""")
 def page_graph_edges(spark, folder):
     refs = read(spark, folder, "pages").select(F.col("page_id").cast("string").alias("source"), F.explode(text.references(F.col("html"), "html")).alias("target"))
