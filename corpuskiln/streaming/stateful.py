@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import clean, speech_chunks, suffix
-from .machines import Onset, Segmenter, SentenceBuffer, Throttle
+from .machines import Segmenter, SentenceBuffer, Throttle
+from .scans import SLICE, OnsetScan, SegmentScan, ThrottleScan, scan
 
 # Endings whose changes are watched.
 WATCHED = (
@@ -34,23 +35,18 @@ def same_key(a, b) -> bool:
     return a == b or bool(pd.isna(a) and pd.isna(b))
 
 
-def throttle(events: DataFrame, key: str, ts: str, seconds: float, tie: str) -> DataFrame:
-    """Accepted events of a finite table, ties in time by the tie column. Each key's events are sorted in one
-    partition and streamed through a machine of one number; no group is held in memory."""
-    timed = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
-    ordered = timed.repartition(key).sortWithinPartitions(key, "_t", tie)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, machine = None, Throttle(seconds)
-        for pdf in parts:
-            keep = []
-            for k, t in zip(pdf[key], pdf["_t"]):
-                if machine.last is None or not same_key(k, current):
-                    current, machine = k, Throttle(seconds)
-                keep.append(machine.feed(t))
-            yield pdf[keep]
-
-    return ordered.mapInPandas(run, ordered.schema).drop("_t")
+def throttle(events: DataFrame, key: str, ts: str, seconds: float, tie: str, slice_rows: int = 20_000) -> DataFrame:
+    """Accepted events of a finite table, ties in time by the tie column; events without a time are left out. A parallel scan over slices of time
+    in which the largest key has some slice_rows events on average."""
+    timed = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).where("_t IS NOT NULL")
+    gap = round(seconds * 1e6)
+    if gap <= 0:
+        return timed.drop("_t")
+    keys = timed.groupBy(key).agg(F.count("*").alias("n"), F.min("_t").alias("a"), F.max("_t").alias("b"))
+    most = keys.agg(F.max("n").alias("n"), (F.max("b") - F.min("a")).alias("span")).first()
+    width = max(4 * gap, (most.span or 0) * slice_rows // max(most.n or 1, 1))
+    sliced = timed.withColumn(SLICE, F.floor(F.col("_t") / width))
+    return scan(sliced, key, ["_t", tie], ThrottleScan(gap, width, events.columns), events.schema)
 
 
 def stream_throttle(events: DataFrame, key: str, ts: str, seconds: float, tie: str) -> DataFrame:
@@ -148,14 +144,16 @@ def stream_sentence_chunks(tokens: DataFrame, least: int = 15, most: int = 250)
     return spoken_chunks(tokens.groupBy("stream_id").applyInPandasWithState(run, out, "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout), least, most)
 
 
-def voice_segments(frames: DataFrame, silence_ms: int = 800, cap_ms: int = 60_000) -> DataFrame:
-    """(stream_id, begin, end) of a finite table (stream_id, frame_no, is_speech); an open segment ends with the frames."""
+def frame_slices(frames: DataFrame, slice_frames: int) -> DataFrame:
+    """Frames with a number, a missing verdict as silence, in slices of slice_frames numbers."""
+    numbered = frames.select("stream_id", F.col("frame_no").cast("bigint").alias("frame_no"), F.coalesce("is_speech", F.lit(False)).alias("is_speech")).where("frame_no IS NOT NULL")
+    return numbered.withColumn(SLICE, F.floor(F.col("frame_no") / slice_frames))
+
+
+def voice_segments(frames: DataFrame, silence_ms: int = 800, cap_ms: int = 60_000, slice_frames: int = 16_384) -> DataFrame:
+    """(stream_id, begin, end) of a finite table (stream_id, frame_no, is_speech); an open segment ends with the frames. A parallel scan."""
     kind = dict(frames.dtypes)["stream_id"]
-    some = lambda x: [x] if x else []
-    return in_order(
-        frames, lambda: Segmenter(silence_ms, cap_ms=cap_ms), lambda m, r: some(m.feed(int(r.frame_no), bool(r.is_speech))), lambda m, last: some(m.flush(int(last))),
-        "stream_id", "frame_no", f"stream_id {kind}, begin bigint, end bigint",
-    )
+    return scan(frame_slices(frames, slice_frames), "stream_id", ["frame_no"], SegmentScan(silence_ms, cap_ms, "stream_id"), f"stream_id {kind}, begin bigint, end bigint")
 
 
 def stream_voice_segments(frames: DataFrame, silence_ms: int = 800, cap_ms: int = 60_000) -> DataFrame:
@@ -193,15 +191,10 @@ def voice_continue(frames: DataFrame, starts: DataFrame, silence_ms: int = 800,
     )
 
 
-def onsets(frames: DataFrame, level: int = 3, keep: int = 5) -> DataFrame:
-    """(stream_id, frame_no, buffered) of a finite table: where speech was noticed, and the frames kept from before."""
+def onsets(frames: DataFrame, level: int = 3, keep: int = 5, slice_frames: int = 16_384) -> DataFrame:
+    """(stream_id, frame_no, buffered) of a finite table: where speech was noticed, and the frames kept from before. A parallel scan."""
     kind = dict(frames.dtypes)["stream_id"]
-
-    def one(m: Onset, r) -> list:
-        hit = m.feed(int(r.frame_no), bool(r.is_speech))
-        return [(int(r.frame_no), hit)] if hit else []
-
-    return in_order(frames, lambda: Onset(level, keep), one, lambda m, last: [], "stream_id", "frame_no", f"stream_id {kind}, frame_no bigint, buffered array<bigint>")
+    return scan(frame_slices(frames, slice_frames), "stream_id", ["frame_no"], OnsetScan(level, keep, "stream_id"), f"stream_id {kind}, frame_no bigint, buffered array<bigint>")
 
 
 def change_events(lines: DataFrame, ts_col: str = "ts") -> DataFrame:
