@@ -433,13 +433,43 @@ def spoken_stream(spark, folder):
     return stateful.sentence_chunks(turns.withColumn("seq", F.col("seq").cast("long")))
 
 
-@query()
+#: Frames of the recursive machines in SQL, numbered in each stream.
+FRAMES = """f AS (SELECT event_type AS stream_id, event_id AS frame_no, coalesce(value > 50, false) AS sp, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)"""
+
+
+@query(f"""
+WITH RECURSIVE {FRAMES},
+m(stream_id, n, frame_no, heard, run, b, quiet, seg_b, seg_e) AS (
+  SELECT DISTINCT stream_id, 0::BIGINT, 0::BIGINT, 0, 0, NULL::BIGINT, 0, NULL::BIGINT, NULL::BIGINT FROM f
+  UNION ALL
+  SELECT stream_id, n, frame_no, CASE WHEN fl THEN 0 ELSE heard END, CASE WHEN fl THEN 0 ELSE run END, CASE WHEN fl THEN NULL ELSE b END, CASE WHEN fl THEN 0 ELSE quiet END,
+    CASE WHEN fl AND (b IS NOT NULL OR run > 0) THEN coalesce(b, frame_no - run + 1) END, CASE WHEN fl AND (b IS NOT NULL OR run > 0) THEN frame_no END
+  FROM (SELECT *, (b IS NOT NULL AND quiet >= 4) OR heard >= 2000 AS fl FROM (
+    SELECT stream_id, n, frame_no, heard, run, quiet, CASE WHEN b IS NULL AND run = 3 THEN frame_no - 2 ELSE b END AS b FROM (
+      SELECT f.stream_id, f.n, f.frame_no, m.heard + 1 AS heard, CASE WHEN m.b IS NOT NULL THEN m.run WHEN sp THEN m.run + 1 ELSE 0 END AS run,
+        CASE WHEN m.b IS NULL THEN m.quiet WHEN sp THEN 0 ELSE m.quiet + 1 END AS quiet, m.b FROM m JOIN f ON f.stream_id = m.stream_id AND f.n = m.n + 1))))
+SELECT stream_id, seg_b AS "begin", seg_e AS "end" FROM m WHERE seg_b IS NOT NULL
+UNION ALL SELECT stream_id, coalesce(b, frame_no - run + 1), frame_no FROM m WHERE (b IS NOT NULL OR run > 0) AND (stream_id, n) IN (SELECT stream_id, max(n) FROM f GROUP BY stream_id)""")
 def voice_segment_frames(spark, folder):
     """Events as frames of one stream for each type: values over their middle are speech."""
     frames = read(spark, folder, "events").select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("frame_no"), (F.col("value") > 50).alias("is_speech"))
     return stateful.voice_segments(frames, silence_ms=120)
 
 
+@query(f"""
+WITH RECURSIVE {FRAMES},
+m(stream_id, n, frame_no, c, kept, hit) AS (
+  SELECT DISTINCT stream_id, 0::BIGINT, 0::BIGINT, 0, []::BIGINT[], NULL::BIGINT[] FROM f
+  UNION ALL
+  SELECT stream_id, n, frame_no, CASE WHEN c >= 3 THEN 0 ELSE c END, CASE WHEN c >= 3 THEN [] ELSE kept END, CASE WHEN c >= 3 THEN kept END FROM (
+    SELECT f.stream_id, f.n, f.frame_no, CASE WHEN sp THEN m.c + 1 ELSE greatest(m.c - 1, 0) END AS c, list_append(m.kept, f.frame_no)[-5:] AS kept FROM m JOIN f ON f.stream_id = m.stream_id AND f.n = m.n + 1))
+SELECT stream_id, frame_no, array_to_string(hit, ',') AS buffered FROM m WHERE hit IS NOT NULL""")
+def voice_onset_frames(spark, folder):
+    """Where speech is noticed in the same frames, with the frames kept from before."""
+    frames = read(spark, folder, "events").select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("frame_no"), (F.col("value") > 50).alias("is_speech"))
+    return stateful.onsets(frames).withColumn("buffered", F.array_join(F.col("buffered").cast("array<string>"), ","))
+
+
 @query("""
 WITH f AS (SELECT event_type AS stream_id, event_id AS frame_no, NOT coalesce(value > 50, false) AS silent FROM events),
 b AS (SELECT stream_id, min(frame_no) AS "begin" FROM f WHERE NOT silent GROUP BY stream_id),
