@@ -1,19 +1,19 @@
 """A store of prompt datasets: one Parquet folder for each, typed rows, staged writes.
 
-Rows live in parts, `<root>/prompts/<name>/<part>`; a numbered manifest names the parts of a version. A change writes
+Rows live in the parts of a PartTable, `<root>/prompts/<name>`. A change writes
 a new part and then the next manifest, so readers never see half a write and no path is overwritten while it is read.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import formats
 from ..functions.common import none_if_empty, or_empty, strip
+from ..functions.stored import stored
 from ..functions.text import contains_any
 from ..schemas import INDEX, OPENAI, PROMPTS, SHAREGPT, TAGS
+from .parts import COUNTS, PartTable
 
 DEFAULT_SYSTEM = "You are a helpful AI assistant."
 
@@ -139,65 +139,42 @@ def view(rows: DataFrame, row: int | None = None, most: int | None = 5) -> DataF
 class PromptStore:
     """Named datasets under a root folder of any Hadoop file system."""
 
-    kind, schema = "prompts", PROMPTS
+    kind, schema, counted, key = "prompts", PROMPTS, ["split", "source"], "input"
+    marked = {"output": lambda: or_empty(F.col("output")) != "", "embedding": lambda: F.col("has_embedding")}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.kind}/{name.replace('/', '_').replace(chr(92), '_')}")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _versions(self, name: str) -> list[tuple[int, list[str]]]:
-        """(number, parts) of every complete manifest, oldest first; a manifest ends with the line `end`."""
-        path, fs, _ = self._path(name)
-        marks = sorted(s.getPath().toString() for s in fs.listStatus(path)) if fs.exists(path) else []
-        out = []
-        for mark in (m for m in marks if m.endswith(".manifest")):
-            *parts, end = [r.value for r in self.spark.read.text(mark, wholetext=True).limit(1).collect()][0].split("\n")
-            if end == "end":
-                out.append((int(mark.rsplit("/", 1)[1].split(".")[0]), parts))
-        return out
-
-    def _publish(self, name: str, number: int, parts: list[str]) -> None:
-        """The next version is these parts. Two writers of one number: the second one fails here and changes nothing."""
-        path, fs, make = self._path(name)
-        out = fs.create(make(f"{path}/{number:010d}.manifest"), False)
-        out.writeBytes("\n".join([*parts, "end"]))
-        out.close()
-
-    def _write(self, name: str, rows: DataFrame) -> str:
-        part = uuid.uuid4().hex
-        conform(rows, self.schema).write.option("compression", "snappy").parquet(f"{self._path(name)[0]}/{part}")
-        return part
+    def _table(self, name: str) -> PartTable:
+        path = f"{self.root}/{self.kind}/{name.replace('/', '_').replace(chr(92), '_')}"
+        return PartTable(self.spark, path, self.schema, self.counted, self.marked, self.key)
+
+    def _versions(self, name: str) -> list[tuple[int, dict]]:
+        """(number, manifest) of the versions there are, oldest first."""
+        table = self._table(name)
+        return [(n, table.manifest(n)) for n in table.versions()]
+
+    def _publish(self, name: str, number: int, parts: list[dict]) -> None:
+        """This version is these parts. Two writers of one number: the second one fails here and changes nothing."""
+        self._table(name).publish(number, {"parts": parts, "deletes": []})
 
     def load(self, name: str, split: str | None = None) -> DataFrame:
         """All rows, or those of a split; a missing dataset is empty. Absent columns are filled in."""
-        versions = self._versions(name)
-        parts = [f"{self._path(name)[0]}/{p}" for p in versions[-1][1]] if versions else []
-        rows = conform(self.spark.read.option("mergeSchema", "true").parquet(*parts), self.schema) if parts else self.spark.createDataFrame([], self.schema)
+        table = self._table(name)
+        rows = conform(table.rows(table.newest()[1]), self.schema)
         return rows.where(F.col("split") == split) if split else rows
 
     def save(self, name: str, rows: DataFrame) -> None:
-        """The dataset becomes these rows. Parts that neither this version nor the one before names are deleted, so
-        that a reader of the version before can go on."""
-        before = self._versions(name)
-        number, parts = before[-1] if before else (0, [])
-        part = self._write(name, rows)
-        self._publish(name, number + 1, [part])
-        path, fs, make = self._path(name)
-        keep = {part, *parts}
-        for old, names in before[:-1]:
-            for p in {*names} - keep:
-                fs.delete(make(f"{path}/{p}"), True)
-            fs.delete(make(f"{path}/{old:010d}.manifest"), False)
+        """The dataset becomes these rows."""
+        self._table(name).replace(conform(rows, self.schema))
 
     def append(self, name: str, rows: DataFrame, split: str = "train", source: str = "manual", flatten: bool = True) -> None:
-        """New rows are a new part; what is there is not read."""
-        before = self._versions(name)
-        number, parts = before[-1] if before else (0, [])
-        self._publish(name, number + 1, [*parts, self._write(name, prompt_rows(rows, name, split, source, flatten))])
+        """New rows are a new part."""
+        self._table(name).append(conform(prompt_rows(rows, name, split, source, flatten), self.schema))
+
+    def compact(self, name: str) -> None:
+        """One part without deleted rows; the rows stay the same."""
+        self._table(name).compact()
 
     def add_conversation(self, name: str, rows: DataFrame, **options) -> None:
         self.append(name, rows, **options)
@@ -209,7 +186,12 @@ class PromptStore:
         self.append(name, rows, split, source, flatten=False)
 
     def upsert(self, name: str, rows: DataFrame, split: str = "train", source: str = "manual", dedupe: str | None = None) -> None:
-        self.save(name, upsert(self.load(name), prompt_rows(rows, name, split, source, flatten=False), dedupe=dedupe))
+        """As the function upsert over the dataset, but written are only the new rows and the places of those replaced."""
+        new = prompt_rows(rows, name, split, source, flatten=False)
+        if dedupe == "last":  # the newest of equal keys; rows made here are of one time, so the ids, made once, must be settled
+            new = stored(new, "prompts")
+            new = upsert(new.limit(0), new, dedupe="last")
+        self._table(name).upsert(conform(new, self.schema))
 
     def get(self, name: str, row_id: str) -> DataFrame:
         return self.load(name).where(F.col("id") == row_id).limit(1)
@@ -218,26 +200,49 @@ class PromptStore:
         return search(self.load(name), query, columns, regex)
 
     def stats(self, name: str) -> DataFrame:
-        return stats(self.load(name))
+        """As the function stats over the dataset, from the counts kept with its parts: no row is read."""
+        table = self._table(name)
+        counts = table.counts(table.newest()[1])
+        n = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).alias(what)
+        total = counts.agg(n("rows"), n("output"), n("embedding")).toDF("total_rows", "has_output", "has_embedding")
+        for column in self.counted:
+            top = counts.where(F.col("what") == column).select("value", F.col("n").alias("count")).orderBy(F.desc("count"), "value").limit(1000)
+            total = total.join(F.broadcast(top.agg(F.sort_array(F.collect_list(F.struct("value", "count"))).alias(f"{column}s"))))  # one row each, of bounded size
+        return total
+
+    def value_counts(self, name: str, column: str) -> DataFrame:
+        """(value, count) of split or source, all of them, from the parts' counts."""
+        table = self._table(name)
+        return table.counts(table.newest()[1]).where(F.col("what") == column).select("value", F.col("n").alias("count"))
 
     def names(self) -> list[str]:
-        top = self._path("x")[0].getParent()
-        fs = self._path("x")[1]
-        return sorted(s.getPath().getName() for s in fs.listStatus(top)) if fs.exists(top) else []
+        path = self._table("x").at("x").getParent().getParent()
+        fs = self._table("x").fs()
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
     def catalog(self) -> DataFrame:
-        """(dataset_name, split, n, kilobytes, error) of all datasets; one that can't be read has a row with its error only."""
-        out = self.spark.createDataFrame([], "dataset_name string, split string, n long, kilobytes long, error string")
-        for name in self.names():
-            path, fs, _ = self._path(name)
-            size = fs.getContentSummary(path).getLength() // 1024
+        """(dataset_name, split, n, kilobytes, error) of all datasets, from the counts kept with their parts, in one job; a dataset whose
+        manifest or counts are missing has a row with its error only."""
+        sizes, paths = [], []
+        for name in self.names():  # files are listed here, rows and counts aren't read
+            table = self._table(name)
             try:
-                counts = self.spark.createDataFrame(self.load(name).groupBy("split" if self.kind == "prompts" else F.lit(None).cast("string").alias("split")).agg(F.count("*").alias("n")).collect(), "split string, n long")  # a few splits
-                row = counts.select(F.lit(name).alias("dataset_name"), "split", "n", F.lit(size).cast("long").alias("kilobytes"), F.lit(None).cast("string").alias("error"))
+                _, manifest = table.newest()
+                own = [f"{table.path}/{x['name']}.counts" for x in (*manifest["parts"], *manifest["deletes"])]
+                for p in own:
+                    table.fs().getFileStatus(table.at(p.rsplit("/", 1)[1]))
+                size = table.fs().getContentSummary(table.at("x").getParent()).getLength() // 1024
+                sizes.append((name, size, None))
+                paths += own
             except Exception as e:  # noqa: BLE001  whatever a broken dataset raises is its row
-                row = self.spark.createDataFrame([(name, str(e).split("\n")[0])], "dataset_name string, error string")
-            out = out.unionByName(row, allowMissingColumns=True)
-        return out
+                sizes.append((name, None, str(getattr(e, "java_exception", None) or e).split("\n")[0]))
+        known = self.spark.createDataFrame(sizes, "dataset_name string, kilobytes long, error string")
+        if not paths:
+            return known.select("dataset_name", F.lit(None).cast("string").alias("split"), F.lit(None).cast("long").alias("n"), "kilobytes", "error").where("error IS NOT NULL")
+        counts = self.spark.read.schema(COUNTS).parquet(*paths).withColumn("dataset_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3))
+        by = "split" if "split" in self.counted else "rows"
+        n = counts.where(F.col("what") == by).groupBy("dataset_name", F.col("value").alias("split")).agg(F.sum("n").alias("n")).where("n > 0")
+        return known.join(n, "dataset_name", "left").where("n IS NOT NULL OR error IS NOT NULL").select("dataset_name", "split", "n", "kilobytes", "error")
 
     def export_sharegpt(self, name: str, path: str, split: str | None = "train") -> None:
         sharegpt_lines(self.load(name, split)).write.text(path)
@@ -252,8 +257,8 @@ class PromptStore:
         return path
 
     def drop(self, name: str) -> bool:
-        path, fs, _ = self._path(name)
-        return bool(fs.delete(path, True))
+        table = self._table(name)
+        return bool(table.fs().delete(table.at("x").getParent(), True))
 
     def seed(self, name: str, system_prompt: str, helpers: list[tuple[str, str]]) -> None:
         """A system prompt and helper prompts, added once however often this runs."""
@@ -264,7 +269,7 @@ class PromptStore:
 class VectorIndex(PromptStore):
     """Vector indexes by dataset name, stored and published like prompt datasets."""
 
-    kind, schema = "index", INDEX
+    kind, schema, counted, key, marked = "index", INDEX, [], None, {}
 
     def listing(self) -> DataFrame:
         """(name, count, kilobytes, error) of all indexes."""
