@@ -97,73 +97,77 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
-def path_rate(steps: list[list[float]]) -> Column:
-    """The rate after these steps: from 1, each takes off its product with p and stops at 0."""
-    if not steps:
-        return F.lit(1.0)
-    rows = F.array(*[F.array(*map(F.lit, s)) for s in steps])
-    product = lambda s: F.aggregate(F.zip_with("p", s, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    return F.aggregate(rows, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - product(s)))
+def rate_at(z: list[float]) -> Column:
+    """The rate of a document after all steps so far, z: their sum is projected once, from 1 to at least 0."""
+    return F.greatest(F.lit(0.0), sum((F.get("p", F.lit(k)) * F.lit(float(x)) for k, x in enumerate(z)), F.lit(1.0)))
 
 
-def mixing_rates(members: DataFrame, targets: list[float], steps: int = 25, close: float = 1e-6) -> DataFrame:
+def mixing_rates(members: DataFrame, targets: list[float], steps: int = 60, close: float = 1e-9) -> DataFrame:
     """members, with n_tokens and p, plus rate >= 0: how often to take each document, reached: the shares
     that the rates lead to, and converged.
 
-    targets are shares of all tokens for the domains in p's order. Starting at 1, the rates follow
-    projected gradient steps on the squared misses of sum(rate * n_tokens * p) against the targets. Each round
-    tries the gradient at some lengths, of which the first is under the inverse of the curvature's bound and so
-    never ascends, and the gradient scaled by the damped Gram matrix of the documents with a rate over 0; the best is taken.
-    A round is one small distributed sum; the rates are an expression of the steps so far, and no list of
-    documents leaves the executors. It has converged when all misses are under `close` of the tokens, or when no
-    length lowers the loss by more than a millionth: that bounds the projected gradient. So
-    unreachable targets end at their least-squares approach, with reached telling how far that is; after `steps` rounds
-    without either, converged is false. Documents without tokens keep the rate that their posteriors
-    say. No tokens: all rates are 1 and reached is null.
+    targets are shares of all tokens for the domains in p's order. The gradient of the squared misses with respect to a document's rate is a
+    combination of its p, so all steps add up to one vector z, a number for each domain, and the rate is 1 + p z, projected to at least 0 (lazy
+    projection). A step is the gradient scaled by the Gram matrix of the documents with a rate over 0; of some lengths the one is taken that
+    lowers most the convex function whose gradient these misses are: of all rates that meet the targets, the ones nearest to 1 result. A small ridge on z, lowered
+    in stages to 1e-10 of the curvature, gives the least-squares approach where no rates meet them; there it stays at 1e-6, so that rates stay moderate.
+    A round is one small distributed sum; what the driver keeps is z. It has converged when all misses are under `close` of the tokens, or the gradient with the last
+    ridge is, or no length lowers the function any more; reached tells how far the targets are.
+    Documents without tokens keep the rate that their posteriors say. No tokens: all rates are 1 and reached is null.
     """
     members = written(members, "members")
     k_all = range(len(targets))
     p = [F.get("p", F.lit(k)) for k in k_all]
     t = F.col("n_tokens").cast("double")
-    taken: list[list[float]] = []
 
     def sums(tried: list[list[float]]) -> list[dict]:
-        """For each next step: expected tokens of the domains, and the Gram matrix of what has a rate over 0."""
-        now = members.select("n_tokens", "p", path_rate(taken).alias("r"))
+        """For each z: half the squared rates' sum, expected tokens of the domains, and the Gram matrix of what has a rate over 0."""
+        named = members.select("n_tokens", "p", *[rate_at(z).alias(f"r{c}") for c, z in enumerate(tried)])
         aggs = []
-        for c, step in enumerate(tried):
-            rate = F.greatest(F.lit(0.0), F.col("r") - sum((p[k] * F.lit(step[k]) for k in k_all), F.lit(0.0)))
-            aggs += [F.sum(rate * t * p[k]).alias(f"e{c}_{k}") for k in k_all]
-            aggs += [F.sum(F.when(rate > 0, t * p[i] * p[j]).otherwise(0.0)).alias(f"g{c}_{i}_{j}") for i in k_all for j in k_all if i <= j]
-        got = now.agg(*aggs).first()
-        out = []
         for c in range(len(tried)):
-            e = [got[f"e{c}_{k}"] or 0.0 for k in k_all]
-            miss = [x - y * total for x, y in zip(e, targets)]
-            out.append({"e": e, "miss": miss, "loss": sum(x * x for x in miss), "gram": [[got[f"g{c}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in k_all] for i in k_all]})
-        return out
+            rate = F.col(f"r{c}")
+            aggs += [F.sum(rate * rate * t / 2).alias(f"h{c}"), *[F.sum(rate * t * p[k]).alias(f"e{c}_{k}") for k in k_all]]
+            aggs += [F.sum(F.when(rate > 0, t * p[i] * p[j]).otherwise(0.0)).alias(f"g{c}_{i}_{j}") for i in k_all for j in k_all if i <= j]
+        got = named.agg(*aggs).first()
+        return [
+            {"z": z, "half": got[f"h{c}"], "e": [got[f"e{c}_{k}"] for k in k_all], "gram": [[got[f"g{c}_{min(i, j)}_{max(i, j)}"] for j in k_all] for i in k_all]}
+            for c, z in enumerate(tried)
+        ]
 
     total = members.agg(F.sum(t).alias("n")).first()["n"] or 0.0
     here, converged = None, not total
     if total:
+        goal = [x * total for x in targets]
         here = sums([[0.0] * len(targets)])[0]
-        curvature = sum(here["gram"][k][k] for k in k_all)  # the trace: no eigenvalue is larger
+        trace = sum(here["gram"][k][k] for k in k_all)
+        ridge, last = 1e-3, 1e-10
+        value = lambda x: x["half"] - sum(b * z for b, z in zip(goal, x["z"])) + ridge * trace * sum(z * z for z in x["z"]) / 2
         for _ in range(steps):
-            if max(map(abs, here["miss"])) <= close * total:
+            miss = max(abs(e - b) for e, b in zip(here["e"], goal))
+            if miss <= close * total:
                 converged = True
                 break
-            own = sum(here["gram"][k][k] for k in k_all) + 1e-9 * curvature
-            damped = lambda d: [[g + (d * own if i == j else 0.0) for j, g in enumerate(row)] for i, row in enumerate(here["gram"])]
-            tried = [[x * a for x in here["miss"]] for a in (1 / curvature, 8 / own, 64 / own)] + [solve(damped(d), here["miss"]) for d in (1e-9, 0.01, 0.1)]
-            found = sums(tried)
-            best = min(range(len(tried)), key=lambda c: found[c]["loss"])
-            if here["loss"] - found[best]["loss"] <= 1e-6 * here["loss"]:
-                converged = True
+            slope = lambda: [e - b + ridge * trace * z for e, b, z in zip(here["e"], goal, here["z"])]  # noqa: E731, B023
+            if max(map(abs, slope())) <= close * total / 10:
+                if ridge <= last or ridge <= 1e-6 and miss > 1e-3 * total:
+                    converged = True
+                    break
+                ridge = max(last, ridge / 100)
+            damped = lambda d: [[g + (d * trace if i == j else 0.0) for j, g in enumerate(row)] for i, row in enumerate(here["gram"])]  # noqa: E731, B023
+            straight, careful = (solve(damped(ridge + d), slope()) for d in (0.0, 1e-3))
+            moved = lambda step, a: [z - a * x for z, x in zip(here["z"], step)]  # noqa: E731, B023
+            found = sums([moved(straight, a) for a in (1.0, 0.5, 0.2, 0.05)] + [moved(careful, 1.0), moved(straight, 4.0)])
+            best = min(found, key=value)
+            if value(best) < value(here):
+                here = best
+            elif ridge <= last or ridge <= 1e-6 and miss > 1e-3 * total:
+                converged = True  # as low as numbers tell
                 break
-            taken.append(tried[best])
-            here = found[best]
+            else:
+                ridge = max(last, ridge / 100)
     reached = F.array(*[F.lit(x / sum(here["e"])) for x in here["e"]]) if here and sum(here["e"]) else F.lit(None).cast("array<double>")
-    return without(members, "rate", "reached", "converged").withColumns({"rate": path_rate(taken), "reached": reached, "converged": F.lit(converged)})
+    rate = rate_at(here["z"]) if here else F.lit(1.0)
+    return without(members, "rate", "reached", "converged").withColumns({"rate": rate, "reached": reached, "converged": F.lit(converged)})
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:

@@ -131,3 +131,17 @@ def test_pipeline_stages(spark):
         sizes.append(len(rows))
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 100
     assert sizes[-1] == sizes[-2]
+
+
+def test_reachable_targets_are_reached(spark):
+    """Sharp posteriors: the default rounds end within 1e-7 of the targets, and no rates that meet them are nearer to 1."""
+    r = np.random.default_rng(7)
+    n, logits = r.integers(1, 4000, 2000).astype(float), r.normal(size=(2000, 3)) * 4 + np.array([6.0, 1.0, -1.0])
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    targets = np.array([0.95, 0.04, 0.01])
+    got = mixing_rates(spark.createDataFrame([(i, int(a), [float(x) for x in b]) for i, (a, b) in enumerate(zip(n, p))], "i int, n_tokens long, p array<double>"), list(targets)).collect()
+    rate = np.array([x.rate for x in sorted(got, key=lambda x: x.i)])
+    assert got[0].converged and (rate * n) @ p / n.sum() == pytest.approx(targets, abs=1e-7)
+    # The nearest point: what is over 0 is 1 plus a combination of p, what is 0 would be under it.
+    z = np.linalg.lstsq(p[rate > 0], rate[rate > 0] - 1, rcond=None)[0]
+    assert np.maximum(0, 1 + p @ z) == pytest.approx(rate, abs=1e-6)
