@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,9 +34,8 @@ def often(docs: DataFrame, words: int, sample: int, text_col: str) -> tuple[np.n
 
 
 def shingle_sets(docs: DataFrame, words: int, similarity: float, known, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, version, node, fp, n, shingles, prefix) for every row: version is a hash of the text, node one of its set of
-    shingles, fp the SimHash, n the set's size. shingles has 32 bits of each, to verify with: in two sets of a thousand one
-    more or less may seem shared once in some thousand pairs. prefix has the rarest shingles, rarest
+    """(doc_id, version, node, fp, n, prefix) for every row: version is a hash of the text, node one of its set of
+    shingles, fp the SimHash, n the set's size. prefix has the rarest shingles, rarest
     first, so many that two sets as similar as asked share one of them."""
     text = text_bytes(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
@@ -56,14 +57,31 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, known, id_col:
                 every = [shingle_hashes(t, words) for t in part.column("text").to_pylist()]
                 sets = list(map(np.unique, every))
                 nodes = longs([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets])
-                sizes = list(map(len, sets))
-                low = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("version"), nodes, longs(list(map(majority_bits, every))), pa.array(sizes, pa.int32()), low, long_lists(list(map(prefix, sets)))],
-                    ["doc_id", "version", "node", "fp", "n", "shingles", "prefix"],
+                    [part.column("doc_id"), part.column("version"), nodes, longs(list(map(majority_bits, every))), pa.array(list(map(len, sets)), pa.int32()), long_lists(list(map(prefix, sets)))],
+                    ["doc_id", "version", "node", "fp", "n", "prefix"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, version long, node long, fp long, n int, shingles array<int>, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, version long, node long, fp long, n int, prefix array<long>")
+
+
+def whole_sets(docs: DataFrame, every: DataFrame, asked: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, n, shingles) of the nodes asked, all 64 bits of each shingle, worked out again from one text of each: stored sets of all texts would
+    take more room than the texts."""
+    one = every.join(small(asked), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("at"))
+    one = written(one.select("node", F.col("at.doc_id").alias("at_id"), F.col("at.version").alias("at_version")), "asked-texts")
+    text = text_bytes(F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    texts = rows.join(small(one), F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("version") == F.col("at_version"))).select("node", "text")
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b.slice(at, 500)
+                sets = [np.unique(shingle_hashes(t, words)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(list(map(len, sets)), pa.int32()), long_lists(sets)], ["node", "n", "shingles"])
+
+    return texts.mapInArrow(run, "node long, n int, shingles array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
 def shared_rows(sets: DataFrame, most: int = 4_000_000) -> DataFrame:
@@ -94,16 +112,16 @@ def small(stored: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= most else stored
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def similar(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of `similarity` or more, as a written table."""
     pairs = written(pairs, "pairs")
     asked = written(pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), "asked")
-    sets = sets.join(small(asked), "node", "left_semi")
+    sets = written(sets_of(asked), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     found = written(pairs.join(one, "a").join(two, "b").where(both / (F.col("na") + F.col("nb") - both) >= similarity).select("a", "b"), "similar")
-    discard(pairs, asked)
+    discard(pairs, asked, sets)
     return found
 
 
@@ -123,23 +141,24 @@ def near_copies(
     known = docs.sparkSession.sparkContext.broadcast(often(docs, words, sample, text_col))
     every = written(shingle_sets(docs, words, similarity, known, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "shingles")
     copied = written(every.groupBy("node").agg(F.min("row").alias("first_row"), F.count("*").alias("c")).where("c > 1").select(F.col("node").alias("copied"), "first_row"), "copied")
-    sets = every.where("n > 0").join(small(copied), F.col("node") == F.col("copied"), "left").where("first_row IS NULL OR row = first_row").select("node", "fp", "n", "shingles", "prefix")
+    sets = every.where("n > 0").join(small(copied), F.col("node") == F.col("copied"), "left").where("first_row IS NULL OR row = first_row").select("node", "fp", "n", "prefix")
+    sets_of = lambda asked: whole_sets(docs, every, asked, words, id_col, text_col)
     candidates = near_duplicates(sets.select(F.col("node").alias("doc_id"), "fp")).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     rows = written(shared_rows(sets), "rows")
-    edges = similar(candidates, sets, similarity)
+    edges = similar(candidates, sets_of, similarity)
     labels = components(edges)
     for turn in range(rounds):
         classed = written(with_roots(rows, labels), "classed")
         stars = written(best_hubs(classed, turn, similarity), "stars")
         done = stars.isEmpty()
         if not done:
-            edges = edges.union(similar(stars, sets, similarity))
+            edges = edges.union(similar(stars, sets_of, similarity))
             labels = components(edges)
         discard(classed, stars)
         if done:
             break
     classed = written(with_roots(rows, labels), "classed")
-    labels = components(edges.union(similar(possible_pairs(classed, similarity), sets, similarity)))
+    labels = components(edges.union(similar(possible_pairs(classed, similarity), sets_of, similarity)))
     names = written(every.select("doc_id", "version", "node"), "names")
     discard(every, rows, classed, copied)
     linked = labels.toDF("link", "root")
@@ -165,9 +184,10 @@ def best_hubs(classed: DataFrame, turn: int, similarity: float, hubs_each: int =
 
 def possible_pairs(classed: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of different components that may be similar enough: they share c of their rarest shingles, in one order for
-    all sets, and so at most those and what comes after the last one."""
+    all sets, and so at most those and what comes after the last one. Shared places from which even all that follows is not enough
+    are left out: the first place of a similar pair is none of these, and what they stand for is in what comes after the last one left."""
     x, y = classed.toDF("h", "a", "na", "ata", "ra"), classed.toDF("h", "b", "nb", "atb", "rb")
-    meet = (x["h"] == y["h"]) & (x["ra"] < y["rb"]) & (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6)
+    meet = (x["h"] == y["h"]) & (x["ra"] < y["rb"]) & may_link(x["na"], x["ata"], y["nb"], y["atb"], similarity)
     met = x.join(y, meet).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("ata").alias("ata"), F.max("atb").alias("atb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     most = F.col("c") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1
     return met.where(most >= (F.col("na") + F.col("nb")) * similarity / (1 + similarity) - 1e-6).select("a", "b")
