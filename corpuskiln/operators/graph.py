@@ -106,8 +106,12 @@ def candidates(files: DataFrame) -> DataFrame:
 
 def edges(files: DataFrame, node_ids: DataFrame | None = None) -> DataFrame:
     """(id, source, target, type, label): each reference meets the best candidate that is a file. No self edges; the first edge from one file to another wins whatever its type."""
-    ids = (node_ids if node_ids is not None else files.select(slashes(F.col("path")).alias("id"))).select(F.col("id").alias("candidate"))
-    hits = candidates(files).join(ids, "candidate")
+    return resolved(candidates(files), node_ids if node_ids is not None else files.select(slashes(F.col("path")).alias("id")))
+
+
+def resolved(places: DataFrame, node_ids: DataFrame) -> DataFrame:
+    """The edges that these candidates are, given the files that there are."""
+    hits = places.join(node_ids.select(F.col("id").alias("candidate")), "candidate")
     best = hits.groupBy("source", "type", "pos").agg(F.min_by("candidate", "prio").alias("target")).where("source <> target")
     first = Window.partitionBy("source", "target").orderBy("pos", "type")
     return (

@@ -31,6 +31,7 @@ PROMPTS = _schema(
 INDEX = _schema("id, dataset_name, text, embedding floats, created_at timestamp")
 NODES = _schema("id, label, path, ext, lang, lines int, size int, group, classes texts, functions texts, changed_by, change_time timestamp")
 EDGES = _schema("id, source, target, type, label")
+PLACES = _schema("source, pos int, prio int, candidate, type")
 GGUF = _schema("id, filename, path, size_gb double, base_model, quantization, architecture, source, notes, registered_at timestamp, ollama_name")
 LORA = _schema("id, filename, path, size_gb double, base_model, task, format, source, notes, registered_at timestamp, ollama_name")
 CLAIM = "struct<text:string,lhs:string,rhs:string,claim_type:string,source:string>"

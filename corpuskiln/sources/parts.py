@@ -153,11 +153,11 @@ class PartTable:
         part = self.part(rows)
         self.change(lambda m: {"parts": [part], "deletes": []})
 
-    def upsert(self, rows: DataFrame, few: int = 1000) -> None:
-        """A new part of these rows, and the places of those that they replace: rows of an equal key that isn't empty. Nothing else is written, and of
-        the parts only keys are read; up to `few` keys go to the files' Bloom filters and dictionaries, more meet the keys in a join."""
+    def upsert(self, rows: DataFrame, few: int = 1000, gone: DataFrame | None = None) -> None:
+        """A new part of these rows, and the places of those that they replace: rows of an equal key that isn't empty, or of a key of `gone`, whose one column has keys.
+        Nothing else is written, and of the parts only keys are read; up to `few` keys go to the files' Bloom filters and dictionaries, more meet the keys in a join."""
         part = self.part(rows)
-        keys = self.read([part["name"]]).select(F.col(self.key).alias("k")).where("k <> ''").distinct()
+        keys = (self.read([part["name"]]).select(self.key) if gone is None else gone).toDF("k").where("k <> ''").distinct()
         some = [r.k for r in keys.limit(few + 1).collect()]
 
         def make(m: dict) -> dict:
