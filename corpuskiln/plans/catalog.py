@@ -251,19 +251,6 @@ def latex_spans(spark, folder):
     return read(spark, folder, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\$([^$\n]{1,150})\$"), 1)).cast("long").alias("spans"))
 
 
-CLAIM_TEXTS = [
-    "2 + 2 = 4", "2 + 2 = 5", "2 + 2 = 4 and 3 * 3 = 8", "1 / 0 = 5", "2^3 = 8", "$x = 5$", "$$4 = 4$$", "no maths here", "",
-]
-
-
-@query("""
-SELECT id, found, verified, failed, skipped, score::DOUBLE AS score, status FROM (VALUES (0, 1, 1, 0, 0, 1.0, 'passed'), (1, 1, 0, 1, 0, 0.0, 'failed'), (2, 2, 1, 1, 0, 0.5, 'failed'), (3, 1, 0, 0, 1, 1.0, 'passed'), (4, 1, 0, 0, 1, 1.0, 'passed'),
-  (5, 1, 0, 0, 1, 1.0, 'passed'), (6, 1, 1, 0, 0, 1.0, 'passed'), (7, 0, 0, 0, 0, 1.0, 'no_math'), (8, 0, 0, 0, 0, 1.0, 'no_math')) t(id, found, verified, failed, skipped, score, status)""")
-def claims_validation(spark, folder):
-    rows = spark.createDataFrame(list(enumerate(CLAIM_TEXTS)), "id int, text string")
-    return quality.validate(rows, "text", "id").drop("accepted")
-
-
 @query()
 def claims_in_documents(spark, folder):
     return quality.validation_rollup(quality.validate(read(spark, folder, "documents"), "text", "doc_id"))
@@ -353,71 +340,6 @@ def recent_keys(spark, folder):
     return registry.recent(read(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts").select("user_id", F.unix_micros("last").alias("at_us"))
 
 
-@query("""SELECT path, base_model, quantization, architecture, size_gb::DOUBLE AS size_gb FROM (VALUES ('/m/a-Q4_K_M.gguf', 'base-a', 'Q4_K_M', 'llama', 4.56789), ('/m/b-BF16.gguf', '', 'BF16', '', 1.235), ('/m/phi-q8_0.gguf', 'p', 'Q8_0', 'phi', 2.0)) t(path, base_model, quantization, architecture, size_gb)""")
-def registry_upsert(spark, folder):
-    first = spark.createDataFrame([("/m/a-Q4_K_M.gguf", 1.23456, "base-a", "llama"), ("/m/phi-q8_0.gguf", 2.0, "p", "")], "path string, size_gb double, base_model string, architecture string")
-    known = registry.register_gguf(registry.empty_registry(spark), first)
-    again = spark.createDataFrame([("/m/a-Q4_K_M.gguf", 4.56789, ""), ("/m/b-BF16.gguf", 1.23456, "")], "path string, size_gb double, base_model string")
-    return registry.register_gguf(known, again).select("path", "base_model", "quantization", "architecture", "size_gb")
-
-
-@query("""SELECT * FROM (VALUES ('m-Q4_K_M.gguf', 'Q4_K_M', ''), ('Llama-q8_0.gguf', 'Q8_0', 'llama'), ('m.gguf', '', ''), ('qwen-BF16.gguf', 'BF16', 'qwen')) t(filename, quant, arch)""")
-def guess_quant(spark, folder):
-    names = spark.createDataFrame([(n,) for n in ("m-Q4_K_M.gguf", "Llama-q8_0.gguf", "m.gguf", "qwen-BF16.gguf")], "filename string")
-    return names.select("filename", text.quantization(F.col("filename")).alias("quant"), text.architecture(F.col("filename")).alias("arch"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'x_2.md'), (2, 'x_10.md'), (3, 'x_33.md')) t(place, path)""")
-def numeric_order(spark, folder):
-    names = spark.createDataFrame([(n,) for n in ("x_10.md", "x_33.md", "x_2.md")], "path string")
-    ordered = names.orderBy(files.numeric_order(F.col("path")), "path").agg(F.collect_list("path").alias("paths"))
-    return ordered.select(F.posexplode("paths").alias("at", "path")).select((F.col("at") + 1).alias("place"), "path")
-
-
-SCRIPT = "# A\n> note\n[B-ROLL: z]\nhi **you** (0:00 – 1:30)\n---\n```\ncode\n```\nand more\n# B\n## The `Third` Part!\nlast line"
-
-
-@query("""SELECT * FROM (VALUES (1, 'A', 'a', 'hi you and more'), (1, 'The `Third` Part!', 'the_third_part', 'last line')) t(script_id, name, slug, text)""")
-def script_sections(spark, folder):
-    return registry.script_sections(spark.createDataFrame([(1, SCRIPT)], "script_id int, text string")).select("script_id", "name", "slug", "text")
-
-
-MODELFILE = 'FROM m\n# note\nPARAMETER stop a\nPARAMETER stop b\nPARAMETER temperature 0.5\nPARAMETER num_ctx 4096\nSYSTEM """x\ny"""\nMESSAGE user hello there\n'
-
-
-@query("""SELECT 'm' AS base, 'x' || chr(10) || 'y' AS system, 'a,b' AS stop, 0.5::DOUBLE AS temperature, 4096::BIGINT AS num_ctx, 'hello there' AS said""")
-def modelfile_parse(spark, folder):
-    m = spark.createDataFrame([(MODELFILE,)], "t string").select(registry.parse_modelfile(F.col("t")).alias("m")).select("m", registry.typed_parameters(F.col("m.parameters")).alias("p"))
-    value = lambda key, field: F.get(F.filter("p", lambda e: e["key"] == key), F.lit(0))[field]
-    return m.select("m.base", "m.system", F.array_join(F.col("m.parameters")["stop"], ",").alias("stop"), value("temperature", "double_value").alias("temperature"), value("num_ctx", "long_value").alias("num_ctx"), F.get("m.messages", F.lit(0))["content"].alias("said"))
-
-
-ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2401.00001v1</id><title>A
- title</title><summary>Some
-text</summary><published>2024-01-02T00:00:00Z</published><author><name>Ann B</name></author><author><name>C D</name></author>
-<link href="http://arxiv.org/abs/2401.00001v1" rel="alternate"/><link title="pdf" href="http://arxiv.org/pdf/2401.00001v1"/><category term="cs.LG"/><category term="cs.CL"/></entry>
-<entry><id>x</id><title></title></entry></feed>"""
-
-
-@query("""SELECT 'A  title' AS title, 'Ann B, C D' AS authors, 'Some text' AS abstract, 'cs.LG cs.CL' AS categories, 'http://arxiv.org/abs/2401.00001v1' AS arxiv_url,
-'http://arxiv.org/pdf/2401.00001v1' AS pdf_link, '2024-01-02' AS published, '2401.00001v1' AS arxiv_id""")
-def atom_papers(spark, folder):
-    rows = papers.parse_feed(spark.createDataFrame([(ATOM,)], "xml string"))
-    return rows.select("title", F.array_join("authors", ", ").alias("authors"), "abstract", F.array_join("categories", " ").alias("categories"), "arxiv_url", "pdf_link", "published", "arxiv_id")
-
-
-TREE = [
-    ("p/m.py", "import a\nimport p\n"), ("p/__init__.py", "from .m import z\nfrom . import m\n"), ("a.py", "import a\ndef f(): pass\nclass C: pass\n"),
-    ("web/x.js", "import u from './u'\nimport r from 'react'\n"), ("web/u/index.js", ""), ("README.md", ""), ("s/n.md", "[r](../README.md) [again](../README.md) [w](http://x.y/z.md)"), ("s/t.sh", "source ./u.sh\n"),
-]
-
-
-@query("""SELECT * FROM (VALUES ('p/m.py', 'a.py', 'import'), ('p/m.py', 'p/__init__.py', 'import'), ('p/__init__.py', 'p/m.py', 'import'), ('web/x.js', 'web/u/index.js', 'import'),
-('s/n.md', 'README.md', 'link')) t(source, target, type)""")
-def tree_edges(spark, folder):
-    return graph.edges(spark.createDataFrame(TREE, "path string, text string")).select("source", "target", "type")
-
-
 @query("""SELECT CAST(count(*) AS BIGINT) AS turns, CAST(sum(length(text)) AS BIGINT) AS characters FROM conversations""")
 def stream_lines_total(spark, folder):
     """The output stream of a model, one JSON line for each turn, decoded back to its text."""
@@ -525,3 +447,6 @@ def index_listing(spark, folder):
     for r in vectors_.select("dataset_name").distinct().collect():  # a few labels
         index.save(r["dataset_name"], vectors_.where(F.col("dataset_name") == r["dataset_name"]))
     return index.listing().select("name", "count")
+
+
+from . import derived  # noqa: E402, F401  its queries are in the same tables
