@@ -155,8 +155,9 @@ s AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])\\s+', '\\1'
 SELECT doc_id, count(*) AS sentences, max(length(p)) AS longest FROM s WHERE p <> '' GROUP BY doc_id""")
 def sentence_rows(spark, folder):
     sizes = F.transform(text.sentences(F.col("text")), F.char_length)
-    each = read(spark, folder, "documents").select("doc_id", sizes.alias("sizes")).where("size(sizes) > 0")
-    return each.select("doc_id", F.size("sizes").cast("long").alias("sentences"), F.array_max("sizes").cast("long").alias("longest"))
+    both = F.transform(F.array(sizes), lambda s: F.struct(F.size(s).cast("long").alias("sentences"), F.array_max(s).cast("long").alias("longest")))
+    # Out of a generator, so that the split is worked out once and not again for the filter.
+    return read(spark, folder, "documents").select("doc_id", F.inline(both)).where("sentences > 0")
 
 
 @query()
