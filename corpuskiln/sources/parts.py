@@ -95,7 +95,7 @@ class PartTable:
             except Py4JJavaError:  # another writer has deleted it
                 continue
             for name in gone:
-                for suffix in ("", ".counts"):
+                for suffix in ("", ".counts", ".grams"):
                     self.fs().delete(self.at(name + suffix), True)
             self.fs().delete(self.at(f"{old:010d}.json"), False)
 
@@ -139,8 +139,16 @@ class PartTable:
         gone = self.spark.read.schema(f"{FILE} string, {ROW} long").parquet(*[f"{self.path}/{d['name']}" for d in deletes])
         return rows.unionByName(self.located([n for n in wanted if n in torn]).join(gone, [FILE, ROW], "left_anti"))
 
-    def rows(self, manifest: dict) -> DataFrame:
-        return self.live(manifest).drop(FILE, ROW)
+    def rows(self, manifest: dict, files: list[str] | None = None) -> DataFrame:
+        """Live rows, or those of some files alone, which are then the only ones that are read."""
+        if files is None:
+            return self.live(manifest).drop(FILE, ROW)
+        if not files:
+            return self.read([])
+        some = self.spark.read.schema(self.schema).parquet(*files).select("*", F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+        if manifest["deletes"]:
+            some = some.join(self.spark.read.schema(f"{FILE} string, {ROW} long").parquet(*[f"{self.path}/{d['name']}" for d in manifest["deletes"]]), [FILE, ROW], "left_anti")
+        return some.drop(FILE, ROW)
 
     # ---- writes
 

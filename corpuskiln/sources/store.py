@@ -13,8 +13,10 @@ from ..functions.common import none_if_empty, or_empty, strip
 from ..functions.stored import stored
 from ..functions.text import contains_any
 from ..schemas import INDEX, OPENAI, PROMPTS, SHAREGPT, TAGS
-from .parts import COUNTS, PartTable
+from . import grams
+from .parts import COUNTS, FILE, PartTable
 
+SEARCHED = ["input", "output", "description", "conversations", "tags"]
 DEFAULT_SYSTEM = "You are a helpful AI assistant."
 
 
@@ -90,9 +92,8 @@ def catalog(rows: DataFrame) -> DataFrame:
     return rows.groupBy("dataset_name", "split").agg(F.count("*").alias("n"))
 
 
-def search(rows: DataFrame, query: str, columns: list[str] | None = None, regex: bool = False) -> DataFrame:
-    """Keyword search, in any case, over the text of the named columns; unknown names are dropped."""
-    names = [c for c in (columns or ["input", "output", "description", "conversations", "tags"]) if c in rows.columns]
+def searched(rows: DataFrame, columns: list[str] | None = None) -> dict[str, Column]:
+    """The text that a search looks at, by column; unknown names are dropped."""
     kinds = dict(rows.dtypes)
 
     def as_text(c: str) -> Column:
@@ -100,7 +101,12 @@ def search(rows: DataFrame, query: str, columns: list[str] | None = None, regex:
             return F.array_join(F.transform(c, lambda t: or_empty(t["value"])), "\n")
         return F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string")
 
-    return rows.where(contains_any(query, [as_text(c) for c in names], regex))
+    return {c: as_text(c) for c in columns or SEARCHED if c in rows.columns}
+
+
+def search(rows: DataFrame, query: str, columns: list[str] | None = None, regex: bool = False) -> DataFrame:
+    """Keyword search, in any case, over the text of the named columns; unknown names are dropped."""
+    return rows.where(contains_any(query, list(searched(rows, columns).values()), regex))
 
 
 def sft_rows(talks: DataFrame, language: str = "English", default_system: str = DEFAULT_SYSTEM) -> DataFrame:
@@ -196,8 +202,38 @@ class PromptStore:
     def get(self, name: str, row_id: str) -> DataFrame:
         return self.load(name).where(F.col("id") == row_id).limit(1)
 
+    def index_text(self, name: str) -> None:
+        """Give every part that has none its index of trigrams; searches then read only files that may have a hit."""
+        table = self._table(name)
+        for part in table.newest()[1]["parts"]:  # parts are few: they are merged by size
+            if not table.fs().exists(table.at(f"{part['name']}.grams")):
+                rows = table.located([part["name"]])
+                grams.build(rows, searched(rows), FILE).write.parquet(f"{table.path}/{part['name']}.grams")
+
+    def files_to_search(self, name: str, query: str, columns: list[str] | None = None) -> tuple[list[str], int]:
+        """(files that may hold the query in one of the columns, by path; how many files there are). Files of parts without an index are all in."""
+        table = self._table(name)
+        wanted, every, known = [], 0, {}
+        for part in table.newest()[1]["parts"]:
+            files = [f"{table.path}/{part['name']}/{f}" for f in sorted(table.files(part["name"])) if f.endswith(".parquet")]
+            every += len(files)
+            if len(query) >= grams.SIZE and table.fs().exists(table.at(f"{part['name']}.grams")):
+                known |= {f.rsplit("/", 1)[1]: f for f in files}
+            else:
+                wanted += files
+        if known:
+            folders = {f"{f.rsplit('/', 1)[0]}.grams" for f in known.values()}
+            index = self.spark.read.schema(grams.SCHEMA).parquet(*sorted(folders))
+            hits = grams.may_hold(index, query.lower(), list(searched(table.read([]), columns)))
+            wanted += [known[r.file] for r in hits.collect() if r.file in known]  # names of files
+        return sorted(wanted), every
+
     def search(self, name: str, query: str, columns: list[str] | None = None, regex: bool = False) -> DataFrame:
-        return search(self.load(name), query, columns, regex)
+        if regex:
+            return search(self.load(name), query, columns, regex)
+        table = self._table(name)
+        files, every = self.files_to_search(name, query, columns)
+        return search(conform(table.rows(table.newest()[1], None if len(files) == every else files), self.schema), query, columns)
 
     def stats(self, name: str) -> DataFrame:
         """As the function stats over the dataset, from the counts kept with its parts: no row is read."""

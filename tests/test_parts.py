@@ -115,3 +115,23 @@ def test_a_writer_that_comes_second_starts_again(spark, tmp_path, monkeypatch):
     assert set(content(s.load("d"))) == {("a", "3", "train"), ("b", "1", "train"), ("c", "3", "train")} and s.load("d").count() == 3
     with pytest.raises(parts.Taken, match="already exists"):
         publish(table, table.versions()[-1], parts.EMPTY)
+
+
+def test_a_search_reads_only_files_that_may_hold_it(spark, tmp_path):
+    """The same rows as a scan for words of all kinds, also after deletes, in parts with and without an index."""
+    s, r = store.PromptStore(spark, f"file://{tmp_path}"), random.Random(3)
+    word = lambda k: "".join(r.choice("abcdefgh") for _ in range(7)) if k else "Émile"
+    every = [[word(k % 40) for k in range(part * 50, part * 50 + 50)] for part in range(4)]
+    for part, words in enumerate(every):
+        s.add_batch("d", spark.createDataFrame([(f"q{part}-{i}", f"The {w} of PART{part}. 😀x") for i, w in enumerate(words)], ROWS).coalesce(2))
+    s.index_text("d")
+    for query in (every[1][7].upper(), every[3][2], "émile", "part2", "of p", "zzzz", "ab", "", "😀X", "the " + every[0][9][:3]):
+        got, scan = content(s.search("d", query)), content(store.search(s.load("d"), query))
+        assert got == scan, query
+    files, n = s.files_to_search("d", every[1][7])
+    assert n == 8 and len(files) < 3
+    assert len(s.files_to_search("d", "part2")[0]) == 2 and s.files_to_search("d", "zzzz")[0] == [] and len(s.files_to_search("d", "ab")[0]) == 8
+    assert s.files_to_search("d", "part2", ["input"])[0] == []
+    s.upsert("d", spark.createDataFrame([("q2-5", "changed")], ROWS))
+    assert content(s.search("d", "part2")) == content(store.search(s.load("d"), "part2")) and s.search("d", "part2").count() == 49
+    assert s.search("d", "chang").count() == 1 and s.search("d", "part[23]", regex=True).count() == 99
