@@ -66,8 +66,8 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, known, id_col:
 
 
 def whole_sets(docs: DataFrame, every: DataFrame, asked: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, n, shingles) of the nodes asked, all 64 bits of each shingle, worked out again from one text of each: stored sets of all texts would
-    take more room than the texts."""
+    """(node, n, shingles) of the nodes asked, worked out again from one text of each: stored sets of all texts would take more room than the texts. shingles has 32 bits
+    of each, as a set is dealt out with each of its pairs: in two sets of a thousand one more or less may seem shared once in some thousand pairs."""
     one = every.join(small(asked), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("at"))
     one = written(one.select("node", F.col("at.doc_id").alias("at_id"), F.col("at.version").alias("at_version")), "asked-texts")
     text = text_bytes(F.col(text_col))
@@ -79,9 +79,11 @@ def whole_sets(docs: DataFrame, every: DataFrame, asked: DataFrame, words: int,
             for at in range(0, len(b), 500):
                 part = b.slice(at, 500)
                 sets = [np.unique(shingle_hashes(t, words)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(list(map(len, sets)), pa.int32()), long_lists(sets)], ["node", "n", "shingles"])
+                sizes = list(map(len, sets))
+                low = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sizes, pa.int32()), low], ["node", "n", "shingles"])
 
-    return texts.mapInArrow(run, "node long, n int, shingles array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    return texts.mapInArrow(run, "node long, n int, shingles array<int>").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
 def shared_rows(sets: DataFrame, most: int = 4_000_000) -> DataFrame:
