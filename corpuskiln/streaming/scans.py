@@ -42,8 +42,8 @@ def same(value: Any, n: int) -> pd.Series:
     return pd.Series([None if pd.isna(value) else value] * n, dtype=object)
 
 
-def scan(rows: DataFrame, key: str, order: list[str], machine: Scan, out: str) -> DataFrame:
-    """emit() of every slice. rows has the key, the columns that the machine reads, and the slice's number SLICE.
+def scan(rows: DataFrame, key: str, order: list[str], machine: Scan, out: str, ends: tuple[int, int] | None = None) -> DataFrame:
+    """emit() of every slice. rows has the key, the columns that the machine reads, and the slice's number SLICE; ends: the least and the greatest number, if known.
 
     Slices are groups of (key, slice), so a hot key is as many tasks as it has slices. FAN functions at a time are composed until a key
     has no more than FAN: log(slices) rounds over tables that shrink by FAN each. States go down the same tree. Null keys are one key.
@@ -70,9 +70,9 @@ def scan(rows: DataFrame, key: str, order: list[str], machine: Scan, out: str) -
     def emit(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         return machine.emit(pdf.sort_values(order, kind="stable"), pickle.loads(above["state"].iloc[0]), bool(above["last"].iloc[0]))
 
-    ends = rows.agg(F.min(SLICE).alias("a"), F.max(SLICE).alias("b")).first()
-    span = 0 if ends.a is None else ends.b - ends.a + 1
-    dealt = rows.withColumn(SLICE, F.col(SLICE) - F.lit(ends.a or 0))  # from 0, so that the tree is as high as the table is long
+    low, high = ends or rows.agg(F.coalesce(F.min(SLICE), F.lit(0)), F.coalesce(F.max(SLICE), F.lit(0))).first()
+    span = high - low + 1
+    dealt = rows.withColumn(SLICE, F.col(SLICE) - F.lit(low))  # from 0, so that the tree is as high as the table is long
     parent = F.floor(F.col(NODE) / FAN).alias(UP)
     levels = [stored(dealt.groupBy(key, SLICE).applyInPandas(leaf, table), "functions")]
     while span > FAN:

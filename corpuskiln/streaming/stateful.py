@@ -43,10 +43,10 @@ def throttle(events: DataFrame, key: str, ts: str, seconds: float, tie: str, sli
     if gap <= 0:
         return timed.drop("_t")
     keys = timed.groupBy(key).agg(F.count("*").alias("n"), F.min("_t").alias("a"), F.max("_t").alias("b"))
-    most = keys.agg(F.max("n").alias("n"), (F.max("b") - F.min("a")).alias("span")).first()
-    width = max(4 * gap, (most.span or 0) * slice_rows // max(most.n or 1, 1))
+    most = keys.agg(F.max("n").alias("n"), F.coalesce(F.min("a"), F.lit(0)).alias("a"), F.coalesce(F.max("b"), F.lit(0)).alias("b")).first()
+    width = max(4 * gap, (most.b - most.a) * slice_rows // (most.n or 1))
     sliced = timed.withColumn(SLICE, F.floor(F.col("_t") / width))
-    return scan(sliced, key, ["_t", tie], ThrottleScan(gap, width, events.columns), events.schema)
+    return scan(sliced, key, ["_t", tie], ThrottleScan(gap, width, events.columns), events.schema, (most.a // width, most.b // width))
 
 
 def stream_throttle(events: DataFrame, key: str, ts: str, seconds: float, tie: str) -> DataFrame:
