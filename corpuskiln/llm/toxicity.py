@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import discard, without, written
@@ -27,27 +28,43 @@ def term(token: str) -> str:
 
 
 class Terms:
-    """Texts -> counts of the known terms, each distinct token looked at once."""
+    """Texts -> counts of the known terms, each distinct token of some texts looked at once."""
 
     def __init__(self, terms: dict[str, int], most: int = 200_000):
         self.terms, self.most, self.seen = terms, most, {}
 
-    def __call__(self, text: str) -> dict[int, int]:
-        seen, out = self.seen, {}
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        """The number of each token's term, or -1."""
+        seen = self.seen
         if len(seen) > self.most:
             seen.clear()
-        for token, n in Counter(text.split()).items():
-            k = seen.get(token, -2)
+        out = [seen.get(token, -2) for token in tokens]
+        for i, k in enumerate(out):
             if k == -2:
-                k = seen[token] = self.terms.get(term(token), -1)
-            if k >= 0:
-                out[k] = out.get(k, 0) + n
-        return out
+                out[i] = seen[tokens[i]] = self.terms.get(term(tokens[i]), -1)
+        return np.array(out, np.int64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text begins in terms and times, which are in the order of a text's tokens. Arrow splits at the white space that str.split knows."""
+        lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        tokens = lists.flatten().dictionary_encode()
+        numbers = self.numbers(tokens.dictionary.to_numpy(zero_copy_only=False).tolist())[tokens.indices.to_numpy()]
+        row, width = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), max(len(self.terms), 1)
+        key, first, times = np.unique((row * width + numbers)[numbers >= 0], return_index=True, return_counts=True)
+        order = np.argsort(first)
+        key, times = key[order], times[order]
+        return np.searchsorted(key // width, np.arange(len(lists) + 1)), key % width, times
+
+
+def slices(b: pa.RecordBatch, text: str, most: int = 8 << 20) -> list[pa.Array]:
+    """The texts of a batch in slices of some megabytes, so that what is made of their tokens is bounded."""
+    rows = max(1, min(2000, most * len(b) // max(b.column(text).nbytes, 1)))
+    return [b.column(text).slice(at, rows) for at in range(0, len(b), rows)]
 
 
 def ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... for sizes[0] places, then the same for the others."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
+    return np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
 
 
 @dataclass
@@ -240,10 +257,12 @@ class Index:
         number = self.dense_of[terms]
         query = np.zeros((m, width), np.float32)
         query[owner[number >= 0], number[number >= 0]] = x[number >= 0]
-        rare = number < 0
-        begin, held = self.post_at[terms[rare]], np.diff(self.post_at)[terms[rare]]
-        place = ragged(begin, held)
-        score = np.bincount(np.repeat(owner[rare] * n, held) + self.post_rows[place], self.post_x[place] * np.repeat(x[rare], held), m * n).reshape(m, n).astype(np.float32)
+        score = np.empty((m, n), np.float32)
+        for i, (own, weights) in enumerate(vectors):  # one after the other: what one needs stays in the processor's cache
+            rare = self.dense_of[own] < 0
+            begin, held = self.post_at[own[rare]], self.post_at[own[rare] + 1] - self.post_at[own[rare]]
+            place = ragged(begin, held)
+            score[i] = np.bincount(self.post_rows[place], self.post_x[place] * np.repeat(weights[rare], held), n)
         for i, row in enumerate(skip):
             if row >= 0:
                 score[i, row] = -2.0
@@ -297,11 +316,16 @@ class Index:
         w = np.where(rows >= 0, self.weight[rows] / (1.05 - cosine), 0.0)
         return ((w * self.toxic[rows]).sum(axis=1) + 0.5 * self.prior) / (w.sum(axis=1) + 0.5)
 
-    def score(self, bags: list[dict[int, int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def vectors(self, at: np.ndarray, terms: np.ndarray, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What vector gives, for rows of term counts."""
+        x = self.unit(terms, times, np.repeat(np.arange(len(at) - 1), np.diff(at)), len(at) - 1)
+        return [(terms[a:b], x[a:b]) for a, b in zip(at[:-1], at[1:])]
+
+    def score(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated scores, and neighbours with their cosines; without a neighbour the score is the rate of label 1."""
-        rows, cosine = self.nearest(list(map(self.vector, bags)), k)
+        rows, cosine = self.nearest(vectors, k)
         some = rows[:, 0] >= 0
-        scores = np.full(len(bags), self.prior)
+        scores = np.full(len(vectors), self.prior)
         scores[some] = self.calibrated(self.votes(rows[some], cosine[some]))
         return scores, rows, cosine
 
@@ -328,9 +352,9 @@ def term_counts(texts: DataFrame, shared) -> tuple[np.ndarray, int]:
     def run(batches):
         look, n, df = Terms(shared.value), 0, np.zeros(len(shared.value), np.int64)
         for b in batches:
-            for text in b.column("text").to_pylist():
-                n += 1
-                df[list(look(text or ""))] += 1
+            n += len(b)
+            for part in slices(b, "text"):
+                df += np.bincount(look(part)[1], minlength=len(df))
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(df[some], n))], ["k", "n"])
 
@@ -455,7 +479,7 @@ def assess(docs: DataFrame, index: Index, k: int = 15, threshold: float = 0.3, i
         known = shared.value
         look = Terms(known.terms)
         for b in batches:
-            found = [known.score([look(t or "") for t in b.column(text_col).slice(at, 500).to_pylist()], k) for at in range(0, len(b), 500)]
+            found = [known.score(known.vectors(*look(part)), k) for part in slices(b, text_col)]
             scores, rows, cosine = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0), np.zeros((0, k), np.int64), np.zeros((0, k)))
             evidence = [
                 [{"doc_id": int(known.ids[r]), "cosine": float(c), "toxic": int(known.toxic[r])} for r, c in zip(rs, cs) if r >= 0]
