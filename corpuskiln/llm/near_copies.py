@@ -1,4 +1,5 @@
-"""Near copies: SimHash links of word shingles, and a prefix-filtered set join for links beyond their reach, all verified on whole sets."""
+"""Near copies: SimHash links of word shingles, and a prefix-filtered set join for links beyond their reach, all verified on whole sets
+where a parity sketch of both does not rule them out."""
 
 from __future__ import annotations
 
@@ -33,10 +34,32 @@ def often(docs: DataFrame, words: int, sample: int, text_col: str) -> tuple[np.n
     return h[order], c[order]
 
 
+def parity_sketch(own: np.ndarray) -> bytes:
+    """A power of two of bits, twice as many as hashes at least; each tells whether an odd number of the hashes ends in its number.
+    Of two sketches the bits that differ are at most as many as the hashes that one set has and the other has not."""
+    bits = 64
+    while bits < 2 * len(own):
+        bits *= 2
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """How many bits differ, when the longer one is folded to the other's length: no more than the sets' hashes that are not shared."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    p, q = 8 * len(a), 8 * len(b)
+    while p != q:
+        if p < q:
+            x, y, p, q = y, x, q, p
+        p //= 2
+        x = (x >> p) ^ (x & (1 << p) - 1)
+    return (x ^ y).bit_count()
+
+
 def shingle_sets(docs: DataFrame, words: int, similarity: float, known, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, version, node, fp, n, prefix) for every row: version is a hash of the text, node one of its set of
+    """(doc_id, version, node, fp, n, prefix, sketch) for every row: version is a hash of the text, node one of its set of
     shingles, fp the SimHash, n the set's size. prefix has the rarest shingles, rarest
-    first, so many that two sets as similar as asked share one of them."""
+    first, so many that two sets as similar as asked share one of them. sketch is the set's parity_sketch."""
     text = text_bytes(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
 
@@ -57,12 +80,14 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, known, id_col:
                 every = [shingle_hashes(t, words) for t in part.column("text").to_pylist()]
                 sets = list(map(np.unique, every))
                 nodes = longs([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets])
+                sizes = pa.array(list(map(len, sets)), pa.int32())
+                sketches = pa.array(list(map(parity_sketch, sets)), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("version"), nodes, longs(list(map(majority_bits, every))), pa.array(list(map(len, sets)), pa.int32()), long_lists(list(map(prefix, sets)))],
-                    ["doc_id", "version", "node", "fp", "n", "prefix"],
+                    [part.column("doc_id"), part.column("version"), nodes, longs(list(map(majority_bits, every))), sizes, long_lists(list(map(prefix, sets))), sketches],
+                    ["doc_id", "version", "node", "fp", "n", "prefix", "sketch"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, version long, node long, fp long, n int, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, version long, node long, fp long, n int, prefix array<long>, sketch binary")
 
 
 def whole_sets(docs: DataFrame, every: DataFrame, asked: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -114,16 +139,43 @@ def small(stored: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= most else stored
 
 
-def similar(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), "asked")
+
+
+def both_sides(pairs: DataFrame, of_node: DataFrame) -> DataFrame:
+    """pairs with the columns of of_node, a table by node, twice: they end in _a and _b."""
+    side = lambda x: of_node.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in of_node.columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def not_ruled_out(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches (node, n, sketch) do not differ in more bits than so similar sets can in shingles. None that is
+    similar is left out; few of the others stay, and so whole sets are only dealt out for pairs that are mostly similar."""
+    asked = nodes_of(pairs)
+    some = written(sketches.join(small(asked), "node", "left_semi"), "sketches")
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for b in batches:
+            apart = np.fromiter(map(sketch_distance, b.column("sketch_a").to_pylist(), b.column("sketch_b").to_pylist()), np.int64, len(b))
+            most = share * (b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()) + 1e-6
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(apart <= most))
+
+    left = written(both_sides(pairs, some).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long"), "likely")
+    discard(asked, some)
+    return left
+
+
+def similar(pairs: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of `similarity` or more, as a written table."""
     pairs = written(pairs, "pairs")
-    asked = written(pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), "asked")
+    likely = not_ruled_out(pairs, sketches, similarity)
+    asked = nodes_of(likely)
     sets = written(sets_of(asked), "sets")
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    found = written(pairs.join(one, "a").join(two, "b").where(both / (F.col("na") + F.col("nb") - both) >= similarity).select("a", "b"), "similar")
-    discard(pairs, asked, sets)
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    found = written(both_sides(likely, sets).where(both / (F.col("n_a") + F.col("n_b") - both) >= similarity).select("a", "b"), "similar")
+    discard(pairs, likely, asked, sets)
     return found
 
 
@@ -143,24 +195,25 @@ def near_copies(
     known = docs.sparkSession.sparkContext.broadcast(often(docs, words, sample, text_col))
     every = written(shingle_sets(docs, words, similarity, known, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "shingles")
     copied = written(every.groupBy("node").agg(F.min("row").alias("first_row"), F.count("*").alias("c")).where("c > 1").select(F.col("node").alias("copied"), "first_row"), "copied")
-    sets = every.where("n > 0").join(small(copied), F.col("node") == F.col("copied"), "left").where("first_row IS NULL OR row = first_row").select("node", "fp", "n", "prefix")
+    sets = every.where("n > 0").join(small(copied), F.col("node") == F.col("copied"), "left").where("first_row IS NULL OR row = first_row").select("node", "fp", "n", "prefix", "sketch")
+    sketches = sets.select("node", "n", "sketch")
     sets_of = lambda asked: whole_sets(docs, every, asked, words, id_col, text_col)
     candidates = near_duplicates(sets.select(F.col("node").alias("doc_id"), "fp")).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     rows = written(shared_rows(sets), "rows")
-    edges = similar(candidates, sets_of, similarity)
+    edges = similar(candidates, sketches, sets_of, similarity)
     labels = components(edges)
     for turn in range(rounds):
         classed = written(with_roots(rows, labels), "classed")
         stars = written(best_hubs(classed, turn, similarity), "stars")
         done = stars.isEmpty()
         if not done:
-            edges = edges.union(similar(stars, sets_of, similarity))
+            edges = edges.union(similar(stars, sketches, sets_of, similarity))
             labels = components(edges)
         discard(classed, stars)
         if done:
             break
     classed = written(with_roots(rows, labels), "classed")
-    labels = components(edges.union(similar(possible_pairs(classed, similarity), sets_of, similarity)))
+    labels = components(edges.union(similar(possible_pairs(classed, similarity), sketches, sets_of, similarity)))
     names = written(every.select("doc_id", "version", "node"), "names")
     discard(every, rows, classed, copied)
     linked = labels.toDF("link", "root")
@@ -174,10 +227,10 @@ def with_roots(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def best_hubs(classed: DataFrame, turn: int, similarity: float, hubs_each: int = 4) -> DataFrame:
     """(a, b): for each node the hub of another component that it shares most shingles with. A shingle has some hubs,
     other ones in each turn."""
-    entry = F.struct("node", "n", "at", "root")
-    chosen = [F.min_by(entry, F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node"), "node")).alias(f"hub{k}") for k in range(hubs_each)]
-    made = classed.groupBy("h").agg(*chosen)
-    hubs = written(made.select("h", F.array_distinct(F.array(*[f"hub{k}" for k in range(hubs_each)])).alias("hubs")), "hubs")
+    ranked = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "node").alias("rank"), "node", "n", "at", "root")).alias(f"hub{k}") for k in range(hubs_each)]
+    made = classed.groupBy("h").agg(*ranked)
+    entry = lambda hub: F.struct(*[F.col(hub)[c].alias(c) for c in ("node", "n", "at", "root")])
+    hubs = written(made.select("h", F.array_distinct(F.array(*[entry(f"hub{k}") for k in range(hubs_each)])).alias("hubs")), "hubs")
     near = lambda hub: (F.col("root") != hub["root"]) & may_link(F.col("n"), F.col("at"), hub["n"], hub["at"], similarity)
     met = classed.join(small(hubs), "h").select("node", "n", F.filter("hubs", near).alias("hubs")).where("size(hubs) > 0").select(F.col("node").alias("b"), "n", F.explode("hubs.node").alias("a"))
     likely = F.col("c") >= F.col("n") * (1 - similarity) / 5  # a fifth of the prefix; what else there is, the pairs find
@@ -206,7 +259,8 @@ def keep_one_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
     """One row of docs for each near_copies component, that of the smallest id; its columns stay as they are."""
     found = near_copies(docs, words, similarity, id_col=id_col, text_col=text_col)
     stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "version")).alias("s")).select("s.doc_id", "s.version")
-    stay_id, stay_version, version = (own_name() for _ in range(3))
-    here = docs.withColumn(version, F.xxhash64(text_bytes(F.col(text_col))))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(stay_id)) & (F.col(version) == F.col(stay_version))
-    return here.join(stay.toDF(stay_id, stay_version), same).dropDuplicates([id_col, version]).drop(stay_id, stay_version, version)
+    number, none, version = keys = [own_name() for _ in range(3)]
+    by = lambda i, v: {number: F.coalesce(i, F.lit(0)), none: i.isNull(), version: v}
+    here = docs.withColumns(by(F.col(id_col).cast("long"), F.xxhash64(text_bytes(F.col(text_col)))))
+    # texts are dealt out once: the join and the removal of repeated rows have the same keys, none of them null
+    return here.join(stay.withColumns(by(F.col("doc_id"), F.col("version"))).select(keys), keys).dropDuplicates(keys).drop(*keys)

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from corpuskiln.llm import near_copies as nc
 from corpuskiln.llm.near_copies import keep_one_similar
 
 WIDE = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,3 +58,36 @@ def test_stage_on_documents_is_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(d.doc_id, d.text) for d in docs.collect()]
     assert sorted(d.doc_id for d in corpus_pipeline.near_dedup(spark, docs, "").collect()) == brute_kept(rows)
+
+
+def test_sketches_never_differ_in_more_than_the_sets():
+    r = np.random.default_rng(8)
+    for size in (0, 1, 31, 33, 64, 500, 3000):
+        for other in (size, size + 1, size * 5 // 4, size * 9):
+            for shared in (0, size // 2, size * 9 // 10, size):
+                pool = np.unique(r.integers(0, 2**64, 2 * size + 2 * other + 8, np.uint64))
+                r.shuffle(pool)
+                a, b = pool[:size], np.concatenate([pool[:shared], pool[size : size + other - min(shared, other)]])
+                apart = len(np.setxor1d(a, b))
+                for x, y in ((a, b), (b, a)):
+                    assert nc.sketch_distance(nc.parity_sketch(x), nc.parity_sketch(y)) <= apart
+    a, b = np.split(np.unique(r.integers(0, 2**64, 1000, np.uint64)), 2)
+    assert nc.sketch_distance(nc.parity_sketch(a), nc.parity_sketch(b)) > len(a) * 2 / 9
+
+
+def test_whole_sets_are_dealt_out_for_likely_pairs_only(spark, monkeypatch):
+    """Texts that share rare shingles, but only three fifths of all, are tried without their whole sets."""
+    r = random.Random(11)
+    rows = []
+    for _ in range(12):
+        base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        rows += [(len(rows) + k, " ".join(base[:300] + [f"x{r.randrange(10**6)}" for _ in range(100)])) for k in range(5)]
+    rows += [(900, rows[0][1] + " end"), (901, rows[7][1] + " end")]
+    asked = []
+    whole = nc.whole_sets
+    monkeypatch.setattr(nc, "whole_sets", lambda docs, every, some, *a: asked.append(some.count()) or whole(docs, every, some, *a))
+    docs = spark.createDataFrame(rows + rows[:9] + [(None, "one row"), (None, "one row")], "doc_id long, text string")
+    kept = keep_one_similar(docs).collect()
+    assert sorted(d.doc_id for d in kept if d.doc_id is not None) == brute_kept(rows) == list(range(60))
+    assert len(kept) == 61
+    assert sum(asked) <= 8
