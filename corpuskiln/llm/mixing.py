@@ -24,13 +24,15 @@ def buckets_of(words: Column, buckets: int) -> Column:
     return F.array_distinct(F.when(F.size(words) == 0, F.array(F.lit(buckets))).otherwise(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))))
 
 
-def number_list(values: list[float]) -> Column:
-    """An array<double> constant, which the optimizer folds."""
-    return F.expr(f"cast(split('{','.join(repr(float(v)) if v else '0' for v in values)}', ',') AS array<double>)")
+def with_hits(docs: DataFrame, bag: str, slots: DataFrame, hits: str) -> DataFrame:
+    """docs plus hits, the weights of those buckets of bag that have some. slots is one row with an array, null or a struct of weights
+    for each bucket. It is a subquery: as constants its numbers would stand in the text of every plan, many times, and the driver keeps those."""
+    every = own_name()
+    return docs.withColumn(every, slots.scalar()).withColumn(hits, F.filter(F.transform(bag, lambda b: F.get(F.col(every), b)), lambda w: w.isNotNull())).drop(every)
 
 
-def sum_over_bag(bag: str, weights: Column) -> Column:
-    return F.aggregate(bag, F.lit(0.0), lambda total, bucket: total + F.get(weights, bucket))
+def sum_of_hits(hits: str, name: str) -> Column:
+    return F.aggregate(hits, F.lit(0.0), lambda total, w: total + w[name])
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], most_labelled: int = 20_000, buckets: int = 1 << 16, least_chi2: float = 15.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,19 +62,19 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], most_labe
         weights.append(F.when(chi2 >= least_chi2, F.ln((a + 0.5) / (n_d + 1)) - F.ln((b + 0.5) / (rest + 1))).otherwise(0.0).alias(f"w_{k}"))
     any_weight = " OR ".join(f"w_{k} <> 0" for k in range(len(domains)))
     rows = counts.select("b", *weights).where(any_weight).collect() if n_all else []  # at most `buckets` + 1 rows
-    table = [[0.0] * (buckets + 1) for _ in domains]
-    for r in rows:
-        for k in range(len(domains)):
-            table[k][r["b"]] = r[f"w_{k}"]
-    evidence = lambda bag: [sum_over_bag(bag, number_list(column)) for column in table]
-    quiet = bags.select("label_domain", *[(e == 0).alias(f"q_{k}") for k, e in enumerate(evidence("bag"))])
+    names = [f"w_{k}" for k in range(len(domains))]
+    by_bucket = {r["b"]: tuple(r[x] for x in names) for r in rows}
+    kind = f"slots array<struct<{', '.join(f'{x} double' for x in names)}>>"
+    slots = written(docs.sparkSession.createDataFrame([([by_bucket.get(b) for b in range(buckets + 1)],)], kind), "weights")
+    evidence = lambda hits: [sum_of_hits(hits, x) for x in names]
+    quiet = with_hits(bags, "bag", slots, "hits").select("label_domain", *[(e == 0).alias(f"q_{k}") for k, e in enumerate(evidence("hits"))])
     seen = quiet.agg(*[x for k, d in enumerate(domains) for x in (F.count_if(f"q_{k}").alias(f"n_{k}"), F.count_if(F.col(f"q_{k}") & (F.col("label_domain") == d)).alias(f"d_{k}"))]).first()
     odds = [(seen[f"d_{k}"] + 0.5) / (seen[f"n_{k}"] - seen[f"d_{k}"] + 0.5) for k in range(len(domains))]
     base = without(docs, "n_tokens", "p")
-    words, bag = own_name(), own_name()
+    words, bag, hits = own_name(), own_name(), own_name()
     bagged = base.withColumn(words, words_of(F.col(text_col))).withColumns({"n_tokens": F.size(words).cast("long"), bag: buckets_of(F.col(words), buckets)})
-    chance = [F.lit(1.0) / (1.0 + F.exp(-(F.ln(F.lit(o)) + F.greatest(F.lit(-30.0), F.least(F.lit(30.0), e))))) for o, e in zip(odds, evidence(bag))]
-    scored = bagged.withColumn("p", F.array(*chance)).drop(words, bag)
+    chance = [F.lit(1.0) / (1.0 + F.exp(-(F.ln(F.lit(o)) + F.greatest(F.lit(-30.0), F.least(F.lit(30.0), e))))) for o, e in zip(odds, evidence(hits))]
+    scored = with_hits(bagged, bag, slots, hits).withColumn("p", F.array(*chance)).drop(words, bag, hits)
     return scored.withColumn("p", F.transform("p", lambda x: x / F.aggregate("p", F.lit(0.0), lambda acc, y: acc + y)))
 
 
