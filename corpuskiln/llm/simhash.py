@@ -142,7 +142,8 @@ def block_edges(distinct: DataFrame, radius: int) -> DataFrame:
 
 def probe_edges(classed: DataFrame, groups: list[list[int]], limits: list[int], radius: int) -> DataFrame:
     """Verified links between fingerprints of different classes: every fingerprint probes, for each
-    group, all keys within the group's threshold. Unequal classes and the distance are join conditions."""
+    group, all keys within the group's threshold. Unequal classes and the distance are join conditions.
+    Spark sizes the probes like the rows before the explode, and would broadcast them all: the hint forbids it."""
     found = None
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     for g, t in zip(groups, limits):
@@ -155,7 +156,7 @@ def probe_edges(classed: DataFrame, groups: list[list[int]], limits: list[int],
         flip = F.explode(F.expr(f"array({', '.join(f'{x}L' if x >= -(2**63) + 1 else 'cast(-9223372036854775808 as bigint)' for x in flips)})"))
         probe = classed.select(flip.alias("flip"), "fp", "root").select(key.bitwiseXOR(F.col("flip")).alias("key"), F.col("fp").alias("a_fp"), F.col("root").alias("a"))
         near = (probe["key"] == index["key"]) & (probe["a"] < index["b"]) & (F.bit_count(probe["a_fp"].bitwiseXOR(index["b_fp"])) <= radius)
-        pairs = probe.join(index, near).select("a", "b")
+        pairs = probe.join(index.hint("merge"), near).select("a", "b")
         found = pairs if found is None else found.union(pairs)
     return found
 
@@ -184,7 +185,7 @@ def near_duplicates(fps: DataFrame, radius: int = 3, parts: int = 2) -> DataFram
     final = written(final, "final")
     least = final.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_fp = final.join(least, "root").select(F.col("fp").alias("link_fp"), "root", "component_id")
-    return fps.join(of_fp, fps["fp"] == of_fp["link_fp"]).drop("link_fp")
+    return fps.join(of_fp.hint("merge"), fps["fp"] == of_fp["link_fp"]).drop("link_fp")  # copies take a few bytes each on disk: fps is larger than Spark sizes it
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
