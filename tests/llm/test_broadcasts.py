@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpuskiln.llm import simhash
+from corpuskiln.llm import near_copies, simhash
 from corpuskiln.llm.common import written
 
 
@@ -34,3 +34,14 @@ def test_near_duplicates_broadcast_no_probes_and_no_rows_of_copies(spark):
     probing = [p for p in plans_of(spark, first) if "bit_count((a_fp" in p]
     assert probing and not any("Broadcast" in p for p in probing)
     assert "BroadcastHashJoin Inner BuildLeft" not in plans_of(spark, first)[-1]
+
+
+def test_near_dedup_broadcasts_no_probes(spark):
+    """The pipeline's near_dedup searches SimHash links, too."""
+    first = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    words = np.random.default_rng(2).integers(0, 5000, (120, 40))
+    texts = [" ".join(f"w{x}" for x in row) for row in words]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:50])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one_similar(docs).collect()) == list(range(120))
+    probing = [p for p in plans_of(spark, first) if "bit_count((a_fp" in p]
+    assert probing and not any("Broadcast" in p for p in probing)
